@@ -1,0 +1,300 @@
+"""Queries on classifiers, thresholds, embedding search and streams."""
+
+from pyspark.sql import functions as F
+
+from curate.operators import classify, prompts, sampling, search
+from curate.operators.ordering import seeded_hash
+from curate.plans import curation
+from curate.plans.registry import query
+from curate.plans.table_queries import rounded
+from curate.session import fresh_path
+from curate.streaming import streams
+
+# A score that any engine can repeat: mostly the label, partly a hash, in steps of 1/100.
+SCORED = """WITH h AS (SELECT doc_id, quality, ('0x' || substr(md5('5:' || doc_id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM labels),
+                 s AS (SELECT doc_id, quality, floor((0.45 * quality + 0.55 * u) * 100) / 100 AS score,
+                         CAST(0.45 * quality + 0.55 * u >= 0.5 AS INTEGER) AS predicted FROM h) """
+
+
+def scored(t):
+    u = F.conv(F.substring(seeded_hash("doc_id", 5), 1, 8), 16, 10).cast("double") / 4294967296.0
+    raw = 0.45 * F.col("quality") + 0.55 * u
+    return t.labels.select(
+        "doc_id", "quality", (F.floor(raw * 100) / 100).alias("score"), (raw >= 0.5).cast("int").alias("predicted")
+    )
+
+
+@query("train_quality_filter")
+def train_quality_filter(t):
+    rows = t.documents.select("doc_id", "text").join(t.labels, "doc_id")
+    model = classify.train_quality_filter(rows, "text", "quality", balanced=True)
+    return classify.score_corpus(model, rows, "doc_id", "text").join(rows.select("doc_id", "quality"), "doc_id")
+
+
+@query(
+    "binary_metrics",
+    SCORED
+    + """, c AS (SELECT count(*) FILTER (quality = 0 AND predicted = 0) AS tn, count(*) FILTER (quality = 0 AND predicted = 1) AS fp,
+                   count(*) FILTER (quality = 1 AND predicted = 0) AS fn, count(*) FILTER (quality = 1 AND predicted = 1) AS tp FROM s)
+         SELECT tn, fp, fn, tp, round((tp + tn) / (tp + tn + fp + fn), 6) AS accuracy, round(tp / (tp + fp), 6) AS precision,
+           round(tp / (tp + fn), 6) AS recall, round(tn / (tn + fp), 6) AS specificity, round(2 * tp / (2 * tp + fp + fn), 6) AS f1,
+           round((tp / (tp + fn) + tn / (tn + fp)) / 2, 6) AS balanced_accuracy FROM c""",
+)
+def binary_metrics(t):
+    metrics = classify.binary_metrics(scored(t), "quality", "predicted")
+    return rounded(metrics, "accuracy", "precision", "recall", "specificity", "f1", "balanced_accuracy")
+
+
+@query(
+    "weighted_f1",
+    SCORED
+    + """, k AS (SELECT unnest([0, 1]) AS c),
+         f AS (SELECT c, count(*) FILTER (quality = c) AS actual, count(*) FILTER (predicted = c) AS guessed,
+                 count(*) FILTER (quality = c AND predicted = c) AS hit FROM s, k GROUP BY c)
+         SELECT round(sum(hit) / sum(actual), 6) AS accuracy,
+           round(sum(actual * (2 * hit / (actual + guessed))) / sum(actual), 6) AS weighted_f1 FROM f""",
+)
+def weighted_f1(t):
+    return rounded(classify.weighted_f1(scored(t), "quality", "predicted"), "accuracy", "weighted_f1")
+
+
+CURVE = (
+    SCORED
+    + """, g AS (SELECT score AS threshold, count(*) AS n, CAST(sum(quality) AS BIGINT) AS pos FROM s GROUP BY score),
+           c AS (SELECT threshold, n, pos, CAST(sum(n) OVER w AS BIGINT) AS run_n, CAST(sum(pos) OVER w AS BIGINT) AS run_pos,
+                   CAST(sum(pos) OVER () AS BIGINT) AS all_pos, CAST(sum(n) OVER () AS BIGINT) AS all_n
+                 FROM g WINDOW w AS (ORDER BY threshold DESC)),
+           pr AS (SELECT threshold, run_pos / run_n AS precision, run_pos / all_pos AS recall, n FROM c) """
+)
+
+
+@query("pr_curve", CURVE + "SELECT threshold, round(precision, 6) AS precision, round(recall, 6) AS recall, n FROM pr")
+def pr_curve(t):
+    return rounded(classify.pr_curve(scored(t), "quality", "score"), "precision", "recall")
+
+
+@query(
+    "roc_auc_ap",
+    CURVE
+    + """, q AS (SELECT sum(CASE WHEN a.score > b.score THEN 1.0 WHEN a.score = b.score THEN 0.5 ELSE 0 END)::DOUBLE / count(*) AS auc
+                 FROM s a, s b WHERE a.quality = 1 AND b.quality = 0)
+         SELECT (SELECT round(auc, 6) FROM q) AS roc_auc, round(sum(pos * run_pos / run_n) / max(all_pos), 6) AS average_precision FROM c""",
+)
+def roc_auc_ap(t):
+    return rounded(classify.roc_auc_ap(scored(t), "quality", "score"), "roc_auc", "average_precision")
+
+
+@query(
+    "choose_threshold",
+    CURVE
+    + """, o AS (SELECT * FROM pr WHERE threshold >= 0.5 AND precision >= 0.95 ORDER BY threshold LIMIT 1)
+         SELECT threshold, round(precision, 6) AS precision, round(recall, 6) AS recall,
+           round(2 * precision * recall / (precision + recall), 6) AS f1, (SELECT min(score) FROM s) AS min_prob,
+           (SELECT max(score) FROM s) AS max_prob, (SELECT round(avg(score), 6) FROM s) AS mean_prob FROM o""",
+)
+def choose_threshold(t):
+    best = classify.choose_threshold(scored(t), "quality", "score", min_precision=0.95)
+    return rounded(best, "precision", "recall", "f1", "mean_prob")
+
+
+GRID = [0.5, 0.55, 0.605, 0.66, 0.725, 0.8, 0.905]
+
+
+@query(
+    "threshold_grid",
+    SCORED
+    + f""", g AS (SELECT unnest({GRID}::DOUBLE[]) AS threshold),
+            c AS (SELECT threshold, count(*) FILTER (score >= threshold) AS guessed,
+                    count(*) FILTER (score >= threshold AND quality = 1) AS hit, count(*) FILTER (quality = 1) AS actual FROM s, g GROUP BY 1)
+          SELECT threshold, round(coalesce(hit / nullif(guessed, 0), 0), 6) AS precision, round(hit / actual, 6) AS recall,
+            round(2 * hit / (guessed + actual), 6) AS f1 FROM c""",
+)
+def threshold_grid(t):
+    return rounded(classify.threshold_grid(scored(t), "quality", "score", GRID), "precision", "recall", "f1")
+
+
+@query("score_corpus")
+def score_corpus(t):
+    rows = t.documents.select("doc_id", "text").join(t.labels, "doc_id")
+    model = classify.train_quality_filter(rows, "text", "toxic")
+    return classify.score_corpus(model, t.documents, "doc_id", "text")
+
+
+@query("filter_by_prediction", SCORED + "SELECT doc_id, score FROM s WHERE predicted = 1 AND score >= 0.8")
+def filter_by_prediction(t):
+    return classify.filter_by_prediction(scored(t), 1, "predicted", "score", 0.8).select("doc_id", "score")
+
+
+@query(
+    "confidence_report",
+    SCORED
+    + """SELECT 'score' AS column, count(score) AS count, 0::BIGINT AS null_count, round(avg(score), 6) AS mean, round(stddev_samp(score), 6) AS std,
+           min(score) AS min, max(score) AS max, round(quantile_cont(score, 0.25), 6) AS p25, round(quantile_cont(score, 0.5), 6) AS p50,
+           round(quantile_cont(score, 0.75), 6) AS p75, count(*) FILTER (score < 0.9) AS under_90, count(*) FILTER (score < 0.8) AS under_80 FROM s""",
+)
+def confidence_report(t):
+    return rounded(classify.confidence_report(scored(t), "score"), "mean", "std", "p25", "p50", "p75")
+
+
+@query("label_proportions", SCORED + "SELECT predicted, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS proportion FROM s GROUP BY 1")
+def label_proportions(t):
+    return rounded(classify.label_proportions(scored(t), "predicted"), "proportion")
+
+
+@query("param_sweep")
+def param_sweep(t):
+    rows = t.documents.select("doc_id", "text").join(t.labels, "doc_id")
+    parts = sampling.train_test_split(rows, {"train": 0.7, "valid": 0.3}, 3, "doc_id")
+    train, valid = (parts.filter(F.col("split") == s) for s in ("train", "valid"))
+    return classify.param_sweep(train, valid, "text", "quality", {"reg": [0.01, 0.1], "max_iter": [10]}, first={"reg": 1.0, "max_iter": 5})
+
+
+@query("curation_workflow")
+def curation_workflow(t):
+    return curation.curate_corpus(
+        t.documents, t.labels, key="doc_id", text="text", group="lang", flag="toxic", out=fresh_path(t.spark, "curated")
+    )
+
+
+# ---- embedding search
+
+
+@query("embed_text")
+def embed_text(t):
+    embedder = search.text_embedder(t.documents, "text", 64)
+    return search.embed_text(t.documents.select("doc_id", "text"), "text", embedder).select("doc_id", F.to_json("embedding").alias("embedding"))
+
+
+def first_vector(t):
+    return t.embeddings.orderBy("vec_id").limit(1).select("embedding").scalar()
+
+
+@query(
+    "knn_exact",
+    """WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings ORDER BY vec_id LIMIT 1)
+       SELECT vec_id, label, round(list_distance(embedding::DOUBLE[], q), 6) AS distance FROM embeddings, q
+       ORDER BY list_distance(embedding::DOUBLE[], q), vec_id LIMIT 20""",
+)
+def knn_exact(t):
+    near = search.knn_exact(t.embeddings, first_vector(t), 20, "vec_id", "embedding")
+    return near.select("vec_id", "label", F.round("distance", 6).alias("distance"))
+
+
+@query(
+    "knn_exact_cosine",
+    """WITH q AS (SELECT embedding::DOUBLE[] AS q FROM embeddings ORDER BY vec_id LIMIT 1)
+       SELECT vec_id, round(1 - list_cosine_similarity(embedding::DOUBLE[], q), 6) AS distance FROM embeddings, q
+       ORDER BY 1 - list_cosine_similarity(embedding::DOUBLE[], q), vec_id LIMIT 20""",
+)
+def knn_exact_cosine(t):
+    near = search.knn_exact(t.embeddings, first_vector(t), 20, "vec_id", "embedding", "cosine")
+    return near.select("vec_id", F.abs(F.round("distance", 6)).alias("distance"))
+
+
+KNN_JOIN = """WITH p AS (SELECT a.vec_id AS query_id, b.vec_id AS row_id, {distance} AS d
+                         FROM embeddings a, embeddings b WHERE a.vec_id <> b.vec_id),
+                   r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY d, row_id) AS rank FROM p)
+              SELECT query_id, row_id, round(d, 6) AS distance, CAST(rank AS INTEGER) AS rank FROM r WHERE rank <= 5"""
+
+
+@query("knn_join", KNN_JOIN.format(distance="list_distance(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"))
+def knn_join(t):
+    return rounded(search.knn_join(t.embeddings, t.embeddings, 5, "vec_id", "embedding", exclude_self=True), "distance")
+
+
+@query("knn_join_blocks", KNN_JOIN.format(distance="1 - list_cosine_similarity(a.embedding::DOUBLE[], b.embedding::DOUBLE[])"))
+def knn_join_blocks(t):
+    # No query table is small enough here: the path for two large tables.
+    near = search.knn_join(
+        t.embeddings, t.embeddings, 5, "vec_id", "embedding", "cosine", True, broadcast_bytes=0, block_rows=1000
+    )
+    return rounded(near, "distance")
+
+
+@query("knn_approx")
+def knn_approx(t):
+    query = search.bounded_vectors(t.embeddings.orderBy("vec_id").limit(1), "vec_id", "embedding")[0]
+    return search.knn_approx(t.embeddings, query, 10, "vec_id", "embedding").select("vec_id", "label", "distance")
+
+
+@query(
+    "maxsim_score",
+    """WITH f AS (SELECT label AS q, min(vec_id) AS vec_id FROM embeddings GROUP BY label),
+            q AS (SELECT f.q, e.embedding::DOUBLE[] AS v FROM f JOIN embeddings e USING (vec_id)),
+            s AS (SELECT label, q.q, max(list_dot_product(embedding::DOUBLE[], v)) AS best FROM embeddings, q GROUP BY ALL)
+       SELECT label, round(sum(best), 6) AS score FROM s GROUP BY label""",
+)
+def maxsim_score(t):
+    # A query of one vector per label: the first of each.
+    first = t.embeddings.groupBy("label").agg(F.min_by("embedding", "vec_id").alias("embedding"))
+    vectors = search.bounded_vectors(first, "label", "embedding")
+    return rounded(search.maxsim_score(t.embeddings, "label", "embedding", vectors), "score")
+
+
+@query("label_set_search")
+def label_set_search(t):
+    rows = t.part.select("p_partkey", F.split("p_name", " ").alias("labels"))
+    texts = t.part.select(F.col("p_name").alias("text"))
+    embedder = search.text_embedder(texts, "text", 128)
+    found = search.label_set_search(rows, "labels", "red widget", 10, "p_partkey", embedder)
+    return found.select("p_partkey", F.array_join("labels", " ").alias("labels"), "distance")
+
+
+# ---- streams
+
+
+def document_files(t, name, rows=None):
+    path = fresh_path(t.spark, name)
+    (t.documents if rows is None else rows).write.option("maxRecordsPerFile", 300).parquet(path)
+    return path
+
+
+@query("stream_corpus", "SELECT doc_id, md5(text || '<|end|>') AS digest FROM documents")
+def stream_corpus(t):
+    source = document_files(t, "stream-source")
+    rows = streams.stream_corpus(t.spark, source, t.documents.schema, max_files=1)
+    ended = rows.select("doc_id", F.md5(F.concat("text", F.lit("<|end|>"))).alias("digest"))
+    out = fresh_path(t.spark, "stream-out")
+    streams.stream_to_parquet(ended, out, fresh_path(t.spark, "stream-checkpoint")).awaitTermination()
+    return t.spark.read.parquet(out)
+
+
+@query("incremental_process", "SELECT doc_id, length(text) AS n FROM documents")
+def incremental_process(t):
+    english = F.col("lang") == "en"
+    source = document_files(t, "inbox", t.documents.filter(english))
+    out, checkpoint = fresh_path(t.spark, "processed"), fresh_path(t.spark, "processed-checkpoint")
+
+    def run():
+        streams.incremental_process(
+            t.spark, source, t.documents.schema, out, checkpoint,
+            lambda rows: rows.select("doc_id", F.char_length("text").cast("long").alias("n")), max_files=2,
+        ).awaitTermination()
+
+    run()
+    t.documents.filter(~english).write.mode("append").parquet(source)
+    run()
+    run()
+    return t.spark.read.parquet(out)
+
+
+@query(
+    "stream_upsert",
+    """SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'closed' ELSE o_orderstatus END AS o_orderstatus,
+         CASE WHEN o_orderstatus = 'P' THEN 2 ELSE 1 END AS version FROM orders""",
+)
+def stream_upsert(t):
+    source = fresh_path(t.spark, "changes")
+    first = t.orders.select("o_orderkey", "o_orderstatus", F.lit(1).alias("version"))
+    second = first.filter("o_orderstatus = 'P'").withColumns({"o_orderstatus": F.lit("closed"), "version": F.lit(2)})
+    first.write.parquet(source)
+    second.write.mode("append").parquet(source)
+    target = fresh_path(t.spark, "collection")
+    rows = streams.stream_corpus(t.spark, source, first.schema, max_files=1)
+    streams.stream_upsert(rows, target, fresh_path(t.spark, "collection-checkpoint")).awaitTermination()
+    return streams.read_upserted(t.spark, target, "o_orderkey", "version")
+
+
+@query("stream_filter_count", "SELECT count(*) AS n FROM pages WHERE regexp_matches(url, 'example.org')")
+def stream_filter_count(t):
+    return streams.stream_filter_count(t.pages, F.col("url").rlike("example.org"))
