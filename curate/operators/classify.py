@@ -12,7 +12,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, FeatureHasher, HashingTF, RegexTokenizer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curate.operators.ordering import running_totals
@@ -20,7 +20,6 @@ from curate.operators.stats import describe, value_counts
 
 
 def quality_pipeline(
-    text: str,
     label: str,
     categories: Sequence[str] = (),
     weight: str | None = None,
@@ -30,7 +29,7 @@ def quality_pipeline(
 ) -> Pipeline:
     """Hashed words (plus hashed categories such as URL parts) into a logistic regression."""
     stages = [
-        RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"\s+"),
+        RegexTokenizer(inputCol="_text", outputCol="_words", pattern=r"\s+"),
         HashingTF(inputCol="_words", outputCol="_tf", numFeatures=n_features),
         IDF(inputCol="_tf", outputCol="_tfidf"),
     ]
@@ -48,9 +47,9 @@ def quality_pipeline(
     return Pipeline(stages=[*stages, model])
 
 
-def _no_null(text: str):
+def _words_of(text: str) -> Column:
     # The tokenizer does not accept null.
-    return F.coalesce(F.col(text), F.lit("")).alias(text)
+    return F.coalesce(F.col(text), F.lit("")).alias("_text")
 
 
 def balanced_weights(rows: DataFrame, label: str, name: str = "weight") -> DataFrame:
@@ -65,21 +64,30 @@ def train_quality_filter(
     train: DataFrame, text: str, label: str, categories: Sequence[str] = (), balanced: bool = False, **settings
 ) -> PipelineModel:
     """Fit a small text classifier on labelled rows (label 0 or 1)."""
-    rows = train.select(_no_null(text), F.col(label).cast("double").alias(label), *categories)
+    rows = train.select(_words_of(text), F.col(label).cast("double").alias(label), *categories)
     if balanced:
         rows = balanced_weights(rows, label)
         settings["weight"] = "weight"
-    return quality_pipeline(text, label, categories, **settings).fit(rows)
+    return quality_pipeline(label, categories, **settings).fit(rows)
 
 
 def score_corpus(
-    model: PipelineModel, rows: DataFrame, key: str, text: str, categories: Sequence[str] = ()
+    model: PipelineModel,
+    rows: DataFrame,
+    key: str,
+    text: str,
+    categories: Sequence[str] = (),
+    keep: Sequence[str] = (),
 ) -> DataFrame:
-    """Key, predicted label, its confidence and the probability of class 1; only needed columns are read."""
-    scored = model.transform(rows.select(key, _no_null(text), *categories))
+    """Key, predicted label, its confidence and the probability of class 1; only needed columns are read.
+
+    Columns of ``keep`` pass through, so that scores need not be joined back to their rows.
+    """
+    needed = dict.fromkeys([key, *keep, *categories])
+    scored = model.transform(rows.select(*needed, _words_of(text)))
     probability = vector_to_array("_probability")
     return scored.select(
-        key,
+        *dict.fromkeys([key, *keep]),
         F.col("_prediction").cast("int").alias("label"),
         F.array_max(probability).alias("confidence"),
         F.get(probability, 1).alias("score"),
@@ -288,7 +296,7 @@ def param_sweep(
         number, params = item
         started = time.monotonic()
         model = train_quality_filter(train, text, label, **params)
-        scored = model.transform(validation.select(_no_null(text), F.col(label).cast("double").alias(label)))
+        scored = model.transform(validation.select(_words_of(text), F.col(label).cast("double").alias(label)))
         scored = scored.select(label, F.get(vector_to_array("_probability"), 1).alias("score"))
         value = roc_auc_ap(scored, label, "score").first()["average_precision"]
         numbers = [float(params[p]) if p in params else None for p in grid]

@@ -60,29 +60,65 @@ def row_index(rows: DataFrame, order: Sequence[str | Column], start: int = 1, na
     )
 
 
+# Error of the sketch that brackets a quantile, and the group size below which it is not worth one.
+SKETCH_ACCURACY = 2_000
+SMALL_GROUP = 10_000
+
+
 def exact_quantiles(
     rows: DataFrame, value: str, probabilities: dict[str, float], by: Sequence[str] = ()
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one column per entry of ``probabilities``.
 
-    Values are first counted (map-side combined), then ranked through ``running_totals``;
-    no task holds all values of a group as the built-in exact percentile does.
+    A first pass sketches each group and brackets every quantile between two values. A second
+    pass counts what lies below a bracket and the distinct values inside it, about 1/500 of a
+    large group; only those are ranked. No task holds all values of a group, as the built-in
+    exact percentile does, and the column is not shuffled.
     """
     by = list(by)
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("n"))
-    ranked = running_totals(counts, [value], ["n"], by)
-    found = []
-    for name, p in probabilities.items():
-        place = F.lit(float(p)) * (F.col("all_n") - 1)
-        for part, rank in (("lo", F.floor(place)), ("hi", F.ceil(place))):
-            here = (F.col("run_n") > rank) & (F.col("run_n") - F.col("n") <= rank)
-            found.append(F.max(F.when(here, F.col(value).cast("double"))).alias(f"_{part}_{name}"))
-        found.append(F.max(place - F.floor(place)).alias(f"_frac_{name}"))
-    return ranked.groupBy(*by).agg(*found).select(
+    names, places = list(probabilities), [float(p) for p in probabilities.values()]
+    margin = 2.0 / SKETCH_ACCURACY
+    edges = [e for p in places for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
+    present = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    sketch = F.percentile_approx("_v", edges, SKETCH_ACCURACY)
+    small = F.count("*") <= SMALL_GROUP
+
+    def bracket(i: int) -> Column:
+        low = F.when(small, F.min("_v")).otherwise(F.get(sketch, F.lit(2 * i)))
+        high = F.when(small, F.max("_v")).otherwise(F.get(sketch, F.lit(2 * i + 1)))
+        return F.struct(F.lit(i).alias("i"), low.alias("low"), high.alias("high"))
+
+    brackets = F.array(*[bracket(i) for i in range(len(names))]).alias("_brackets")
+    groups = present.groupBy(*by).agg(F.count("*").alias("_n"), brackets)
+    if by:
+        met = join_null_safe(present, groups, by)
+    else:
+        whole = groups.select(F.struct("_n", "_brackets")).scalar()
+        met = present.withColumn("_group", whole).select("_v", "_group.*")
+    # A value below the bracket counts under null, which sorts before every value inside it.
+    met = met.select(*by, "_n", "_v", F.inline("_brackets")).filter(F.col("_v") <= F.col("high"))
+    inside = F.when(F.col("_v") >= F.col("low"), F.col("_v")).alias("_v")
+    counts = met.groupBy(*by, "i", inside).agg(F.count("*").alias("n"), F.max("_n").alias("_n"))
+    ranked = running_totals(counts, ["_v"], ["n"], [*by, "i"])
+
+    place = F.get(F.array(*[F.lit(p) for p in places]), F.col("i")) * (F.col("_n") - 1)
+
+    def at(i: int, rank: Column) -> Column:
+        here = (F.col("i") == i) & (F.col("run_n") > rank) & (F.col("run_n") - F.col("n") <= rank)
+        found = F.max(F.when(here, F.col("_v").cast("double")))
+        missed = F.max("_n").isNotNull() & found.isNull()
+        return F.when(missed, F.raise_error(F.lit("a quantile lies outside its bracket"))).otherwise(found)
+
+    ends = []
+    for i, name in enumerate(names):
+        ends.append(at(i, F.floor(place)).alias(f"_lo_{name}"))
+        ends.append(at(i, F.ceil(place)).alias(f"_hi_{name}"))
+        ends.append(F.max(F.when(F.col("i") == i, place - F.floor(place))).alias(f"_part_{name}"))
+    return ranked.groupBy(*by).agg(*ends).select(
         *by,
         *[
-            (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_frac_{n}")).alias(n)
-            for n in probabilities
+            (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_part_{n}")).alias(n)
+            for n in names
         ],
     )
 

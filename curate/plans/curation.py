@@ -24,8 +24,8 @@ def curate_corpus(
     """Publish the corpus without the rows that a small classifier flags; returns the published rows.
 
     The classifier learns from the annotated rows, stratified by group and flag, and its
-    threshold is chosen on the held-out part. The corpus itself is read twice: key and text to
-    be scored, and once more to be filtered by the scores.
+    threshold is chosen on the held-out part. The corpus itself is scored, filtered and written
+    in one pass without a shuffle.
     """
     labelled = joins.join_metadata(corpus.select(key, text, group), annotations.select(key, flag), key)
     # Labels are few next to the corpus; written once, they are not joined again in each training pass.
@@ -33,12 +33,12 @@ def curate_corpus(
     model = classify.train_quality_filter(parts.filter("split = 'train'"), text, flag, balanced=True)
 
     held_out = parts.filter("split = 'test'")
-    scored = classify.score_corpus(model, held_out, key, text).join(held_out.select(key, flag), key)
-    chosen = classify.choose_threshold(scored, flag, "score", min_precision, min_threshold).first()
+    tested = classify.score_corpus(model, held_out, key, text, keep=[flag])
+    chosen = classify.choose_threshold(tested, flag, "score", min_precision, min_threshold).first()
 
-    scores = classify.score_corpus(model, corpus, key, text).select(key, "score")
-    clean = scores.filter(F.col("score") < chosen["threshold"])
-    kept = joins.join_metadata(corpus, clean, key).withColumn("split", F.lit("train"))
+    scored = classify.score_corpus(model, corpus, key, text, keep=corpus.columns)
+    clean = scored.filter(F.col("score") < chosen["threshold"])
+    kept = clean.select(*corpus.columns, "score", F.lit("train").alias("split"))
     version = writers.publish_dataset(kept, out)
     published = writers.read_published(corpus.sparkSession, out, version)
     return published.select(key, group, F.round("score", 6).alias("score"))

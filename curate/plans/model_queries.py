@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from curate.operators import classify, prompts, sampling, search
+from curate.operators import classify, sampling, search, similar
 from curate.operators.ordering import seeded_hash
 from curate.plans import curation
 from curate.plans.registry import query
@@ -28,7 +28,7 @@ def scored(t):
 def train_quality_filter(t):
     rows = t.documents.select("doc_id", "text").join(t.labels, "doc_id")
     model = classify.train_quality_filter(rows, "text", "quality", balanced=True)
-    return classify.score_corpus(model, rows, "doc_id", "text").join(rows.select("doc_id", "quality"), "doc_id")
+    return classify.score_corpus(model, rows, "doc_id", "text", keep=["quality"])
 
 
 @query(
@@ -231,6 +231,11 @@ def maxsim_score(t):
     return rounded(search.maxsim_score(t.embeddings, "label", "embedding", vectors), "score")
 
 
+@query("semantic_dedup")
+def semantic_dedup(t):
+    return similar.semantic_dedup(t.embeddings, "vec_id", "embedding", 0.9).select("vec_id", "label")
+
+
 @query("label_set_search")
 def label_set_search(t):
     rows = t.part.select("p_partkey", F.split("p_name", " ").alias("labels"))

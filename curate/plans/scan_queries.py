@@ -20,7 +20,7 @@ def read_parquet_columns(t):
 
 def documents_by_language(t, name):
     path = fresh_path(t.spark, name)
-    writers.write_parquet(t.documents, path, ["lang"])
+    writers.write_parquet(t.documents, path, ["lang"], rebalance=True)
     return path
 
 

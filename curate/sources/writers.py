@@ -10,14 +10,19 @@ from pyspark.sql import functions as F
 
 
 def write_parquet(
-    rows: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "errorifexists"
+    rows: DataFrame,
+    path: str,
+    partition_by: Sequence[str] = (),
+    rebalance: bool = False,
+    mode: str = "errorifexists",
 ) -> None:
     """Sink a plan into Parquet files.
 
-    With ``partition_by`` the rows are first rebalanced on those columns: each folder gets few
-    files, and Spark splits the shuffle partition of a folder that is far larger than others.
+    With many values in ``partition_by`` every task would write a small file for each; then
+    ``rebalance`` first brings the rows of a folder together, and Spark splits the shuffle
+    partition of a folder that is far larger than others. A few values need no shuffle.
     """
-    if partition_by:
+    if partition_by and rebalance:
         rows = rows.hint("rebalance", *partition_by)
     rows.write.mode(mode).partitionBy(*partition_by).parquet(path)
 

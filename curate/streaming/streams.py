@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from curate.sources.collection import latest_by_key
+from curate.operators.stats import drop_duplicates
 
 
 def stream_corpus(
@@ -89,8 +89,9 @@ def stream_upsert(rows: DataFrame, target: str, checkpoint: str) -> StreamingQue
 
 
 def read_upserted(spark: SparkSession, target: str, key: str, version: str) -> DataFrame:
-    """Current state of a streamed collection: last write wins."""
-    return latest_by_key(spark.read.parquet(target).drop("batch"), key, version)
+    """Current state of a streamed collection: the highest version wins, then the latest batch."""
+    log = spark.read.parquet(target)
+    return drop_duplicates(log, [key], [version, "batch"], keep="last").drop("batch")
 
 
 def stream_filter_count(rows: DataFrame, predicate: Column, name: str = "n") -> DataFrame:
