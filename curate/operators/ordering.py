@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -76,49 +77,48 @@ def exact_quantiles(
     exact percentile does, and the column is not shuffled.
     """
     by = list(by)
-    names, places = list(probabilities), [float(p) for p in probabilities.values()]
+    names = sorted(probabilities, key=probabilities.get)
+    places = [float(probabilities[n]) for n in names]
     margin = 2.0 / SKETCH_ACCURACY
     edges = [e for p in places for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
     present = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
     sketch = F.percentile_approx("_v", edges, SKETCH_ACCURACY)
     small = F.count("*") <= SMALL_GROUP
-
-    def bracket(i: int) -> Column:
-        low = F.when(small, F.min("_v")).otherwise(F.get(sketch, F.lit(2 * i)))
-        high = F.when(small, F.max("_v")).otherwise(F.get(sketch, F.lit(2 * i + 1)))
-        return F.struct(F.lit(i).alias("i"), low.alias("low"), high.alias("high"))
-
-    brackets = F.array(*[bracket(i) for i in range(len(names))]).alias("_brackets")
-    groups = present.groupBy(*by).agg(F.count("*").alias("_n"), brackets)
+    ends = {}
+    for i in range(len(names)):
+        ends[f"_low{i}"] = F.when(small, F.min("_v")).otherwise(F.get(sketch, F.lit(2 * i)))
+        ends[f"_high{i}"] = F.when(small, F.max("_v")).otherwise(F.get(sketch, F.lit(2 * i + 1)))
+    groups = present.groupBy(*by).agg(*[c.alias(n) for n, c in ends.items()])
     if by:
         met = join_null_safe(present, groups, by)
     else:
-        whole = groups.select(F.struct("_n", "_brackets")).scalar()
-        met = present.withColumn("_group", whole).select("_v", "_group.*")
-    # A value below the bracket counts under null, which sorts before every value inside it.
-    met = met.select(*by, "_n", "_v", F.inline("_brackets")).filter(F.col("_v") <= F.col("high"))
-    inside = F.when(F.col("_v") >= F.col("low"), F.col("_v")).alias("_v")
-    counts = met.groupBy(*by, "i", inside).agg(F.count("*").alias("n"), F.max("_n").alias("_n"))
-    ranked = running_totals(counts, ["_v"], ["n"], [*by, "i"])
-
-    place = F.get(F.array(*[F.lit(p) for p in places]), F.col("i")) * (F.col("_n") - 1)
-
-    def at(i: int, rank: Column) -> Column:
-        here = (F.col("i") == i) & (F.col("run_n") > rank) & (F.col("run_n") - F.col("n") <= rank)
-        found = F.max(F.when(here, F.col("_v").cast("double")))
-        missed = F.max("_n").isNotNull() & found.isNull()
+        met = present.withColumn("_group", groups.select(F.struct(*ends)).scalar()).select("_v", "_group.*")
+
+    # Values between brackets collapse into a null per gap. Gaps and brackets are numbered alike,
+    # and null sorts before the values of the bracket that ends its gap.
+    v, span = F.col("_v"), range(len(names))
+    inside = reduce(lambda a, b: a | b, [v.between(F.col(f"_low{i}"), F.col(f"_high{i}")) for i in span])
+    segment = sum(((v > F.col(f"_high{i}")).cast("int") for i in span), F.lit(0))
+    counts = met.groupBy(*by, segment.alias("_segment"), F.when(inside, v).alias("_v")).agg(F.count("*").alias("n"))
+    ranked = running_totals(counts, ["_segment", "_v"], ["n"], by)
+
+    def at(rank: Column) -> Column:
+        here = (F.col("run_n") > rank) & (F.col("run_n") - F.col("n") <= rank)
+        found = F.max(F.when(here, v.cast("double")))
+        missed = F.max("n").isNotNull() & found.isNull()
         return F.when(missed, F.raise_error(F.lit("a quantile lies outside its bracket"))).otherwise(found)
 
-    ends = []
-    for i, name in enumerate(names):
-        ends.append(at(i, F.floor(place)).alias(f"_lo_{name}"))
-        ends.append(at(i, F.ceil(place)).alias(f"_hi_{name}"))
-        ends.append(F.max(F.when(F.col("i") == i, place - F.floor(place))).alias(f"_part_{name}"))
-    return ranked.groupBy(*by).agg(*ends).select(
+    found = []
+    for name, p in zip(names, places):
+        place = F.lit(p) * (F.col("all_n") - 1)
+        found.append(at(F.floor(place)).alias(f"_lo_{name}"))
+        found.append(at(F.ceil(place)).alias(f"_hi_{name}"))
+        found.append(F.max(place - F.floor(place)).alias(f"_part_{name}"))
+    return ranked.groupBy(*by).agg(*found).select(
         *by,
         *[
             (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_part_{n}")).alias(n)
-            for n in names
+            for n in probabilities
         ],
     )
 

@@ -8,13 +8,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.ml import Pipeline, PipelineModel
-from pyspark.ml.feature import (
-    IDF,
-    BucketedRandomProjectionLSH,
-    HashingTF,
-    Normalizer,
-    RegexTokenizer,
-)
+from pyspark.ml.feature import IDF, BucketedRandomProjectionLSH, HashingTF, Normalizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,22 +24,27 @@ METRICS = {
 # Query tables up to this size go to every task; larger ones are searched block by block.
 BROADCAST_BYTES = 64 << 20
 BLOCK_ROWS = 20_000
+# Cells of one matrix of distances inside a task.
+MATRIX_CELLS = 1 << 18
+
+
+def _words_of(text: str) -> Column:
+    return F.split(F.lower(F.coalesce(F.col(text), F.lit(""))), r"\s+").alias("_words")
 
 
 def text_embedder(rows: DataFrame, text: str, dim: int = 256) -> PipelineModel:
     """Fit hashed TF-IDF vectors of unit length on a corpus."""
     stages = [
-        RegexTokenizer(inputCol=text, outputCol="_words", pattern=r"\s+"),
         HashingTF(inputCol="_words", outputCol="_tf", numFeatures=dim),
         IDF(inputCol="_tf", outputCol="_tfidf"),
         Normalizer(inputCol="_tfidf", outputCol="_unit"),
     ]
-    return Pipeline(stages=stages).fit(rows.filter(F.col(text).isNotNull()).select(text))
+    return Pipeline(stages=stages).fit(rows.filter(F.col(text).isNotNull()).select(_words_of(text)))
 
 
 def embed_text(rows: DataFrame, text: str, embedder: PipelineModel, name: str = "embedding") -> DataFrame:
     """Add the text's vector; an external encoder can take this place through ``generate_batch``."""
-    embedded = embedder.transform(rows.withColumn(text, F.coalesce(F.col(text), F.lit(""))))
+    embedded = embedder.transform(rows.select("*", _words_of(text)))
     return embedded.withColumn(name, vector_to_array("_unit")).select(*rows.columns, name)
 
 
@@ -84,7 +83,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
     return values.reshape(len(column), -1)
 
 
-def _distances(queries: np.ndarray, block: np.ndarray, metric: str) -> np.ndarray:
+def _rough_distances(queries: np.ndarray, block: np.ndarray, metric: str) -> np.ndarray:
     products = queries @ block.T
     if metric == "dot":
         return -products
@@ -95,34 +94,38 @@ def _distances(queries: np.ndarray, block: np.ndarray, metric: str) -> np.ndarra
     return q[:, None] + b[None, :] - 2.0 * products
 
 
-def _refine(query: np.ndarray, block: np.ndarray, metric: str) -> np.ndarray:
-    # The matrix form loses digits near zero, so the few candidates are measured directly.
+def _pair_distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
     if metric == "l2":
-        return np.sqrt(((block - query) ** 2).sum(axis=1))
-    return _distances(query[None, :], block, metric)[0]
+        return np.sqrt(((a - b) ** 2).sum(axis=1))
+    products = (a * b).sum(axis=1)
+    if metric == "dot":
+        return -products
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return 1.0 - products / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
 
 
 def _nearest(
     q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, block: np.ndarray, k: int, metric: str, exclude_self: bool
-) -> pd.DataFrame:
-    """The best ``k`` rows of one block for each query, never all pairs."""
-    found = []
-    spare = k + 1 if exclude_self else k
-    rough = _distances(queries, block, metric)
-    for i, query in enumerate(queries):
-        row = rough[i]
-        if len(row) > spare:
-            # Everything within rounding of the k-th best is a candidate.
-            edge = np.partition(row, spare - 1)[spare - 1] + 1e-9
-            pick = np.flatnonzero(~(row > edge))
-        else:
-            pick = np.arange(len(row))
+) -> Iterator[pd.DataFrame]:
+    """The best ``k`` rows of one block for each query, a bounded number of queries at a time."""
+    wanted = min(k + 1 if exclude_self else k, len(ids))
+    step = max(1, MATRIX_CELLS // len(ids))
+    for start in range(0, len(q_ids), step):
+        part_ids, part = q_ids[start : start + step], queries[start : start + step]
+        rough = _rough_distances(part, block, metric)
+        # The matrix form loses digits near zero: whatever lies within rounding of the k-th
+        # best is a candidate and is measured directly.
+        edge = np.partition(rough, wanted - 1, axis=1)[:, wanted - 1] + 1e-9
+        q, r = np.nonzero(~(rough > edge[:, None]))
         if exclude_self:
-            pick = pick[ids[pick] != q_ids[i]]
-        exact = _refine(query, block[pick], metric)
-        order = np.lexsort((ids[pick], exact))[:k]
-        found.append(pd.DataFrame({"query_id": q_ids[i], "row_id": ids[pick][order], "distance": exact[order]}))
-    return pd.concat(found) if found else pd.DataFrame({"query_id": [], "row_id": [], "distance": []})
+            other = part_ids[q] != ids[r]
+            q, r = q[other], r[other]
+        exact = _pair_distances(part[q], block[r], metric)
+        order = np.lexsort((ids[r], exact, q))
+        q, r, exact = q[order], r[order], exact[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        best = place < k
+        yield pd.DataFrame({"query_id": part_ids[q[best]], "row_id": ids[r[best]], "distance": exact[best]})
 
 
 def knn_join(
@@ -144,8 +147,8 @@ def knn_join(
     """
     id_type = rows.schema[key].dataType.simpleString()
     schema = f"query_id {id_type}, row_id {id_type}, distance double"
-    q = queries.select(F.col(key).alias("id"), doubles(vector).alias("v"))
-    r = rows.select(F.col(key).alias("id"), doubles(vector).alias("v"))
+    q = queries.filter(F.col(vector).isNotNull()).select(F.col(key).alias("id"), doubles(vector).alias("v"))
+    r = rows.filter(F.col(vector).isNotNull()).select(F.col(key).alias("id"), doubles(vector).alias("v"))
     size = q.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("dim")).first()
 
     if size["n"] * (size["dim"] + 1) * 8 <= broadcast_bytes:
@@ -159,12 +162,13 @@ def knn_join(
             for batch in batches:
                 if len(batch) and len(q_ids):
                     ids = batch.column("id").to_numpy(zero_copy_only=False)
-                    near = _nearest(q_ids, q_vectors, ids, _matrix(batch.column("v")), k, metric, exclude_self)
-                    yield pa.RecordBatch.from_pandas(near, preserve_index=False)
+                    block = _matrix(batch.column("v"))
+                    for near in _nearest(q_ids, q_vectors, ids, block, k, metric, exclude_self):
+                        yield pa.RecordBatch.from_pandas(near, preserve_index=False)
 
         candidates = r.mapInArrow(search, schema)
     else:
-        blocks = rows.agg(F.count("*")).first()[0]
+        blocks = r.agg(F.count("*")).first()[0]
         q_blocks = -(-size["n"] // block_rows)
         r_blocks = max(1, -(-blocks // block_rows))
 
@@ -177,9 +181,8 @@ def knn_join(
         def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
             if left.empty or right.empty:
                 return pd.DataFrame({"query_id": [], "row_id": [], "distance": []})
-            return _nearest(
-                left["id"].to_numpy(), np.stack(left["v"]), right["id"].to_numpy(), np.stack(right["v"]), k, metric, exclude_self
-            )
+            sides = left["id"].to_numpy(), np.stack(left["v"]), right["id"].to_numpy(), np.stack(right["v"])
+            return pd.concat(_nearest(*sides, k, metric, exclude_self))
 
         candidates = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(meet, schema)
 
@@ -200,15 +203,31 @@ def maxsim_score(
 ) -> DataFrame:
     """Late interaction: for each query vector the best dot product in a document, summed.
 
-    One map-side combined maximum per query vector, so a document may have any number of vectors.
+    Every batch of vectors is multiplied with the query as one matrix and reduced to one row of
+    maxima per document before the shuffle, so a document may have any number of vectors.
     """
-    scores = rows.select(
-        document,
-        *[dot(vector, query_vector(q)).alias(f"_s{i}") for i, q in enumerate(query_vectors)],
+    asked = np.array(query_vectors, dtype=np.float64)
+
+    def maxima(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            named = batch.column("document").dictionary_encode(null_encoding="encode")
+            codes = named.indices.to_numpy(zero_copy_only=False)
+            order = np.argsort(codes, kind="stable")
+            starts = np.flatnonzero(np.r_[True, np.diff(codes[order]) != 0])
+            best = np.maximum.reduceat((_matrix(batch.column("v")) @ asked.T)[order], starts)
+            present = named.dictionary.take(pa.array(codes[order][starts]))
+            yield pa.RecordBatch.from_arrays([present, pa.array(list(best))], ["document", "best"])
+
+    doc_type = rows.schema[document].dataType.simpleString()
+    vectors = rows.filter(F.col(vector).isNotNull()).select(F.col(document).alias("document"), doubles(vector).alias("v"))
+    partial = vectors.mapInArrow(maxima, f"document {doc_type}, best array<double>")
+    best = partial.groupBy("document").agg(
+        *[F.max(F.get("best", F.lit(i))).alias(f"_s{i}") for i in range(len(asked))]
     )
-    best = scores.groupBy(document).agg(*[F.max(f"_s{i}").alias(f"_s{i}") for i in range(len(query_vectors))])
-    total = sum((F.col(f"_s{i}") for i in range(len(query_vectors))), F.lit(0.0))
-    return best.select(document, total.alias("score"))
+    total = sum((F.col(f"_s{i}") for i in range(len(asked))), F.lit(0.0))
+    return best.select(F.col("document").alias(document), total.alias("score"))
 
 
 def lsh_model(rows: DataFrame, vector: str, bucket: float, tables: int, seed: int = 42):

@@ -250,14 +250,14 @@ def label_set_search(t):
 
 def document_files(t, name, rows=None):
     path = fresh_path(t.spark, name)
-    (t.documents if rows is None else rows).write.option("maxRecordsPerFile", 300).parquet(path)
+    (t.documents if rows is None else rows).write.option("maxRecordsPerFile", 1000).parquet(path)
     return path
 
 
 @query("stream_corpus", "SELECT doc_id, md5(text || '<|end|>') AS digest FROM documents")
 def stream_corpus(t):
     source = document_files(t, "stream-source")
-    rows = streams.stream_corpus(t.spark, source, t.documents.schema, max_files=1)
+    rows = streams.stream_corpus(t.spark, source, t.documents.schema, max_files=4)
     ended = rows.select("doc_id", F.md5(F.concat("text", F.lit("<|end|>"))).alias("digest"))
     out = fresh_path(t.spark, "stream-out")
     streams.stream_to_parquet(ended, out, fresh_path(t.spark, "stream-checkpoint")).awaitTermination()
