@@ -90,7 +90,8 @@ def exact_quantiles(
         ends[f"_high{i}"] = F.when(small, F.max("_v")).otherwise(F.get(sketch, F.lit(2 * i + 1)))
     groups = present.groupBy(*by).agg(*[c.alias(n) for n, c in ends.items()])
     if by:
-        met = join_null_safe(present, groups, by)
+        # A written table has a known size: if it is small it is broadcast and the rows stay put.
+        met = join_null_safe(present, materialize(groups), by)
     else:
         met = present.withColumn("_group", groups.select(F.struct(*ends)).scalar()).select("_v", "_group.*")
 
@@ -149,6 +150,8 @@ def smallest_hash_cutoffs(
         .where((F.col("_run") >= F.col("_take")) & (F.col("_run") - F.col("_n") < F.col("_take")))
         .select(*by, "_prefix", (F.col("_take") - F.col("_run") + F.col("_n")).alias("_need"))
     )
-    close = join_null_safe(hashed, edges, [*by, "_prefix"])
+    # Written down, the edges have a known size: unless the groups are very many they are
+    # broadcast, and no row outside the edges is shuffled.
+    close = join_null_safe(hashed, materialize(edges), [*by, "_prefix"])
     ranked = close.withColumn("_rank", F.row_number().over(Window.partitionBy(*by).orderBy("_hash")))
     return ranked.where(F.col("_rank") == F.col("_need")).select(*by, F.col("_hash").alias("_cutoff"))

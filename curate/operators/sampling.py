@@ -8,8 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from curate.operators.ordering import seeded_hash, smallest_hash_cutoffs
-from curate.operators.stats import percent_true, share_of_total
-from curate.session import as_column, join_null_safe
+from curate.session import as_column, join_null_safe, materialize
 
 
 def top_rows(rows: DataFrame, order: Sequence[str | Column], k: int, skip: int = 0) -> DataFrame:
@@ -75,7 +74,7 @@ def stratified_split(
     the size of a stratum does not matter. ``key`` has to be unique.
     """
     take = F.floor(F.lit(test_size) * F.col("size") + F.lit(0.5))
-    cutoffs = smallest_hash_cutoffs(rows, key, seed, take, by=list(strata))
+    cutoffs = materialize(smallest_hash_cutoffs(rows, key, seed, take, by=list(strata)))
     in_test = F.coalesce(seeded_hash(key, seed) <= F.col("_cutoff"), F.lit(False))
     return (
         join_null_safe(rows, cutoffs, list(strata), "left")
@@ -84,16 +83,14 @@ def stratified_split(
     )
 
 
-def split_report(rows: DataFrame, by: str, flag: str, splits: Sequence[str] = ("train", "test")) -> DataFrame:
-    """Per split and group: percentage of true flags, rows, and share of the split."""
-    reports = []
-    for name in splits:
-        part = rows.filter(F.col("split") == name)
-        flags = percent_true(part, by, flag, "percent_true").withColumnRenamed("n", "flagged")
-        shares = share_of_total(part, by).withColumnRenamed("percent", "percent_of_split")
-        joined = join_null_safe(shares, flags, [by])
-        reports.append(joined.select(F.lit(name).alias("split"), by, "n", "percent_true", "percent_of_split"))
-    report = reports[0]
-    for more in reports[1:]:
-        report = report.unionByName(more)
-    return report
+def split_report(rows: DataFrame, by: str, flag: str) -> DataFrame:
+    """Per split and group: rows, percentage of true flags, and share of the split. One pass."""
+    true = F.sum(F.col(flag).cast("int")) * F.lit(100.0)
+    groups = rows.groupBy("split", by).agg(
+        F.count("*").alias("n"), F.try_divide(true, F.count(flag)).alias("percent_true")
+    )
+    # Written once, the report's few rows are not counted again for the totals.
+    groups = materialize(groups)
+    totals = groups.groupBy("split").agg(F.sum("n").alias("_total"))
+    share = F.col("n") * F.lit(100.0) / F.col("_total")
+    return join_null_safe(groups, totals, ["split"]).withColumn("percent_of_split", share).drop("_total")

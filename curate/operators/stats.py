@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curate.operators.ordering import exact_quantiles
-from curate.session import as_column, join_null_safe
+from curate.session import as_column, join_null_safe, materialize
 
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
@@ -37,7 +37,7 @@ def group_count(rows: DataFrame, by: str | Sequence[str], name: str = "n") -> Da
 
 def percent_true(rows: DataFrame, by: str, flag: str, name: str = "percent") -> DataFrame:
     """Percentage of rows with a true (or 1) flag; null flags are not counted."""
-    share = F.sum(F.col(flag).cast("int")) * F.lit(100.0) / F.count(flag)
+    share = F.try_divide(F.sum(F.col(flag).cast("int")) * F.lit(100.0), F.count(flag))
     return rows.groupBy(by).agg(share.alias(name), F.count(flag).alias("n"))
 
 
@@ -146,10 +146,12 @@ def group_members(rows: DataFrame, list_key: str, member: str, per_row: int = 10
     """Members of each entry of a list-valued key; a member may appear under several keys.
 
     A key with very many members is spread over rows numbered by ``part`` with about
-    ``per_row`` members each (by hash), so that no list outgrows a task.
+    ``per_row`` members each (by hash), so that no list outgrows a task. ``member`` has to be
+    unique per row.
     """
-    pairs = rows.select(F.explode(list_key).alias("key"), F.col(member).alias("member")).distinct()
-    sizes = pairs.groupBy("key").agg(F.count("*").alias("n_members"))
+    pairs = rows.select(F.explode(F.array_distinct(list_key)).alias("key"), F.col(member).alias("member"))
+    # The counts are written down so that Spark knows their size and can broadcast them.
+    sizes = materialize(pairs.groupBy("key").agg(F.count("*").alias("n_members")))
     parts = F.ceil(F.col("n_members") / F.lit(per_row))
     placed = join_null_safe(pairs, sizes, ["key"]).withColumn("part", F.pmod(F.xxhash64("member"), parts))
     return placed.groupBy("key", "part").agg(

@@ -140,8 +140,8 @@ def test_pivot_and_back(spark, rows):
 
 def test_percent_true_ignores_null_flags(spark):
     frame = spark.createDataFrame([("x", True), ("x", None), ("x", False), ("y", None)], "g string, f boolean")
-    got = {r["g"]: (r["percent"], r["n"]) for r in stats.percent_true(frame.filter("g = 'x'"), "g", "f").collect()}
-    assert got == {"x": (50.0, 2)}
+    got = {r["g"]: (r["percent"], r["n"]) for r in stats.percent_true(frame, "g", "f").collect()}
+    assert got == {"x": (50.0, 2), "y": (None, 0)}
 
 
 def test_null_counts(spark):
