@@ -99,21 +99,24 @@ ANNOTATIONS = """WITH a AS (SELECT doc_id, [CASE WHEN quality = 1 THEN 'useful'
                               CASE WHEN toxic = 1 THEN 'problematic' ELSE 'none' END] AS labels FROM labels) """
 
 
-@query(
-    "list_functions",
-    ANNOTATIONS
-    + """SELECT doc_id, CAST(len(labels) AS INTEGER) AS list_len, labels[1] AS list_first,
-           array_to_string(list_sort(labels), '+') AS list_sorted, CAST(len(list_distinct(labels)) AS INTEGER) AS n_unique
-         FROM a""",
-)
-def list_functions(t):
-    return annotations(t).select(
-        "doc_id",
-        F.size("labels").alias("list_len"),
-        F.get("labels", F.lit(0)).alias("list_first"),
-        F.array_join(F.array_sort("labels"), "+").alias("list_sorted"),
-        F.size(F.array_distinct("labels")).alias("n_unique"),
-    )
+@query("list_len", ANNOTATIONS + "SELECT doc_id, CAST(len(labels) AS INTEGER) AS n FROM a")
+def list_len(t):
+    return annotations(t).select("doc_id", F.size("labels").alias("n"))
+
+
+@query("list_first", ANNOTATIONS + "SELECT doc_id, labels[1] AS first FROM a")
+def list_first(t):
+    return annotations(t).select("doc_id", F.get("labels", F.lit(0)).alias("first"))
+
+
+@query("list_sort", ANNOTATIONS + "SELECT doc_id, array_to_string(list_sort(labels), '+') AS sorted FROM a")
+def list_sort(t):
+    return annotations(t).select("doc_id", F.array_join(F.array_sort("labels"), "+").alias("sorted"))
+
+
+@query("list_unique", ANNOTATIONS + "SELECT doc_id, array_to_string(list_sort(list_distinct(labels)), '+') AS labels FROM a")
+def list_unique(t):
+    return annotations(t).select("doc_id", F.array_join(F.array_sort(F.array_distinct("labels")), "+").alias("labels"))
 
 
 @query("join_list", ANNOTATIONS + "SELECT doc_id, array_to_string(labels, ' ') AS joined FROM a")
@@ -131,6 +134,11 @@ def parse_datetime(t):
     return parsed.select("o_orderkey", F.year("ts").alias("year"), F.month("ts").alias("month"))
 
 
+@query("year", "SELECT CAST(year(o_orderdate) AS INTEGER) AS year, count(*) AS n FROM orders GROUP BY 1")
+def year(t):
+    return t.orders.groupBy(F.year("o_orderdate").alias("year")).agg(F.count("*").alias("n"))
+
+
 @query(
     "cast_columns",
     """SELECT doc_id, CAST(quality = 1 AS INTEGER) AS as_int, CAST(toxic = 1 AS VARCHAR) AS as_string,
@@ -209,7 +217,7 @@ def split_front_matter(t):
     return cards.select("doc_id", "front_matter", F.md5("body").alias("body_digest"))
 
 
-@query("payload_struct", """SELECT c_custkey, to_json({'c_name': c_name, 'c_mktsegment': c_mktsegment}) AS payload FROM customer""")
+@query("payload_struct", """SELECT c_custkey, to_json({'c_name': c_name, 'c_mktsegment': c_mktsegment})::VARCHAR AS payload FROM customer""")
 def payload_struct(t):
     points = t.customer.select("c_custkey", F.array("c_acctbal").alias("vector"), "c_name", "c_mktsegment")
     return vectors.payload_struct(points, "vector", "c_custkey").select("c_custkey", F.to_json("payload").alias("payload"))

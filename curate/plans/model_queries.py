@@ -231,9 +231,31 @@ def maxsim_score(t):
     return rounded(search.maxsim_score(t.embeddings, "label", "embedding", vectors), "score")
 
 
-@query("semantic_dedup")
+# The vectors, each followed by an equal, a stretched and a slightly turned copy under later ids.
+COPIES = """WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings),
+    c AS (SELECT vec_id, e FROM v UNION ALL SELECT vec_id + 1000000, e FROM v
+          UNION ALL SELECT vec_id + 2000000, list_transform(e, lambda x: x * 3) FROM v
+          UNION ALL SELECT vec_id + 3000000, list_prepend(e[1] + 0.3, e[2:]) FROM v) """
+
+
+def copies(t):
+    rows = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    turned = F.transform("e", lambda x, i: F.when(i == 0, x + 0.3).otherwise(x))
+    changed = [(1, F.col("e")), (2, F.transform("e", lambda x: x * 3)), (3, turned)]
+    for n, vector in changed:
+        more = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+        rows = rows.unionByName(more.select((F.col("vec_id") + n * 1_000_000).alias("vec_id"), vector.alias("e")))
+    return rows
+
+
+@query(
+    "semantic_dedup",
+    COPIES
+    + """SELECT vec_id FROM c a WHERE NOT EXISTS
+           (SELECT 1 FROM c b WHERE b.vec_id < a.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95)""",
+)
 def semantic_dedup(t):
-    return similar.semantic_dedup(t.embeddings, "vec_id", "embedding", 0.9).select("vec_id", "label")
+    return similar.semantic_dedup(copies(t), "vec_id", "e", 0.95, bits=6, tables=24).select("vec_id")
 
 
 @query("label_set_search")

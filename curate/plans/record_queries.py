@@ -122,7 +122,7 @@ def parse_delimited_annotations(t):
     "build_messages",
     """SELECT doc_id, to_json([{'role': 'system', 'content': 'You label documents.'},
          {'role': 'user', 'content': 'Label document ' || doc_id || ' from ' || source},
-         {'role': 'assistant', 'content': to_json({'lang': lang, 'n_chars': n_chars})::VARCHAR}]) AS messages FROM documents""",
+         {'role': 'assistant', 'content': to_json({'lang': lang, 'n_chars': n_chars})::VARCHAR}])::VARCHAR AS messages FROM documents""",
 )
 def build_messages(t):
     prompt = F.concat(F.lit("Label document "), F.col("doc_id").cast("string"), F.lit(" from "), "source")

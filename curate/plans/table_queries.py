@@ -445,7 +445,7 @@ def cheapest_trial(t):
 
 @query(
     "cost_estimate",
-    "SELECT regexp_extract(url, '://([^/?#]+)', 1) AS host, count(*) AS items, round(count(*) * 0.002, 6) AS cost FROM pages GROUP BY 1",
+    "SELECT regexp_extract(url, '://([^/?#]+)', 1) AS host, count(*) AS items, round(count(*) * 0.002::DOUBLE, 6) AS cost FROM pages GROUP BY 1",
 )
 def cost_estimate(t):
     from curate.functions.urls import url_host
