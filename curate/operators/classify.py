@@ -212,13 +212,15 @@ def choose_threshold(
     )
 
 
-def dense_grid(floor: float, optimum: float, highest: float, margin: float = 0.1) -> list[float]:
+# Points of the grid below, around and above the optimum, and the width around it.
+GRID_POINTS = (40, 20, 40)
+GRID_MARGIN = 0.1
+
+
+def dense_grid(floor: float, optimum: float, highest: float, margin: float = GRID_MARGIN) -> list[float]:
     """Thresholds from floor to highest score, denser around the optimum."""
-    spans = [
-        np.linspace(floor, optimum - margin, 40),
-        np.linspace(optimum - margin, optimum + margin, 20),
-        np.linspace(optimum + margin, highest, 40),
-    ]
+    corners = (floor, optimum - margin, optimum + margin, highest)
+    spans = [np.linspace(a, b, n) for a, b, n in zip(corners, corners[1:], GRID_POINTS)]
     return sorted({float(x) for x in np.clip(np.concatenate(spans), floor, highest)})
 
 

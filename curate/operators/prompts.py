@@ -57,11 +57,11 @@ def fill_template(text: str, columns: dict[str, Column]) -> Column:
 
 
 def render_prompt(
-    rows: DataFrame, template: str, id_column: str, body: str, max_len: int = 8000, name: str = "prompt"
+    rows: DataFrame, template: str, id_column: str, body: str, max_len: int | None = None, name: str = "prompt"
 ) -> DataFrame:
-    """Add a prompt from a named template; the model gets at most ``max_len`` characters of the body."""
-    columns = {"id": F.col(id_column), "body": F.substring(body, 1, max_len)}
-    return rows.withColumn(name, fill_template(prompt_template(template).text, columns))
+    """Add a prompt from a named template, with the whole body or at most ``max_len`` characters of it."""
+    text = F.col(body) if max_len is None else F.substring(body, 1, max_len)
+    return rows.withColumn(name, fill_template(prompt_template(template).text, {"id": F.col(id_column), "body": text}))
 
 
 # Fixed wording of the two task-listing prompts.

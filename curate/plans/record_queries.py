@@ -137,7 +137,8 @@ def build_messages(t):
          || substr(text, 1, 8000) || chr(10) || chr(10) || 'Answer with JSON.') AS prompt FROM documents""",
 )
 def render_prompt(t):
-    rows = prompts.render_prompt(t.documents, "summary", "doc_id", "text")
+    # The length limit of the model's prompt is part of this operator.
+    rows = prompts.render_prompt(t.documents, "summary", "doc_id", "text", max_len=8000)
     return rows.select("doc_id", F.md5("prompt").alias("prompt"))
 
 

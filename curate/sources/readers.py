@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,8 +31,9 @@ def select_files(
 
     The tests look only at the part of the path below ``root``.
     """
-    folder = root.rstrip("/")
-    below = F.substring_index(F.col("path"), folder + "/", -1)
+    # Listings may spell the scheme differently from the root (file:/x, file:///x).
+    folder = re.sub(r"^[A-Za-z][A-Za-z0-9+.\-]*:/*", "/", root).rstrip("/") + "/"
+    below = F.substr("path", F.locate(folder, F.col("path")) + F.lit(len(folder)))
     files = list_files(spark, root).withColumn("file", below)
     files = files.filter(~F.col("file").rlike(r"(^|/)\."))
     files = files.filter(F.col("file").contains(contains) & F.col("file").endswith(suffix))
@@ -91,4 +93,6 @@ def folder_name(path: str | Column, part: int) -> Column:
 def label_from_path(rows: DataFrame, part: int = 2, name: str = "label") -> DataFrame:
     """Add the name of the folder a row was read from; ``key=value`` folders give the value."""
     folder = folder_name(F.col("_metadata.file_path"), part)
+    # The path is URL-encoded, but a plus sign in it stands for itself.
+    folder = F.try_url_decode(F.replace(folder, F.lit("+"), F.lit("%2B")))
     return rows.withColumn(name, F.element_at(F.split(folder, "="), -1))

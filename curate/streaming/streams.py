@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -50,12 +51,25 @@ def incremental_process(
     return stream_to_parquet(transform(stream_corpus(spark, source, schema, max_files)), out, checkpoint)
 
 
-def first_batches(rows: DataFrame, handle: Callable[[DataFrame, int], None], steps: int, checkpoint: str) -> None:
-    """Hand the first ``steps`` batches of a stream to ``handle``, then stop (a training loop's max steps)."""
+class _EnoughBatches(Exception):
+    pass
+
+
+def first_batches(
+    rows: DataFrame, handle: Callable[[DataFrame, int], None], steps: int, checkpoint: str
+) -> list[int]:
+    """Hand the next ``steps`` batches of a stream to ``handle``, then stop (a training loop's max steps).
+
+    Returns the numbers of the batches. The batch after the last is refused before it is
+    committed, so that a later run with the same checkpoint goes on with it.
+    """
+    handled: list[int] = []
 
     def step(batch: DataFrame, number: int) -> None:
-        if number < steps:
-            handle(batch, number)
+        if len(handled) == steps:
+            raise _EnoughBatches
+        handle(batch, number)
+        handled.append(number)
 
     query = (
         rows.writeStream.foreachBatch(step)
@@ -64,10 +78,11 @@ def first_batches(rows: DataFrame, handle: Callable[[DataFrame, int], None], ste
         .start()
     )
     try:
-        while query.isActive and (query.lastProgress is None or query.lastProgress["batchId"] + 1 < steps):
-            query.awaitTermination(0.2)
-    finally:
-        query.stop()
+        query.awaitTermination()
+    except StreamingQueryException:
+        if len(handled) < steps:
+            raise
+    return handled
 
 
 def stream_upsert(rows: DataFrame, target: str, checkpoint: str) -> StreamingQuery:

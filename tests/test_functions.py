@@ -131,10 +131,10 @@ def test_validate_record(spark):
 
 
 def test_parse_delimited_annotations(spark):
-    generated = "XLSR-53 -|- model -|- a large model\n\nbroken line\nEnglish -|- language -|- of the text\na -|- b"
+    generated = "Ada -|- person -|- wrote programs\n\nbroken line\nParis -|- city -|- in France\na -|- b"
     frame = spark.createDataFrame([(1, generated)], "id int, g string")
     got = [tuple(r) for r in records.parse_delimited_annotations(frame, "g").collect()]
-    assert got == [(1, "XLSR-53", "model", "a large model"), (1, "English", "language", "of the text")]
+    assert got == [(1, "Ada", "person", "wrote programs"), (1, "Paris", "city", "in France")]
 
 
 def test_build_messages(spark):
@@ -165,9 +165,9 @@ def test_drop_invalid_boxes(spark):
 
 
 def test_url_lists(spark):
-    entries = ["http://www.asagaku.com/", "www3.nhk.or.jp/news/easy/", "http://kids.yahoo.co.jp/"]
+    entries = ["http://www.school.example/", "news.example/easy/", "http://kids.example/"]
     frame = spark.createDataFrame(
-        [("http://www.asagaku.com/",), ("http://www.asagaku.com/x",), ("www3.nhk.or.jp/news/easy/1",), (None,)], "u string"
+        [("http://www.school.example/",), ("http://www.school.example/x",), ("news.example/easy/1",), (None,)], "u string"
     )
     assert filters.keep_urls(frame, "u", entries).count() == 1
     assert filters.keep_urls(frame, "u", entries, "prefix").count() == 3

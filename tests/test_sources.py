@@ -19,8 +19,9 @@ def test_select_files(spark, tmp_path):
     for name in ("data/sco/a.parquet", "data/sco/.b.parquet", "data/sco_removed/c.parquet", "data/dan/d.parquet", "data/sco/e.csv"):
         (tmp_path / name).parent.mkdir(parents=True, exist_ok=True)
         (tmp_path / name).write_text("x")
-    found = readers.select_files(spark, str(tmp_path), "sco", ".parquet", ["removed"])
-    assert [r["file"] for r in found.collect()] == ["data/sco/a.parquet"]
+    for root in (str(tmp_path), f"file://{tmp_path}/"):
+        found = readers.select_files(spark, root, "sco", ".parquet", ["removed"])
+        assert [r["file"] for r in found.collect()] == ["data/sco/a.parquet"]
 
 
 def test_sample_files(spark):
@@ -57,6 +58,14 @@ def test_partitioned_write_reads_back(spark, rows):
     assert labelled.filter("label <> k").count() == 0
 
 
+def test_label_from_folder_with_special_characters(spark, tmp_path):
+    for folder in ("has space", "a+b"):
+        (tmp_path / folder).mkdir()
+        (tmp_path / folder / "x.txt").write_text("t")
+    texts = spark.read.text([str(tmp_path / "has space"), str(tmp_path / "a+b")])
+    assert sorted(r["label"] for r in readers.label_from_path(texts).collect()) == ["a+b", "has space"]
+
+
 def test_materialize_cuts_the_lineage(spark):
     frame = materialize(spark.range(10).withColumn("x", F.col("id") * 2))
     plan = frame._jdf.queryExecution().executedPlan().toString()
@@ -131,10 +140,22 @@ def test_resume_processes_each_file_once(spark, rows):
     assert [r[0] for r in spark.read.parquet(out).orderBy("id").collect()] == list(range(15))
 
 
-def test_first_batches_stops(spark):
+def test_first_batches_stop_and_resume(spark):
     source = fresh_path(spark, "test-steps")
-    spark.range(40).repartition(8).write.parquet(source)
+    spark.range(40).repartition(8, "id").write.parquet(source)
     stream = streams.stream_corpus(spark, source, spark.range(1).schema, max_files=1)
     seen = []
-    streams.first_batches(stream, lambda batch, number: seen.append((number, batch.count())), 3, source + "-ckpt")
-    assert [n for n, _ in seen] == [0, 1, 2] and 0 < sum(c for _, c in seen) < 40
+
+    def handle(batch, number):
+        seen.extend(r["id"] for r in batch.collect())
+
+    assert streams.first_batches(stream, handle, 3, source + "-ckpt") == [0, 1, 2]
+    assert 0 < len(seen) < 40
+    assert streams.first_batches(stream, handle, 100, source + "-ckpt")[0] == 3
+    assert sorted(seen) == list(range(40))
+
+    def fails(batch, number):
+        raise ValueError("broken")
+
+    with pytest.raises(Exception):
+        streams.first_batches(stream, fails, 1, source + "-other")
