@@ -104,7 +104,7 @@ def _pair_distances(a: np.ndarray, b: np.ndarray, metric: str) -> np.ndarray:
         return 1.0 - products / np.sqrt((a * a).sum(axis=1) * (b * b).sum(axis=1))
 
 
-def _nearest(
+def nearest_in_block(
     q_ids: np.ndarray, queries: np.ndarray, ids: np.ndarray, block: np.ndarray, k: int, metric: str, exclude_self: bool
 ) -> Iterator[pd.DataFrame]:
     """The best ``k`` rows of one block for each query, a bounded number of queries at a time."""
@@ -163,7 +163,7 @@ def knn_join(
                 if len(batch) and len(q_ids):
                     ids = batch.column("id").to_numpy(zero_copy_only=False)
                     block = _matrix(batch.column("v"))
-                    for near in _nearest(q_ids, q_vectors, ids, block, k, metric, exclude_self):
+                    for near in nearest_in_block(q_ids, q_vectors, ids, block, k, metric, exclude_self):
                         yield pa.RecordBatch.from_pandas(near, preserve_index=False)
 
         candidates = r.mapInArrow(search, schema)
@@ -182,7 +182,7 @@ def knn_join(
             if left.empty or right.empty:
                 return pd.DataFrame({"query_id": [], "row_id": [], "distance": []})
             sides = left["id"].to_numpy(), np.stack(left["v"]), right["id"].to_numpy(), np.stack(right["v"])
-            return pd.concat(_nearest(*sides, k, metric, exclude_self))
+            return pd.concat(nearest_in_block(*sides, k, metric, exclude_self))
 
         candidates = q.groupBy("qb", "rb").cogroup(r.groupBy("qb", "rb")).applyInPandas(meet, schema)
 

@@ -1,16 +1,17 @@
-"""Removal of rows whose vector is too similar to that of an earlier row."""
+"""Near copies and approximate neighbours through random-projection hashing."""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curate.functions.vectors import dot, doubles
+from curate.operators.search import nearest_in_block
 from curate.session import materialize
 
 BLOCK_ROWS = 5_000
@@ -40,26 +41,112 @@ def _with_buckets(vectors: DataFrame, bits: int, tables: int, seed: int) -> Data
     return vectors.mapInArrow(run, f"id {id_type}, v array<double>, buckets array<bigint>")
 
 
+def _bucket_rows(hashed: DataFrame, *columns: str) -> DataFrame:
+    return hashed.select("id", "v", *columns, F.explode("buckets").alias("bucket"))
+
+
+def _meet_in_buckets(
+    asked: DataFrame, rows: DataFrame, run: Callable, schema: str, cells: int, block_rows: int
+) -> DataFrame:
+    """Bring rows (id, v, bucket) of two sides together bucket by bucket, in tasks of bounded size.
+
+    Large buckets are cut into blocks on both sides and each block of one side meets each of
+    the other; small buckets are packed into about ``cells`` cells. ``run`` gets two frames
+    with a ``bucket`` column.
+    """
+    counts = asked.groupBy("bucket").agg(F.count("*").alias("n_asked"))
+    sizes = counts.join(rows.groupBy("bucket").agg(F.count("*").alias("n")), "bucket")
+    packed = -1 - F.pmod(F.xxhash64("bucket"), F.lit(max(cells, 1)))
+    large = (F.col("n") > block_rows) | (F.col("n_asked") > block_rows)
+    blocks = materialize(
+        sizes.select(
+            "bucket",
+            F.when(large, F.col("bucket")).otherwise(packed).alias("cell"),
+            F.ceil(F.col("n_asked") / block_rows).cast("int").alias("asked_blocks"),
+            F.ceil(F.col("n") / block_rows).cast("int").alias("row_blocks"),
+        )
+    )
+
+    def own(count: str) -> Column:
+        return F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
+
+    def every(count: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
+
+    # Fresh aliases tell the two sides of the cogroup apart.
+    same = [F.col(c).alias(c) for c in ("id", "v", "bucket", "cell")]
+    by = ["cell", "ab", "rb"]
+    left = asked.join(blocks, "bucket").select(*same, own("asked_blocks").alias("ab"), every("row_blocks").alias("rb"))
+    right = rows.join(blocks, "bucket").select(*same, own("row_blocks").alias("rb"), every("asked_blocks").alias("ab"))
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInPandas(run, schema)
+
+
+def _by_bucket(asked: pd.DataFrame, rows: pd.DataFrame) -> Iterator[tuple[np.ndarray, ...]]:
+    """Ids and vectors of both sides for every bucket that occurs on both."""
+    others = dict(tuple(rows.groupby("bucket")))
+    for bucket, part in asked.groupby("bucket"):
+        if bucket in others:
+            other = others[bucket]
+            yield part["id"].to_numpy(), np.stack(part["v"]), other["id"].to_numpy(), np.stack(other["v"])
+
+
 def _has_earlier(threshold: float):
-    """Ids of the open rows of a cell that have an earlier similar row in the same bucket."""
+    """Ids of the asked rows that have an earlier similar row in the same bucket."""
 
-    def run(open_rows: pd.DataFrame, witnesses: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        others = dict(tuple(witnesses.groupby("bucket")))
-        for bucket, asked in open_rows.groupby("bucket"):
-            if bucket not in others:
-                continue
-            ids, seen = asked["id"].to_numpy(), others[bucket]["id"].to_numpy()
-            vectors, block = np.stack(asked["v"]), np.stack(others[bucket]["v"])
+    def run(asked: pd.DataFrame, rows: pd.DataFrame) -> pd.DataFrame:
+        found = [np.empty(0, dtype=np.int64)]
+        for ids, vectors, seen, block in _by_bucket(asked, rows):
             for start in range(0, len(ids), 500):
                 part = slice(start, start + 500)
                 similar = vectors[part] @ block.T >= threshold
                 found.append(ids[part][(similar & (seen[None, :] < ids[part, None])).any(axis=1)])
-        return pd.DataFrame({"id": np.concatenate(found) if found else []})
+        return pd.DataFrame({"id": np.concatenate(found) if len(found) > 1 else []})
 
     return run
 
 
+def knn_join_approx(
+    queries: DataFrame,
+    rows: DataFrame,
+    k: int,
+    key: str,
+    vector: str,
+    exclude_self: bool = False,
+    bits: int = 8,
+    tables: int = 16,
+    seed: int = 42,
+    block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """The ``k`` rows with the smallest cosine distance among those that share a bucket with a query.
+
+    Distances are exact; neighbours that share no bucket are missed, and a query with few
+    bucket mates may get fewer than ``k``. Each block passes on only its best ``k`` per query.
+    """
+
+    def hashed(frame: DataFrame) -> DataFrame:
+        usable = F.coalesce(dot(vector, vector) > 0, F.lit(False))
+        vectors = frame.filter(usable).select(F.col(key).alias("id"), doubles(vector).alias("v"))
+        return materialize(_with_buckets(vectors, bits, tables, seed))
+
+    def run(asked: pd.DataFrame, others: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame({"query_id": [], "row_id": [], "distance": []})]
+        for sides in _by_bucket(asked, others):
+            found.extend(nearest_in_block(*sides, k, "cosine", exclude_self))
+        return pd.concat(found[1:]) if len(found) > 1 else found[0]
+
+    asked, others = hashed(queries), hashed(rows)
+    id_type = others.schema["id"].dataType.simpleString()
+    cells = -(-(asked.count() + others.count()) * tables // block_rows)
+    candidates = _meet_in_buckets(
+        _bucket_rows(asked), _bucket_rows(others), run,
+        f"query_id {id_type}, row_id {id_type}, distance double", cells, block_rows,
+    )
+    # A pair may have met in several buckets.
+    pairs = candidates.groupBy("query_id", "row_id").agg(F.min("distance").alias("distance"))
+    best = Window.partitionBy("query_id").orderBy("distance", "row_id")
+    return pairs.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
 def semantic_dedup(
     rows: DataFrame,
     key: str,
@@ -85,46 +172,18 @@ def semantic_dedup(
     vectors = rows.filter(usable).select(F.col(key).alias("id"), doubles(vector).alias("v"))
     distinct = vectors.groupBy("v").agg(F.min("id").alias("id")).select("id", "v")
     hashed = materialize(_with_buckets(distinct, bits, tables, seed))
-    placed = hashed.select("id", "v", F.explode("buckets").alias("bucket"))
-
+    placed = _bucket_rows(hashed)
     firsts = placed.groupBy("bucket").agg(F.min("id").alias("first_id"), F.min_by("v", "id").alias("first_v"))
     close = placed.join(firsts, "bucket").filter(
         (F.col("id") > F.col("first_id")) & (dot("v", "first_v") >= threshold)
     )
     fallen = materialize(close.select("id").distinct())
 
-    state = hashed.join(fallen.withColumn("_fallen", F.lit(True)), "id", "left")
-    placed = state.select("id", "v", F.col("_fallen").isNull().alias("open"), F.explode("buckets").alias("bucket"))
-    # Large buckets are cut into blocks; small ones are packed into cells of about that size.
+    still_open = hashed.join(fallen, "id", "left_anti")
     cells = -(-hashed.count() * tables // block_rows)
-    packed = -1 - F.pmod(F.xxhash64("bucket"), F.lit(max(cells, 1)))
-    blocks = (
-        placed.groupBy("bucket")
-        .agg(F.count("*").alias("n"), F.count_if("open").alias("n_open"))
-        .filter("n > 1 AND n_open > 0")
-        .select(
-            "bucket",
-            F.when(F.col("n") > block_rows, F.col("bucket")).otherwise(packed).alias("cell"),
-            F.ceil(F.col("n") / block_rows).cast("int").alias("row_blocks"),
-            F.ceil(F.col("n_open") / block_rows).cast("int").alias("open_blocks"),
-        )
-    )
-    busy = placed.join(blocks, "bucket")
-
-    def own(count: str):
-        return F.pmod(F.xxhash64("id"), F.col(count)).cast("int")
-
-    def every(count: str):
-        return F.explode(F.sequence(F.lit(0), F.col(count) - 1))
-
-    open_side = busy.filter("open").select("id", "v", "bucket", "cell", own("open_blocks").alias("ob"), every("row_blocks").alias("rb"))
-    # Fresh aliases tell the two sides of the cogroup apart.
-    same = [F.col(c).alias(c) for c in ("id", "v", "bucket", "cell")]
-    row_side = busy.select(*same, own("row_blocks").alias("rb"), every("open_blocks").alias("ob"))
-    by = ["cell", "ob", "rb"]
     id_type = hashed.schema["id"].dataType.simpleString()
-    later = (
-        open_side.groupBy(*by).cogroup(row_side.groupBy(*by)).applyInPandas(_has_earlier(threshold), f"id {id_type}")
+    later = _meet_in_buckets(
+        _bucket_rows(still_open), placed, _has_earlier(threshold), f"id {id_type}", cells, block_rows
     )
     survivors = hashed.select("id").join(fallen, "id", "left_anti").join(later, "id", "left_anti")
     directed = rows.join(survivors.withColumnRenamed("id", key), key, "left_semi")

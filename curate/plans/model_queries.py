@@ -217,6 +217,12 @@ def knn_approx(t):
     return search.knn_approx(t.embeddings, query, 10, "vec_id", "embedding").select("vec_id", "label", "distance")
 
 
+@query("knn_join_approx")
+def knn_join_approx(t):
+    near = similar.knn_join_approx(t.embeddings, t.embeddings, 5, "vec_id", "embedding", exclude_self=True, bits=4)
+    return rounded(near, "distance")
+
+
 @query(
     "maxsim_score",
     """WITH f AS (SELECT label AS q, min(vec_id) AS vec_id FROM embeddings GROUP BY label),

@@ -424,3 +424,20 @@ def test_semantic_dedup(spark, threshold):
     want = [i for i in range(600) if not (sims[i, :i] >= threshold).any()] + [600, 601, 602]
     kept = similar.semantic_dedup(frame, "id", "v", threshold, bits=1, tables=12, block_rows=37)
     assert sorted(r["id"] for r in kept.collect()) == want
+
+
+def test_knn_join_approx_finds_close_neighbours(spark):
+    rng = np.random.default_rng(4)
+    centers = rng.standard_normal((30, 16))
+    centers[:10] = centers[0]  # a third of all rows crowd around one center
+    x = np.repeat(centers, 12, axis=0) + 0.05 * rng.standard_normal((360, 16))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>").repartition(4)
+    near = similar.knn_join_approx(frame, frame, 5, "id", "v", exclude_self=True, bits=4, tables=16, block_rows=50).collect()
+    assert all(r["query_id"] != r["row_id"] and r["rank"] <= 5 for r in near)
+    assert len({(r["query_id"], r["row_id"]) for r in near}) == len(near)
+    got, right = {}, 0
+    for r in near:
+        got.setdefault(r["query_id"], set()).add(r["row_id"])
+    for i in range(360):
+        right += len(got.get(i, set()) & set(brute(x, x[i], 5, "cosine", skip=i)[0]))
+    assert right > 0.95 * 5 * 360
