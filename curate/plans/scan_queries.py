@@ -31,11 +31,19 @@ def select_files(t):
     return files.select(readers.folder_name("file", 2).alias("folder")).distinct()
 
 
-@query("sample_files")
+@query(
+    "sample_files",
+    """SELECT doc_id, source FROM documents WHERE source IN
+         (SELECT source FROM (SELECT DISTINCT source FROM documents) ORDER BY md5('42:source=' || source) LIMIT 3)""",
+)
 def sample_files(t):
-    root = documents_by_language(t, "sample-files")
-    paths = readers.sample_files(readers.select_files(t.spark, root, suffix=".parquet"), 2, seed=42)
-    return readers.scan_parquet(t.spark, paths).select("doc_id", "n_chars")
+    root = fresh_path(t.spark, "sample-files")
+    writers.write_parquet(t.documents.select("doc_id", "source"), root, ["source"], rebalance=True)
+    files = readers.select_files(t.spark, root, suffix=".parquet")
+    folders = files.select(readers.folder_name("file", 2).alias("folder")).distinct()
+    chosen = readers.sample_files(folders, 3, seed=42, path="folder")
+    parts = t.spark.read.option("basePath", root).parquet(*[f"{root}/{c}" for c in chosen])
+    return parts.select("doc_id", "source")
 
 
 @query("read_csv_schema", "SELECT c_custkey AS id, c_name AS meta FROM customer")

@@ -1,15 +1,26 @@
 """Sources, sinks, collections and streams."""
 
 import json
+import subprocess
+import sys
 
 import pytest
+from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
+from curate.operators import search
 from curate.session import fresh_path, materialize, shared_dir
 from curate.sources import collection, readers, writers
 from curate.streaming import streams
 
 
+def test_worker_functions_need_no_installed_package():
+    function = cloudpickle.dumps(search.nearest_in_block)
+    code = "import pickle, sys; print(pickle.load(sys.stdin.buffer).__name__)"
+    done = subprocess.run([sys.executable, "-c", code], input=function, capture_output=True, cwd="/", timeout=60)
+    assert done.stdout.strip() == b"nearest_in_block"
+
+
 def test_shared_folder_comes_from_the_session(spark):
     configured = spark.conf.get("spark.checkpoint.dir", None)
     assert shared_dir(spark).startswith(configured.rstrip("/") if configured else "/")
