@@ -18,7 +18,16 @@ ANNOTATION_SEPARATOR = "-|-"
 
 
 def is_json(text: str | Column) -> Column:
-    return F.try_parse_json(as_column(text)).isNotNull()
+    """True when the whole text is one JSON value; null for null.
+
+    Spark's parsers stop after the first value. Whatever follows it breaks the text either as
+    the only element of an array or as the only value of an object.
+    """
+    text = as_column(text)
+    strict = {"allowSingleQuotes": "false"}
+    element = F.from_json(F.concat(F.lit("["), text, F.lit("]")), "array<string>", strict)
+    value = F.from_json(F.concat(F.lit('{"x":'), text, F.lit("}")), "map<string,string>", strict)
+    return F.when(text.isNotNull(), element.isNotNull() & value.isNotNull())
 
 
 def extract_json_block(text: str | Column) -> Column:
@@ -29,10 +38,14 @@ def extract_json_block(text: str | Column) -> Column:
 
 
 def parse_json_record(rows: DataFrame, column: str, schema: StructType | str) -> DataFrame:
-    """Add the fields of a JSON object and ``parsed_into_json``; broken text gives nulls and false."""
+    """Add the fields of a JSON object and ``parsed_into_json``.
+
+    Broken text and JSON that is not an object give nulls and false.
+    """
     if isinstance(schema, str):
         schema = StructType.fromDDL(schema)
-    rows = rows.withColumn("parsed_into_json", F.coalesce(is_json(column), F.lit(False)))
+    is_object = F.col(column).rlike(r"^\s*\{") & is_json(column)
+    rows = rows.withColumn("parsed_into_json", F.coalesce(is_object, F.lit(False)))
     rows = rows.withColumn("_record", F.when(F.col("parsed_into_json"), F.from_json(column, schema)))
     return rows.withColumns({f: F.col("_record")[f] for f in schema.fieldNames()}).drop("_record")
 

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curate.functions.vectors import cosine, dot, doubles, l2_distance
-from curate.operators.stats import drop_duplicates
 
 METRICS = {
     "l2": l2_distance,

@@ -103,10 +103,24 @@ def test_extract_json_block(spark, reply, block):
     assert frame.select(records.extract_json_block("r")).first()[0] == block
 
 
+@pytest.mark.parametrize(
+    "text, valid",
+    [
+        ('{"a": {"b": [1, null]}}', True), ("[1, 2]", True), ("3", True), ("null", True), (' {"a": 1}\n', True),
+        ('{"a": 1, "a": 2}', True), ('{"a": "]}"}', True), ('{"a": 1} x', False), ("1, 2", False), ("1], [2", False),
+        ("1]], [[2", False), ('1}, {"y": 2', False), ('1, "y": 2', False), ("{'a': 1}", False), ("", False), ("{", False),
+        ('{"a": "x\ny"}', False), ("tru", False), (None, None),
+    ],
+)
+def test_is_json(spark, text, valid):
+    frame = spark.createDataFrame([(text,)], "t string")
+    assert frame.select(records.is_json("t")).first()[0] is valid
+
+
 def test_parse_json_record(spark):
-    frame = spark.createDataFrame([('{"a": "x", "n": 1}',), ('{"a": "x"',), (None,), ('{"n": 2}',)], "j string")
+    frame = spark.createDataFrame([('{"a": "x", "n": 1}',), ('{"a": "x"',), (None,), ('{"n": 2}',), ("[1]",)], "j string")
     got = [tuple(r)[1:] for r in records.parse_json_record(frame, "j", "a string, n int").collect()]
-    assert got == [(True, "x", 1), (False, None, None), (False, None, None), (True, None, 2)]
+    assert got == [(True, "x", 1), (False, None, None), (False, None, None), (True, None, 2), (False, None, None)]
 
 
 def test_validate_record(spark):
