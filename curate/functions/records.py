@@ -50,8 +50,9 @@ def parse_json_record(rows: DataFrame, column: str, schema: StructType | str) ->
     return rows.withColumns({f: F.col("_record")[f] for f in schema.fieldNames()}).drop("_record")
 
 
-def parse_success_rate(rows: DataFrame, flag: str = "parsed_into_json") -> DataFrame:
-    return rows.groupBy(flag).agg(F.count("*").alias("n"))
+def parse_success_rate(rows: DataFrame, output: str, flag: str = "parsed_into_json") -> DataFrame:
+    """Rows that parsed and rows that did not, and how many of them had no output at all."""
+    return rows.groupBy(flag).agg(F.count("*").alias("n"), F.count_if(F.col(output).isNull()).alias("n_null"))
 
 
 class Rule:
@@ -117,7 +118,10 @@ def has_nested_value(items: str | Column, field: str, wanted: str) -> Column:
 
 
 def metadata_state(card: str | Column, values: str | Column) -> Column:
-    """State of a metadata list: ``No card data``, ``false`` (no list), ``true``, null (empty list)."""
+    """State of a metadata list: ``No card data``, ``false`` (no list), ``true``, null (empty list).
+
+    ``card`` is null where there is no card; an empty card has to be made null first.
+    """
     card, values = as_column(card), as_column(values)
     return (
         F.when(card.isNull(), "No card data")

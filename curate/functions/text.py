@@ -10,6 +10,10 @@ from curate.session import as_column
 # Fixed patterns: four digits anywhere; a leading block between two lines of three dashes.
 YEAR = r"(\d{4})"
 FRONT_MATTER = r"(?s)^---\n(.*?)\n---\n"
+# Fixed set: every Unicode white-space character, and the four ASCII separators.
+WHITE_SPACE = (
+    r"[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+)
 
 
 def extract_year(text: str | Column) -> Column:
@@ -26,7 +30,7 @@ def path_tail(path: str | Column, n: int) -> Column:
 
 def normalize_instruction(text: str | Column) -> Column:
     """Collapse white space, trim, drop trailing colons."""
-    return F.rtrim(F.trim(F.regexp_replace(as_column(text), r"\s+", " ")), F.lit(":"))
+    return F.rtrim(F.trim(F.regexp_replace(as_column(text), WHITE_SPACE, " ")), F.lit(":"))
 
 
 def front_matter(card: str | Column) -> Column:

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from curate.operators.ordering import running_totals
 from curate.operators.stats import describe, value_counts
+from curate.session import materialize
 
 
 def quality_stages(
@@ -295,6 +296,8 @@ def param_sweep(
     ``first`` is tried before the grid. Every fit is a distributed job; the driver only holds
     one row of results per trial.
     """
+    # Every trial reads both parts again: written once, they are not derived again each time.
+    train, validation = (materialize(part.select(text, label)) for part in (train, validation))
     points = [dict(zip(grid, values)) for values in itertools.product(*grid.values())]
     if first is not None:
         points = [first] + [p for p in points if p != first]

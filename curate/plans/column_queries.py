@@ -188,7 +188,7 @@ def round_to(t):
 
 @query(
     "normalize_instruction",
-    r"""SELECT doc_id, md5(rtrim(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' '), ':')) AS digest FROM documents""",
+    r"""SELECT doc_id, md5(rtrim(trim(regexp_replace(text, '[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'), ' '), ':')) AS digest FROM documents""",
 )
 def normalize_instruction(t):
     return t.documents.select("doc_id", F.md5(text.normalize_instruction("text")).alias("digest"))

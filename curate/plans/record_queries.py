@@ -58,9 +58,20 @@ def parse_json_record(t):
     return records.parse_json_record(damaged_props(t), "props", "k int").drop("props")
 
 
-@query("parse_success_rate", DAMAGED + "SELECT json_valid(props) AS parsed_into_json, count(*) AS n FROM p GROUP BY 1")
+@query(
+    "parse_success_rate",
+    DAMAGED
+    + """, g AS (SELECT CASE WHEN event_id IN (SELECT event_id FROM events WHERE event_type = 'signup') THEN NULL ELSE props END AS props
+                 FROM p)
+         SELECT coalesce(json_valid(props), false) AS parsed_into_json, count(*) AS n, count(*) - count(props) AS n_null
+         FROM g GROUP BY 1""",
+)
 def parse_success_rate(t):
-    return records.parse_success_rate(records.parse_json_record(damaged_props(t), "props", "k int"))
+    # Some generations are missing altogether.
+    missing = t.events.filter("event_type = 'signup'").select("event_id", F.lit(True).alias("missing"))
+    rows = damaged_props(t).join(missing, "event_id", "left")
+    rows = rows.withColumn("props", F.when(F.col("missing").isNull(), F.col("props")))
+    return records.parse_success_rate(records.parse_json_record(rows, "props", "k int"), "props")
 
 
 @query(
@@ -146,7 +157,7 @@ def render_prompt(t):
     "fewshot_prompt",
     r"""WITH c AS (SELECT role, text, conv_id || '-' || turn AS key FROM conversations),
              r AS (SELECT role, row_number() OVER (PARTITION BY role ORDER BY md5('42:' || key), key) AS rn,
-                     rtrim(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'), ' '), ':') AS line FROM c)
+                     rtrim(trim(regexp_replace(text, '[\x09-\x0d\x1c-\x20\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+', ' ', 'g'), ' '), ':') AS line FROM c)
         SELECT role, 'Come up with a series of tasks:' || chr(10) || string_agg(rn || '. ' || line, chr(10) ORDER BY rn)
           || chr(10) || (count(*) + 1) || '.' AS prompt
         FROM r WHERE rn <= 8 GROUP BY role""",

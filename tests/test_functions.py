@@ -61,6 +61,8 @@ def test_path_tail(spark):
 
 def test_normalize_instruction(spark):
     assert one(spark, text.normalize_instruction("t"), t="  Do\n\tthis   now::") == "Do this now"
+    odd = "\u00a0Do\u2028\x1fthis\u3000\x85now: "
+    assert one(spark, text.normalize_instruction("t"), t=odd) == " ".join(odd.split()).rstrip(":")
 
 
 def test_front_matter(spark):
