@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curate.llm import chat, exact, mixing, outliers, packing, substring, suffix, toxicity
+from curate.llm import chat, exact, mixing, outliers, packing, substring, suffix, suffix_tree, toxicity
 from curate.llm.frames import id_in, id_out, plain
 from curate.plans.registry import Tables, query
 
@@ -60,6 +60,11 @@ def op5_suffix_dedup(t: Tables) -> DataFrame:
     return suffix.remove_repeats(t.documents).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@query("op6_suffix_tree")
+def op6_suffix_tree(t: Tables) -> DataFrame:
+    return suffix_tree.fit_and_score(t.documents)
+
+
 @query(
     "op7_exact_dedup",
     """
