@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curate.llm import chat, exact, mixing, outliers, packing, substring, suffix, suffix_tree, toxicity
+from curate.llm import chat, exact, jaccard, mixing, outliers, packing, substring, suffix, suffix_tree, toxicity
 from curate.llm.frames import id_in, id_out, plain
 from curate.plans.registry import Tables, query
 
@@ -50,6 +50,11 @@ def op2_mixing(t: Tables) -> DataFrame:
     return mixing.mix(t.documents).select("doc_id", "size", "source_size", "target", "taken")
 
 
+@query("op3_ngram_jaccard")
+def op3_ngram_jaccard(t: Tables) -> DataFrame:
+    return jaccard.similar_groups(t.documents, words=4, percent=85)
+
+
 @query("op4_substring_dedup")
 def op4_substring_dedup(t: Tables) -> DataFrame:
     return substring.remove_repeats(t.documents).select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))

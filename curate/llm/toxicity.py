@@ -24,6 +24,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -272,3 +273,19 @@ def score_texts(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     schema = "doc_id long, score double, passages array<struct<start: long, end: long, score: double, expected: double>>"
     return plain(docs).mapInArrow(run, schema).withColumn("doc_id", id_out())
 
+
+
+def drop_toxic(docs: DataFrame, model: ToxicityModel, threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns, that score below ``threshold``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = Hasher(SEED)
+        for batch in batches:
+            clean = []
+            for _, bucket, words in _tokens(pc.fill_null(batch["text"], ""), hasher):
+                score = scored(model.score, bucket, words)
+                for a, b in zip(words.first[:-1].tolist(), words.first[1:].tolist()):
+                    clean.append(model.probability(model.features(segments(score[a:b]), b - a)) < threshold)
+            yield batch.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
