@@ -45,11 +45,14 @@ def _words_of(text: str) -> Column:
 
 
 def balanced_weights(rows: DataFrame, label: str, name: str = "weight") -> DataFrame:
-    """Weight each class by the inverse of its share."""
-    counts = rows.groupBy(label).agg(F.count("*").alias("_n"))
-    totals = counts.agg(F.struct(F.sum("_n").alias("n"), F.count("*").alias("k"))).scalar()
-    weights = counts.select(label, (totals.getField("n") / (totals.getField("k") * F.col("_n"))).alias(name))
-    return rows.join(weights, label)
+    """Weight each class by the inverse of its share.
+
+    The counts, one per class, enter as one scalar, so the rows are not shuffled on the label.
+    """
+    counts = rows.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count("*").alias("_n"))
+    totals = counts.agg(F.struct(F.sum("_n").alias("n"), F.map_from_entries(F.collect_list(F.struct(label, "_n"))).alias("of"))).scalar()
+    size = F.try_element_at(totals.getField("of"), F.col(label))
+    return rows.filter(F.col(label).isNotNull()).withColumn(name, totals.getField("n") / (F.size(totals.getField("of")) * size))
 
 
 def train_quality_filter(
@@ -273,13 +276,12 @@ def label_proportions(scored: DataFrame, label: str = "label") -> DataFrame:
 
 
 def confidence_report(scored: DataFrame, confidence: str, below: Sequence[float] = (0.9, 0.8)) -> DataFrame:
-    """Summary of the confidence column and the rows under each limit."""
-    under = scored.agg(
-        *[F.count(F.when(F.col(confidence) < v, 1)).alias(f"under_{round(v * 100)}") for v in below]
-    )
-    summary = describe(scored, [confidence])
-    columns = {c: under.select(c).scalar() for c in under.columns}
-    return summary.withColumns(columns)
+    """Summary of the confidence column and the rows under each limit.
+
+    The scores are written first, so that a model behind them runs once.
+    """
+    under = [F.count(F.when(F.col(confidence) < v, 1)).alias(f"under_{round(v * 100)}") for v in below]
+    return describe(materialize(scored.select(confidence)), [confidence], extra=under)
 
 
 def param_sweep(

@@ -52,7 +52,8 @@ def row_index(rows: DataFrame, order: Sequence[str | Column], start: int = 1, na
     placed = placed.withColumn("_range", F.shiftright("_place", 33))
     counts = placed.groupBy("_range").agg(F.count("*").alias("_size"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before"))
+    # Written down, the offsets (one row per range) have a known size: the wide rows stay in place.
+    offsets = materialize(counts.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before")))
     position = F.col("_place") - F.shiftleft("_range", 33)
     return (
         placed.join(offsets, "_range")
@@ -66,41 +67,64 @@ SKETCH_ACCURACY = 2_000
 SMALL_GROUP = 10_000
 
 
+def brackets(value: str | Column, probabilities: dict[str, float]) -> Column:
+    """Aggregate of a column: the number of its values and two values around each quantile, as a struct."""
+    value = as_column(value)
+    margin = 2.0 / SKETCH_ACCURACY
+    edges = [e for p in sorted(probabilities.values()) for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
+    sketch = F.percentile_approx(value, edges, SKETCH_ACCURACY)
+    small = F.count(value) <= SMALL_GROUP
+    ends = [F.count(value).alias("_count")]
+    for i in range(len(probabilities)):
+        ends.append(F.when(small, F.min(value)).otherwise(F.get(sketch, F.lit(2 * i))).alias(f"_low{i}"))
+        ends.append(F.when(small, F.max(value)).otherwise(F.get(sketch, F.lit(2 * i + 1))).alias(f"_high{i}"))
+    return F.struct(*ends)
+
+
 def exact_quantiles(
-    rows: DataFrame, value: str, probabilities: dict[str, float], by: Sequence[str] = ()
+    rows: DataFrame, value: str, probabilities: dict[str, float], by: Sequence[str] = (), extra: Sequence[Column] = ()
 ) -> DataFrame:
     """Exact quantiles with linear interpolation, one column per entry of ``probabilities``.
 
-    A first pass sketches each group and brackets every quantile between two values. A second
-    pass counts what lies below a bracket and the distinct values inside it, about 1/500 of a
-    large group; only those are ranked. No task holds all values of a group, as the built-in
-    exact percentile does, and the column is not shuffled.
+    A first pass sketches each group and brackets every quantile between two values; aggregates in
+    ``extra`` are taken in the same pass. A second pass counts what lies below a bracket and the
+    distinct values inside it, about 1/500 of a large group; only those are ranked. Small groups (up
+    to ``SMALL_GROUP`` values) keep the count of every distinct value, which one aggregation of bounded
+    size settles. No task holds all values of a large group, as the built-in exact percentile does.
     """
     by = list(by)
+    # A written table has a known size: if it is small it is broadcast and the rows stay put.
+    groups = materialize(rows.groupBy(*by).agg(brackets(value, probabilities).alias("_b"), *extra))
+    present = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
+    found = quantiles_in(present, groups.select(*by, "_b"), probabilities, by)
+    plain = groups.drop("_b")
+    if by:
+        return join_null_safe(plain, found, by, "left") if extra else found
+    row = found.select(F.struct(*probabilities)).scalar()
+    return plain.withColumn("_q", row).select(*plain.columns, "_q.*")
+
+
+def quantiles_in(present: DataFrame, groups: DataFrame, probabilities: dict[str, float], by: Sequence[str]) -> DataFrame:
+    """Second pass: the quantiles of ``_v`` per group, from the groups' brackets ``_b`` (a written table)."""
     names = sorted(probabilities, key=probabilities.get)
     places = [float(probabilities[n]) for n in names]
-    margin = 2.0 / SKETCH_ACCURACY
-    edges = [e for p in places for e in (max(p - margin, 0.0), min(p + margin, 1.0))]
-    present = rows.where(F.col(value).isNotNull()).select(*by, F.col(value).alias("_v"))
-    sketch = F.percentile_approx("_v", edges, SKETCH_ACCURACY)
-    small = F.count("*") <= SMALL_GROUP
-    ends = {}
-    for i in range(len(names)):
-        ends[f"_low{i}"] = F.when(small, F.min("_v")).otherwise(F.get(sketch, F.lit(2 * i)))
-        ends[f"_high{i}"] = F.when(small, F.max("_v")).otherwise(F.get(sketch, F.lit(2 * i + 1)))
-    groups = present.groupBy(*by).agg(*[c.alias(n) for n, c in ends.items()])
     if by:
-        # A written table has a known size: if it is small it is broadcast and the rows stay put.
-        met = join_null_safe(present, materialize(groups), by)
+        met = join_null_safe(present, groups.select(*by, "_b.*"), by)
     else:
-        met = present.withColumn("_group", groups.select(F.struct(*ends)).scalar()).select("_v", "_group.*")
+        met = present.withColumn("_b", groups.select("_b").scalar()).select("_v", "_b.*")
 
     # Values between brackets collapse into a null per gap. Gaps and brackets are numbered alike,
     # and null sorts before the values of the bracket that ends its gap.
     v, span = F.col("_v"), range(len(names))
     inside = reduce(lambda a, b: a | b, [v.between(F.col(f"_low{i}"), F.col(f"_high{i}")) for i in span])
     segment = sum(((v > F.col(f"_high{i}")).cast("int") for i in span), F.lit(0))
-    counts = met.groupBy(*by, segment.alias("_segment"), F.when(inside, v).alias("_v")).agg(F.count("*").alias("n"))
+    small = F.col("_count") <= SMALL_GROUP
+    counts = met.groupBy(*by, small.alias("_small"), segment.alias("_segment"), F.when(inside, v).alias("_v")).agg(F.count("*").alias("n"))
+    if by:
+        counts = materialize(counts)  # read by both ways below
+        few = counts.filter("_small").groupBy(*by).agg(F.percentile("_v", places, F.col("n")).alias("_q"))
+        few = few.select(*by, *[F.get("_q", F.lit(names.index(n))).cast("double").alias(n) for n in probabilities])
+        counts = counts.filter("NOT _small")
     ranked = running_totals(counts, ["_segment", "_v"], ["n"], by)
 
     def at(rank: Column) -> Column:
@@ -115,13 +139,14 @@ def exact_quantiles(
         found.append(at(F.floor(place)).alias(f"_lo_{name}"))
         found.append(at(F.ceil(place)).alias(f"_hi_{name}"))
         found.append(F.max(place - F.floor(place)).alias(f"_part_{name}"))
-    return ranked.groupBy(*by).agg(*found).select(
+    many = ranked.groupBy(*by).agg(*found).select(
         *by,
         *[
             (F.col(f"_lo_{n}") + (F.col(f"_hi_{n}") - F.col(f"_lo_{n}")) * F.col(f"_part_{n}")).alias(n)
             for n in probabilities
         ],
     )
+    return many.unionByName(few) if by else many
 
 
 def seeded_hash(key: str | Column, seed: int) -> Column:
@@ -135,10 +160,11 @@ def smallest_hash_cutoffs(
     """Per group the hash up to which exactly ``take`` rows lie; ``take`` may use ``size``.
 
     Counts per 16-bit hash prefix locate the prefix that holds the cut; only its rows
-    (1/65536 of a group, however large the group) are ranked. Keys have to be unique.
+    (1/65536 of a group, however large the group) are ranked. Keys have to be unique; null keys
+    are never taken.
     """
     by = list(by)
-    hashed = rows.select(*by, seeded_hash(key, seed).alias("_hash"))
+    hashed = rows.filter(as_column(key).isNotNull()).select(*by, seeded_hash(key, seed).alias("_hash"))
     hashed = hashed.withColumn("_prefix", F.substring("_hash", 1, 4))
     prefixes = hashed.groupBy(*by, "_prefix").agg(F.count("*").alias("_n"))
     group = Window.partitionBy(*by)

@@ -101,18 +101,22 @@ def generate_batch(
     load_model: Callable[[], Model],
     batch_size: int = 64,
 ) -> DataFrame:
-    """Add ``output``: the model's text for each prompt, null where the model fails.
+    """Add ``output``, the model's text for each prompt, and ``<output>_error``, why there is none.
 
-    ``load_model`` runs once per task. A failing batch is repeated row by row, so that one
-    bad prompt nulls only itself. Other columns pass through as Arrow data, untouched.
+    ``load_model`` runs once per task. A batch that fails, or whose answers are not as many as its
+    prompts, is repeated row by row, so that one bad prompt nulls only itself and no answer moves to
+    another row. Other columns pass through as Arrow data, untouched.
     """
 
-    def answers(model: Model, prompts: list) -> list:
+    def answers(model: Model, prompts: list) -> list[tuple]:
         try:
-            return model(prompts)
-        except Exception:
+            found = list(model(prompts))
+            if len(found) != len(prompts):
+                raise ValueError(f"{len(found)} answers to {len(prompts)} prompts")
+            return [(answer, None) for answer in found]
+        except Exception as error:
             if len(prompts) == 1:
-                return [None]
+                return [(None, f"{type(error).__name__}: {error}")]
             return [answers(model, [p])[0] for p in prompts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -123,10 +127,11 @@ def generate_batch(
             for start in range(0, len(prompts), batch_size):
                 out.extend(answers(model, prompts[start : start + batch_size]))
             yield pa.RecordBatch.from_arrays(
-                [*batch.columns, pa.array(out, pa.string())], [*batch.schema.names, output]
+                [*batch.columns, *(pa.array(side, pa.string()) for side in (zip(*out) if out else ([], [])))],
+                [*batch.schema.names, output, f"{output}_error"],
             )
 
-    schema = StructType(list(rows.schema.fields)).add(output, StringType())
+    schema = StructType(list(rows.schema.fields)).add(output, StringType()).add(f"{output}_error", StringType())
     return rows.mapInArrow(run, schema)
 
 
@@ -141,26 +146,22 @@ def pairs_from_good_bad(rows: DataFrame, sentence: str, good: str = "good", bad:
 
 
 def chat_pivot(
-    rows: DataFrame, conversation: str, turn: str, role: str, content: str, per_row: int = 1000
+    rows: DataFrame, conversation: str, turn: str, role: str, content: str, per_row: int
 ) -> DataFrame:
-    """Turns of a conversation as one ordered list of role and content.
+    """Turns of a conversation as ordered lists of turn, role and content.
 
-    Conversations longer than ``per_row`` turns continue on further rows (``part`` counts
-    from 0), so that no list outgrows a task.
+    A row holds the turns of one span of ``per_row`` turn numbers (``part`` is the number of the
+    span), so that no list outgrows a task; choose it above the longest conversation to get one row
+    each. Turn numbers are kept, so the way back does not depend on it.
     """
     part = F.floor(F.col(turn) / F.lit(per_row)).cast("long")
     turns = F.struct(F.col(turn).alias("turn"), F.col(role).alias("role"), F.col(content).alias("content"))
     grouped = rows.groupBy(conversation, part.alias("part")).agg(
         F.array_sort(F.collect_list(turns)).alias("_turns")
     )
-    messages = F.transform(
-        "_turns", lambda t: F.struct(t["role"].alias("role"), t["content"].alias("content"))
-    )
-    return grouped.select(conversation, "part", messages.alias("messages"))
+    return grouped.select(conversation, "part", F.col("_turns").alias("messages"))
 
 
 def chat_unpivot(rows: DataFrame, conversation: str, messages: str = "messages") -> DataFrame:
-    """One row per message, ``turn`` counting from 0 within the list."""
-    return rows.select(conversation, F.posexplode(messages).alias("turn", "_m")).select(
-        conversation, "turn", F.col("_m.role").alias("role"), F.col("_m.content").alias("content")
-    )
+    """One row per message, with the turn number it had."""
+    return rows.select(conversation, F.inline(messages))

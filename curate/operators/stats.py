@@ -7,9 +7,16 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curate.operators.ordering import exact_quantiles
+from curate.operators.ordering import brackets, exact_quantiles, quantiles_in
 from curate.session import as_column, join_null_safe, materialize
 
+
+def digest_of(columns: Sequence[str]) -> Column:
+    """A fixed-width key of some columns: SHA-256 over their JSON, which tells null from empty."""
+    named = [F.col(c).alias(f"c{i}") for i, c in enumerate(columns)]
+    return F.unhex(F.sha2(F.to_json(F.struct(*named), {"ignoreNullFields": "false"}), 256))
+
+
 QUARTILES = {"p25": 0.25, "p50": 0.5, "p75": 0.75}
 
 
@@ -60,37 +67,49 @@ def topk_by_count(rows: DataFrame, by: str, k: int) -> DataFrame:
     return value_counts(rows, by, top=k)
 
 
-def describe_by(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
-    """count, null_count, mean, sample deviation, min, exact quartiles and max per group."""
-    by = list(by)
-    plain = rows.groupBy(*by).agg(
+def _summary(value: str) -> list[Column]:
+    return [
         F.count(value).alias("count"),
         (F.count("*") - F.count(value)).alias("null_count"),
         F.avg(value).alias("mean"),
         F.stddev_samp(value).alias("std"),
         F.min(value).cast("double").alias("min"),
         F.max(value).cast("double").alias("max"),
-    )
-    return join_null_safe(plain, exact_quantiles(rows, value, QUARTILES, by), by, "left")
+    ]
+
 
+def describe_by(rows: DataFrame, by: Sequence[str], value: str) -> DataFrame:
+    """count, null_count, mean, sample deviation, min, max and exact quartiles per group, in two passes."""
+    return exact_quantiles(rows, value, QUARTILES, list(by), extra=_summary(value))
 
-def describe(rows: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """One row of summary statistics per numeric column."""
-    wide = rows.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    return describe_by(wide.unpivot([], list(columns), "column", "value"), ["column"], "value")
+
+def describe(rows: DataFrame, columns: Sequence[str], extra: Sequence[Column] = ()) -> DataFrame:
+    """One row of summary statistics per numeric column, in two passes over the rows.
+
+    The first takes all columns side by side in one aggregation, and aggregates of ``extra`` with
+    them, which are added to each row; only the second, which looks for values around the quartiles,
+    turns columns into rows.
+    """
+    wide = rows.withColumns({c: F.col(c).cast("double") for c in columns})
+    sides = [F.struct(F.lit(c).alias("column"), brackets(c, QUARTILES).alias("_b"), *_summary(c)) for c in columns]
+    first = wide.agg(F.array(*sides).alias("_sides"), *extra)
+    groups = materialize(first.select(F.explode("_sides").alias("_s"), *[c for c in first.columns if c != "_sides"]).select("_s.*", "*").drop("_s"))
+    long = wide.select(*columns).unpivot([], list(columns), "column", "_v").filter("_v IS NOT NULL")
+    found = quantiles_in(long, groups.select("column", "_b"), QUARTILES, ["column"])
+    return groups.drop("_b").join(found, "column", "left").select("column", *[c for c in groups.columns if c not in ("column", "_b")], *QUARTILES)
 
 
 def n_unique(rows: DataFrame, columns: Sequence[str], approximate: bool = False) -> DataFrame:
-    """Distinct values per column; null counts as one value. The estimate ignores nulls."""
+    """Distinct values per column; null counts as one value. The estimate ignores nulls.
+
+    Each column is counted apart, by a fixed-width digest, so neither wide values nor copies of the
+    rows are shuffled.
+    """
     if approximate:
         return rows.agg(*[F.approx_count_distinct(c).alias(c) for c in columns])
-    null_as_one = [F.max(F.col(c).isNull().cast("long")) for c in columns]
-    return rows.agg(
-        *[
-            (F.countDistinct(c) + F.coalesce(extra, F.lit(0))).alias(c)
-            for c, extra in zip(columns, null_as_one)
-        ]
-    )
+    counts = {c: rows.select(digest_of([c]).alias("_d")).groupBy("_d").agg(F.lit(1).alias("_one")).agg(F.count("*")) for c in columns}
+    one = rows.sparkSession.range(1)
+    return one.select(*[count.scalar().alias(c) for c, count in counts.items()])
 
 
 def distinct_values(rows: DataFrame, column: str | Column, name: str) -> DataFrame:
@@ -103,21 +122,36 @@ def drop_duplicates(
     """One row per key: the first (or last) along ``order``.
 
     The ``= 1`` filter lets Spark keep one candidate per key and task before the shuffle,
-    so a key with a third of all rows moves no more data than any other.
+    so a key with a third of all rows moves no more data than any other. String keys are
+    compared by digest.
     """
     if keep not in ("first", "last"):
         raise ValueError(f"keep must be 'first' or 'last', not {keep!r}")
     keys = [as_column(c) for c in order]
     if keep == "last":
         keys = [k.desc() for k in keys]
-    window = Window.partitionBy(*subset).orderBy(*keys)
-    return rows.withColumn("_rn", F.row_number().over(window)).filter("_rn = 1").drop("_rn")
+    wide = [c for c in subset if rows.schema[c].dataType.typeName() == "string"]
+    narrow = [c for c in subset if c not in wide]
+    if wide:
+        rows = rows.withColumn("_digest", digest_of(wide))
+    window = Window.partitionBy(*narrow, *(["_digest"] if wide else [])).orderBy(*keys)
+    return rows.withColumn("_rn", F.row_number().over(window)).filter("_rn = 1").drop("_rn", "_digest")
+
 
+def token_frequencies(
+    rows: DataFrame, text: str, key: str, lower: bool = False, top: int | None = None
+) -> DataFrame:
+    """Token counts over the distinct texts, split on single spaces (empty tokens count).
 
-def token_frequencies(rows: DataFrame, text: str, lower: bool = False, top: int | None = None) -> DataFrame:
-    """Token counts over the distinct texts, split on single spaces (empty tokens count)."""
+    ``key`` is unique. Equal texts are found by digest; the tokens of those with the smallest key
+    count, so texts are moved only if Spark finds the keys of later copies too many to broadcast.
+    """
     column = F.lower(text) if lower else F.col(text)
-    tokens = rows.select(text).distinct().select(F.explode(F.split(column, " ")).alias("token"))
+    digests = rows.filter(F.col(text).isNotNull()).select(digest_of([text]).alias("_d"), F.col(key).alias("_key"))
+    first = digests.groupBy("_d").agg(F.min("_key").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
+    copies = materialize(digests.join(first, "_d").filter("_key <> _first").select(F.col("_key").alias(key)))
+    kept = rows.select(key, text).join(copies, key, "left_anti")
+    tokens = kept.select(F.explode(F.split(column, " ")).alias("token"))
     return value_counts(tokens, "token", top=top)
 
 
@@ -142,18 +176,25 @@ def top_within_category(rows: DataFrame, category: str, wanted: str, subject: st
     return _with_share(counts, "n", "percent", 100.0).orderBy(F.desc("n"), subject).limit(k)
 
 
-def group_members(rows: DataFrame, list_key: str, member: str, per_row: int = 10_000) -> DataFrame:
-    """Members of each entry of a list-valued key; a member may appear under several keys.
+def group_members(rows: DataFrame, list_key: str, member: str) -> DataFrame:
+    """One row per entry of a list-valued key and member, with the members of the entry.
 
-    A key with very many members is spread over rows numbered by ``part`` with about
-    ``per_row`` members each (by hash), so that no list outgrows a task. ``member`` has to be
-    unique per row.
+    A member may appear under several keys; it has to be unique per row.
     """
     pairs = rows.select(F.explode(F.array_distinct(list_key)).alias("key"), F.col(member).alias("member"))
     # The counts are written down so that Spark knows their size and can broadcast them.
     sizes = materialize(pairs.groupBy("key").agg(F.count("*").alias("n_members")))
+    return join_null_safe(pairs, sizes, ["key"])
+
+
+def group_member_lists(rows: DataFrame, list_key: str, member: str, per_row: int) -> DataFrame:
+    """Members of each entry of a list-valued key as lists of about ``per_row``, numbered by ``part``.
+
+    A member's part follows the first 32 bits of its md5, so that no list outgrows a task.
+    """
     parts = F.ceil(F.col("n_members") / F.lit(per_row))
-    placed = join_null_safe(pairs, sizes, ["key"]).withColumn("part", F.pmod(F.xxhash64("member"), parts))
+    place = F.conv(F.substring(F.md5(F.col("member").cast("string")), 1, 8), 16, 10).cast("long")
+    placed = group_members(rows, list_key, member).withColumn("part", F.pmod(place, parts))
     return placed.groupBy("key", "part").agg(
         F.max("n_members").alias("n_members"), F.array_sort(F.collect_list("member")).alias("members")
     )
@@ -263,6 +304,16 @@ def histogram(rows: DataFrame, value: str, bins: int) -> DataFrame:
     )
 
 
+def largest_key(rows: DataFrame, by: str) -> DataFrame:
+    """The most frequent value and its count, ties by value."""
+    return topk_by_count(rows.filter(F.col(by).isNotNull()), by, 1)
+
+
+def counts_above(trials: DataFrame, parameter: str, value: str, cut: float) -> DataFrame:
+    """How often each value of a parameter occurs among the trials above a cut, and its share of them."""
+    return value_counts(trials.filter(F.col(value) > cut), parameter, normalize=True)
+
+
 def trial_leaderboard(trials: DataFrame, value: str, key: str, k: int) -> DataFrame:
     """The ``k`` best trials by value, ties by key."""
     return trials.orderBy(F.desc(value), key).limit(k)

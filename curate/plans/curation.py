@@ -27,8 +27,8 @@ def curate_corpus(
     threshold is chosen on the held-out part. The corpus itself is scored, filtered and written
     in one pass without a shuffle.
     """
-    labelled = joins.join_metadata(corpus.select(key, text, group), annotations.select(key, flag), key)
-    # Labels are few next to the corpus; written once, they are not joined again in each training pass.
+    # Labels are few next to the corpus; written once, they are not joined again in each pass.
+    labelled = materialize(joins.join_metadata(corpus.select(key, text, group), annotations.select(key, flag), key))
     parts = materialize(sampling.stratified_split(labelled, [group, flag], 0.2, 42, key))
     model = classify.train_quality_filter(parts.filter("split = 'train'"), text, flag, balanced=True)
 

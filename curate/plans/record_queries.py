@@ -192,8 +192,23 @@ def load_echo_model():
 def generate_batch(t):
     first = prompts.generate_batch(t.documents.select("doc_id", "text"), "text", "answer", load_stub_model)
     # The answer of one stage is the prompt of the next; a null prompt fails and stays null.
-    second = prompts.generate_batch(first.drop("text"), "answer", "refined", load_echo_model)
-    return second.withColumn("refined", F.when(F.col("answer").isNotNull(), F.col("refined")))
+    second = prompts.generate_batch(first.select("doc_id", "answer"), "answer", "refined", load_echo_model)
+    return second.select("doc_id", "answer", F.when(F.col("answer").isNotNull(), F.col("refined")).alias("refined"))
+
+
+def load_forgetful_model():
+    """A stand-in that gives no answer to prompts of even length, so its answers are too few."""
+    return lambda prompts: [str(len(p)) for p in prompts if len(p) % 2]
+
+
+@query(
+    "generate_batch_errors",
+    """SELECT doc_id, CASE WHEN length(text) % 2 = 1 THEN length(text)::VARCHAR END AS answer,
+         CASE WHEN length(text) % 2 = 0 THEN 'ValueError: 0 answers to 1 prompts' END AS answer_error FROM documents""",
+)
+def generate_batch_errors(t):
+    rows = t.documents.select("doc_id", "text")
+    return prompts.generate_batch(rows, "text", "answer", load_forgetful_model, batch_size=16).drop("text")
 
 
 @query(
@@ -213,14 +228,26 @@ def pairs_from_good_bad(t):
     return prompts.pairs_from_good_bad(rows, "sentence").withColumn("description", F.md5("description"))
 
 
+CHATS = """SELECT conv_id, CAST(floor(turn / {0}) AS BIGINT) AS part, CAST(count(*) AS INTEGER) AS turns,
+         string_agg(role, '>' ORDER BY turn) AS roles, md5(string_agg(text, '|' ORDER BY turn)) AS digest
+       FROM conversations GROUP BY conv_id, 2"""
+
+
 @query(
     "chat_pivot",
-    """SELECT conv_id, CAST(0 AS BIGINT) AS part, CAST(count(*) AS INTEGER) AS turns,
-         string_agg(role, '>' ORDER BY turn) AS roles, md5(string_agg(text, '|' ORDER BY turn)) AS digest
-       FROM conversations GROUP BY conv_id""",
+    CHATS.format(1000),
 )
 def chat_pivot(t):
-    chats = prompts.chat_pivot(t.conversations, "conv_id", "turn", "role", "text")
+    return chat_digests(t, 1000)
+
+
+@query("chat_pivot_parts", CHATS.format(3))
+def chat_pivot_parts(t):
+    return chat_digests(t, 3)
+
+
+def chat_digests(t, per_row):
+    chats = prompts.chat_pivot(t.conversations, "conv_id", "turn", "role", "text", per_row=per_row)
     return chats.select(
         "conv_id",
         "part",
@@ -230,7 +257,8 @@ def chat_pivot(t):
     )
 
 
-@query("chat_unpivot", "SELECT conv_id, role, md5(text) AS digest FROM conversations")
+@query("chat_unpivot", "SELECT conv_id, turn, role, md5(text) AS digest FROM conversations")
 def chat_unpivot(t):
-    chats = prompts.chat_pivot(t.conversations, "conv_id", "turn", "role", "text")
-    return prompts.chat_unpivot(chats, "conv_id").select("conv_id", "role", F.md5("content").alias("digest"))
+    # Spans of three turns, so that most conversations have several rows on the way.
+    chats = prompts.chat_pivot(t.conversations, "conv_id", "turn", "role", "text", per_row=3)
+    return prompts.chat_unpivot(chats, "conv_id").select("conv_id", "turn", "role", F.md5("content").alias("digest"))

@@ -239,8 +239,8 @@ def distinct_values(t):
 
 @query("drop_duplicates", "SELECT min(doc_id) AS doc_id, md5(text) AS digest FROM documents GROUP BY text")
 def drop_duplicates(t):
-    kept = stats.drop_duplicates(t.documents.select("doc_id", "text"), ["text"], ["doc_id"])
-    return kept.select("doc_id", F.md5("text").alias("digest"))
+    rows = t.documents.select("doc_id", F.md5("text").alias("digest"))
+    return stats.drop_duplicates(rows, ["digest"], ["doc_id"])
 
 
 @query(
@@ -249,7 +249,7 @@ def drop_duplicates(t):
        SELECT token, count(*) AS n FROM w GROUP BY token ORDER BY n DESC, token LIMIT 100""",
 )
 def token_frequencies(t):
-    return stats.token_frequencies(t.documents, "text", lower=True, top=100)
+    return stats.token_frequencies(t.documents, "text", "doc_id", lower=True, top=100)
 
 
 @query("flat_list_frequencies", ANNOTATIONS + "SELECT item, count(*) AS n FROM (SELECT unnest(labels) AS item FROM a) GROUP BY item")
@@ -294,13 +294,24 @@ def top_within_category(t):
 @query(
     "group_members",
     """WITH m AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS key, p_partkey FROM part)
-       SELECT key, CAST(0 AS BIGINT) AS part, count(*) AS n_members, string_agg(p_partkey, ',' ORDER BY p_partkey) AS members
-       FROM m GROUP BY key""",
+       SELECT key, p_partkey AS member, count(*) OVER (PARTITION BY key) AS n_members FROM m""",
 )
 def group_members(t):
+    rows = t.part.select(F.split("p_name", " ").alias("tasks"), "p_partkey")
+    return stats.group_members(rows, "tasks", "p_partkey")
+
+
+@query(
+    "group_member_lists",
+    """WITH m AS (SELECT DISTINCT unnest(string_split(p_name, ' ')) AS key, p_partkey FROM part),
+            n AS (SELECT *, count(*) OVER (PARTITION BY key) AS n_members, ('0x' || substr(md5(p_partkey::VARCHAR), 1, 8))::BIGINT AS place FROM m)
+       SELECT key, CAST(place % CAST(ceil(n_members / 50) AS BIGINT) AS BIGINT) AS part, max(n_members) AS n_members,
+         string_agg(p_partkey, ',' ORDER BY p_partkey) AS members FROM n GROUP BY key, 2""",
+)
+def group_member_lists(t):
     rows = t.part.select(F.split("p_name", " ").alias("tasks"), "p_partkey")
     members = F.array_join(F.col("members").cast("array<string>"), ",")
-    return stats.group_members(rows, "tasks", "p_partkey").withColumn("members", members)
+    return stats.group_member_lists(rows, "tasks", "p_partkey", per_row=50).withColumn("members", members)
 
 
 PIVOT = """WITH c AS (SELECT lang, count(*) FILTER (quality = 0) AS q0, count(*) FILTER (quality = 1) AS q1
@@ -419,6 +430,20 @@ def histogram(t):
     return rounded(stats.histogram(rows, "n_chars", 9), "left_edge", "right_edge")
 
 
+@query("largest_key", "SELECT user_id, count(*) AS n FROM events GROUP BY user_id ORDER BY n DESC, user_id LIMIT 1")
+def largest_key(t):
+    return stats.largest_key(t.events, "user_id")
+
+
+@query(
+    "counts_above",
+    """SELECT p_type, count(*) AS n, round(count(*)::DOUBLE / sum(count(*)) OVER (), 6) AS proportion
+       FROM part WHERE p_retailprice > 950 GROUP BY p_type""",
+)
+def counts_above(t):
+    return rounded(stats.counts_above(t.part, "p_type", "p_retailprice", 950), "proportion")
+
+
 @query("trial_leaderboard", "SELECT p_partkey, p_type, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 20")
 def trial_leaderboard(t):
     return stats.trial_leaderboard(t.part.select("p_partkey", "p_type", "p_retailprice"), "p_retailprice", "p_partkey", 20)

@@ -122,7 +122,8 @@ def test_label_cooccurrence(spark):
 
 def test_group_members_splits_large_groups(spark):
     frame = spark.createDataFrame([(i, ["hot", f"k{i % 3}"]) for i in range(3000)], "id int, tasks array<string>")
-    got = stats.group_members(frame, "tasks", "id", per_row=200).collect()
+    assert stats.group_members(frame, "tasks", "id").filter("key = 'hot'").agg(F.countDistinct("member"), F.min("n_members")).first() == (3000, 3000)
+    got = stats.group_member_lists(frame, "tasks", "id", per_row=200).collect()
     hot = [r for r in got if r["key"] == "hot"]
     assert len(hot) == 15 and max(len(r["members"]) for r in hot) < 300
     assert sorted(m for r in hot for m in r["members"]) == list(range(3000))
@@ -213,6 +214,20 @@ def test_generate_batch_isolates_failures(spark):
     frame = spark.createDataFrame([(i, t, None if i else 2**60) for i, t in enumerate(texts)], "id int, p string, n long")
     got = prompts.generate_batch(frame.coalesce(1), "p", "out", load, batch_size=3).orderBy("id").collect()
     assert [r["out"] for r in got] == ["A", None, "B", None, "C"] and got[0]["n"] == 2**60
+    assert [r["out_error"] is None for r in got] == [True, False, True, False, True] and "refused" in got[1]["out_error"]
+
+
+def test_generate_batch_keeps_answers_on_their_rows(spark):
+    def load():
+        def model(batch):  # too few answers in one chunk, too many in the next
+            return [p.upper() for p in batch[:-1]] if "b" in batch else [p.upper() for p in batch] + ["extra"] * (len(batch) > 1)
+
+        return model
+
+    frame = spark.createDataFrame([(i, p) for i, p in enumerate("abcde")], "id int, p string")
+    got = prompts.generate_batch(frame.coalesce(1), "p", "out", load, batch_size=3).orderBy("id").collect()
+    assert [r["out"] for r in got] == ["A", None, "C", "D", "E"]
+    assert got[1]["out_error"] == "ValueError: 0 answers to 1 prompts"
 
 
 def test_chat_pivot_splits_long_conversations(spark, rows):
@@ -222,6 +237,9 @@ def test_chat_pivot_splits_long_conversations(spark, rows):
     chats = prompts.chat_pivot(frame, "c", "turn", "role", "text", per_row=10).orderBy("c", "part").collect()
     assert [(r["c"], r["part"], len(r["messages"])) for r in chats] == [(1, 0, 10), (1, 1, 10), (1, 2, 5), (2, 0, 1)]
     assert [m["content"] for r in chats if r["c"] == 1 for m in r["messages"]] == [f"t{i}" for i in range(25)]
+    for per_row in (1, 4, 100):
+        back = prompts.chat_unpivot(prompts.chat_pivot(frame, "c", "turn", "role", "text", per_row=per_row), "c")
+        assert sorted(map(tuple, back.collect())) == sorted(turns)
 
 
 def test_pairs_from_good_bad(spark, rows):
