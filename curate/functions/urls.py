@@ -9,18 +9,17 @@ from pyspark.sql import functions as F
 
 from curate.session import as_column
 
-# Public suffixes known by default. A complete list can be passed instead.
-SUFFIXES = (
+# A short list of rules known by default (plain, ``*.`` for any label, ``!`` for an exception).
+# A complete list of public suffixes has the same form: pass its lines, or a table of them.
+RULES = (
     "com org net edu gov mil int info biz name io ai app dev co me tv "
-    "sco scot wales cymru london eu uk us ca au nz ie de at ch fr be nl lu es pt it "
-    "dk se no fi is pl cz sk hu ro bg gr hr si rs ua ru tr il in cn jp kr tw hk sg "
-    "my th vn id ph br mx ar cl pe za ng ke eg "
-    "ac.uk co.uk gov.uk ltd.uk me.uk net.uk nhs.uk org.uk plc.uk police.uk sch.uk "
-    "ac.jp co.jp ed.jp go.jp or.jp ne.jp com.au edu.au gov.au net.au org.au "
-    "ac.nz co.nz govt.nz org.nz ac.in co.in gov.in com.br org.br gov.br com.cn edu.cn "
-    "ac.za co.za org.za com.mx com.tr edu.tr co.kr ac.kr com.tw com.sg com.hk ac.at co.at"
+    "co.uk ac.uk gov.uk ltd.uk me.uk net.uk nhs.uk org.uk plc.uk police.uk sch.uk "
+    "ac.jp co.jp ed.jp go.jp or.jp ne.jp *.kawasaki.jp !city.kawasaki.jp *.ck !www.ck *.bd *.np *.kh"
 ).split()
 
+# Labels under which countries commonly register names, as in ``gouv.fr`` or ``ac.be``.
+SECOND_LEVEL = "ac co com edu gob gouv gov govt go mil net nom or org".split()
+
 # scheme :// [user info @] host [: port] — the host without a trailing dot.
 HOST = r"^[A-Za-z][A-Za-z0-9+.\-]*://(?:[^/?#@]*@)?([^/?#:@\[\]\s]+?)\.?(?::\d*)?(?:[/?#].*)?$"
 SCHEME = r"^([A-Za-z][A-Za-z0-9+.\-]*)://"
@@ -36,27 +35,69 @@ def url_host(url: str | Column) -> Column:
     return F.lower(F.nullif(F.regexp_extract(as_column(url), HOST, 1), F.lit("")))
 
 
-def host_suffix(host: str | Column, suffixes: Sequence[str] = SUFFIXES) -> Column:
-    """Longest public suffix of a host: ``ac.uk`` rather than ``uk``; null if none is known.
+def _candidates(host: Column, depth: int) -> list[Column]:
+    """The last ``depth``, ..., 1 labels of a host; null where it has fewer."""
+    parts = F.size(F.split(host, r"\."))
+    return [F.when(parts >= n, F.substring_index(host, ".", -n)) for n in range(depth, 0, -1)]
+
+
+def _parent(name: Column) -> Column:
+    """A name without its first label; null for a single label."""
+    return F.nullif(F.regexp_replace(name, r"^[^.]*\.?", ""), F.lit(""))
+
 
-    Candidates are looked up in a hash set inside the row, so there is no join and no shuffle.
+def _of_country(name: Column, second_level: Sequence[str]) -> Column:
+    """Whether a name is a common second-level label under a two-letter country code."""
+    if not second_level:
+        return F.lit(False)
+    return name.rlike(rf"^(?:{'|'.join(second_level)})\.[a-z]{{2}}$")
+
+
+def host_suffix(host: str | Column, rules: Sequence[str] = RULES, second_level: Sequence[str] = SECOND_LEVEL) -> Column:
+    """Public suffix of a host: ``ac.uk`` rather than ``uk``.
+
+    The longest matching rule wins, an exception beats all; a host that no rule matches has its last
+    label as suffix. Null only for a null host and for IP addresses. Rules are looked up in hash sets
+    inside the row, so there is no join and no shuffle; for a long list see ``url_tld`` with a table.
     """
     host = as_column(host)
-    known = list(suffixes)
-    depth = max(s.count(".") for s in known) + 1
-    parts = F.split(host, r"\.")
-    candidates = F.array(
-        *[
-            F.when(F.size(parts) >= n, F.substring_index(host, ".", -n))
-            for n in range(depth, 0, -1)
-        ]
-    )
-    longest = F.get(F.filter(candidates, lambda c: c.isin(known)), 0)
-    return F.when(~host.rlike(IPV4), longest)
-
-
-def url_tld(rows: DataFrame, url: str, name: str = "tld", suffixes: Sequence[str] = SUFFIXES) -> DataFrame:
-    return rows.withColumn(name, host_suffix(url_host(url), suffixes))
+    plain = {r for r in rules if r[0] not in "*!"} or {""}
+    any_label = {r[2:] for r in rules if r.startswith("*.")} or {""}
+    except_ = {r[1:] for r in rules if r.startswith("!")} or {""}
+    depth = max(r.count(".") for r in [*rules, "a.b"]) + 1
+    names = _candidates(host, depth)
+    excepted = [F.when(c.isin(*except_), _parent(c)) for c in names]
+    ruled = [F.when(c.isin(*plain) | _parent(c).isin(*any_label) | _of_country(c, second_level), c) for c in names]
+    return F.when(~host.rlike(IPV4), F.coalesce(*excepted, *ruled, names[-1]))
+
+
+def url_tld(
+    rows: DataFrame, url: str, name: str = "tld", rules: Sequence[str] | DataFrame = RULES, second_level: Sequence[str] = SECOND_LEVEL
+) -> DataFrame:
+    """Add the public suffix of a URL's host; null for anything malformed and for IP addresses.
+
+    ``rules`` is a list, or a table with one rule per row in its first column. A table is met by
+    equi-joins on the candidate suffixes of each host, which Spark broadcasts while it is small.
+    """
+    if not isinstance(rules, DataFrame):
+        return rows.withColumn(name, host_suffix(url_host(url), rules, second_level))
+    rule = F.col(rules.columns[0])
+    listed = rules.select(F.regexp_replace(rule, r"^(\*\.|!)", "").alias("_rule"), F.regexp_extract(rule, r"^[*!]", 0).alias("_kind")).distinct()
+    listed = listed.groupBy("_rule").agg(*[F.max(F.col("_kind") == k).alias(c) for k, c in (("", "_plain"), ("*", "_any"), ("!", "_not"))])
+    depth = 5  # of the longest rule in the public list
+    out = rows.withColumn("_host", url_host(url))
+    for n, candidate in zip(range(depth, 0, -1), _candidates(F.col("_host"), depth)):
+        one = listed.withColumnsRenamed({c: f"{c}{n}" for c in listed.columns})
+        out = out.withColumn(f"_c{n}", candidate).join(one, F.col(f"_c{n}") == F.col(f"_rule{n}"), "left")
+
+    def has(kind: str, n: int) -> Column:
+        return F.coalesce(F.col(f"_{kind}{n}"), F.lit(False)) if n else F.lit(False)
+
+    span = range(depth, 0, -1)
+    excepted = [F.when(has("not", n), _parent(F.col(f"_c{n}"))) for n in span]
+    ruled = [F.when(has("plain", n) | has("any", n - 1) | _of_country(F.col(f"_c{n}"), second_level), F.col(f"_c{n}")) for n in span]
+    found = F.when(~F.col("_host").rlike(IPV4), F.coalesce(*excepted, *ruled, F.col("_c1")))
+    return out.withColumn("_found", found).select(*[c for c in rows.columns if c != name], F.col("_found").alias(name))
 
 
 def url_parts(rows: DataFrame, url: str, n: int) -> DataFrame:

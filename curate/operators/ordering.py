@@ -56,7 +56,7 @@ def row_index(rows: DataFrame, order: Sequence[str | Column], start: int = 1, na
     offsets = materialize(counts.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_before")))
     position = F.col("_place") - F.shiftleft("_range", 33)
     return (
-        placed.join(offsets, "_range")
+        placed.join(F.broadcast(offsets), "_range")  # one row per range, of which there are as many as partitions
         .withColumn(name, F.col("_before") + position + F.lit(start).cast("long"))
         .drop("_place", "_range", "_before")
     )

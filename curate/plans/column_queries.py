@@ -17,6 +17,27 @@ def extract_year(t):
     return t.orders.select("o_orderkey", text.extract_year(dump).alias("year"))
 
 
+# Hosts under suffixes of every kind, one per page, and what must be found.
+SUFFIX_CASES = [
+    ("www.gla.ac.uk", "ac.uk"), ("louvre.gouv.fr", "gouv.fr"), ("shop.example.xyz", "xyz"), ("a.b.unknownsuffix", "unknownsuffix"),
+    ("192.168.0.1", None), ("x.y.kawasaki.jp", "y.kawasaki.jp"), ("city.kawasaki.jp", "kawasaki.jp"), ("bad host.com", None),
+]
+
+
+@query(
+    "url_tld_rules",
+    "SELECT page_id, CASE page_id % 8 "
+    + " ".join(f"WHEN {i} THEN {'NULL' if s is None else repr(s)}" for i, (_, s) in enumerate(SUFFIX_CASES))
+    + " END AS tld FROM pages",
+)
+def url_tld_rules(t):
+    hosts = F.array(*[F.lit(h) for h, _ in SUFFIX_CASES])
+    path = F.regexp_extract("url", r"^[a-z]+://[^/?#]*(.*)$", 1)
+    built = F.concat(F.lit("http://"), F.get(hosts, (F.col("page_id") % 8).cast("int")), path)
+    rules = t.spark.createDataFrame([(r,) for r in urls.RULES], "rule string")
+    return urls.url_tld(t.pages.select("page_id", built.alias("url")), "url", rules=rules).select("page_id", "tld")
+
+
 @query(
     "url_tld",
     """SELECT page_id, regexp_extract(lower(regexp_extract(url, '^[A-Za-z]+://([^/?#:]+)', 1)), '([a-z]+)$', 1) AS tld

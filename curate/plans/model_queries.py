@@ -2,12 +2,15 @@
 
 from pyspark.sql import functions as F
 
+from curate.functions import urls
+from curate.functions.vectors import cosine, dot
 from curate.operators import classify, sampling, search, similar
 from curate.operators.ordering import seeded_hash
 from curate.plans import curation
 from curate.plans.registry import query
 from curate.plans.table_queries import rounded
 from curate.session import fresh_path
+from curate.sources import writers
 from curate.streaming import streams
 
 # A score that any engine can repeat: mostly the label, partly a hash, in steps of 1/100.
@@ -97,6 +100,29 @@ def choose_threshold(t):
     return rounded(best, "precision", "recall", "f1", "mean_prob")
 
 
+@query(
+    "choose_threshold_best",
+    CURVE
+    + """, o AS (SELECT * FROM pr WHERE threshold >= 0.5 ORDER BY precision DESC, threshold LIMIT 1)
+         SELECT threshold, round(precision, 6) AS precision, round(recall, 6) AS recall,
+           round(2 * precision * recall / (precision + recall), 6) AS f1 FROM o""",
+)
+def choose_threshold_best(t):
+    # No threshold can reach the precision asked for: the most precise one above the floor.
+    best = classify.choose_threshold(scored(t), "quality", "score", min_precision=1.5)
+    return rounded(best.select("threshold", "precision", "recall", "f1"), "precision", "recall", "f1")
+
+
+@query(
+    "choose_threshold_floor",
+    SCORED + "SELECT 1.5::DOUBLE AS threshold, 0.0::DOUBLE AS precision, 0.0::DOUBLE AS recall, 0.0::DOUBLE AS f1, min(score) AS min_prob FROM s",
+)
+def choose_threshold_floor(t):
+    # No score lies above the floor: the floor itself.
+    best = classify.choose_threshold(scored(t), "quality", "score", min_threshold=1.5)
+    return best.select("threshold", "precision", "recall", "f1", "min_prob")
+
+
 GRID = [0.5, 0.55, 0.605, 0.66, 0.725, 0.8, 0.905]
 
 
@@ -113,6 +139,55 @@ def threshold_grid(t):
     return rounded(classify.threshold_grid(scored(t), "quality", "score", GRID), "precision", "recall", "f1")
 
 
+DENSE = classify.dense_grid(0.5, 0.7, 1.0)
+
+
+@query(
+    "threshold_grid_dense",
+    SCORED
+    + f""", g AS (SELECT unnest({DENSE}::DOUBLE[]) AS threshold),
+            c AS (SELECT threshold, count(*) FILTER (score >= threshold) AS guessed,
+                    count(*) FILTER (score >= threshold AND quality = 1) AS hit, count(*) FILTER (quality = 1) AS actual FROM s, g GROUP BY 1)
+          SELECT round(threshold, 9) AS threshold, round(coalesce(hit / nullif(guessed, 0), 0), 6) AS precision, round(hit / actual, 6) AS recall,
+            round(2 * hit / (guessed + actual), 6) AS f1 FROM c""",
+)
+def threshold_grid_dense(t):
+    grid = rounded(classify.threshold_grid(scored(t), "quality", "score", DENSE), "precision", "recall", "f1")
+    return grid.withColumn("threshold", F.round("threshold", 9))
+
+
+def consistent(scores, *more):
+    """What must hold for every scored row: label and confidence follow from the probability."""
+    score = F.col("score")
+    return scores.select(
+        "doc_id", *more, score.between(0, 1).alias("valid"), (F.col("label") == (score > 0.5).cast("int")).alias("label_follows"),
+        (F.abs(F.col("confidence") - F.greatest(score, 1 - score)) < 1e-9).alias("confidence_follows"),
+    )
+
+
+CONSISTENT = "SELECT {} true AS valid, true AS label_follows, true AS confidence_follows FROM "
+
+
+@query("train_quality_filter_rows", CONSISTENT.format("doc_id, quality,") + "documents JOIN labels USING (doc_id)")
+def train_quality_filter_rows(t):
+    return consistent(train_quality_filter(t), "quality")
+
+
+@query("score_corpus_rows", CONSISTENT.format("doc_id,") + "documents")
+def score_corpus_rows(t):
+    return consistent(score_corpus(t))
+
+
+@query("text_and_url_filter", CONSISTENT.format("page_id AS doc_id, quality,") + "pages JOIN labels ON page_id = doc_id")
+def text_and_url_filter(t):
+    # Words of the page beside the pieces of its address as categories.
+    pages = urls.url_parts(t.pages.withColumnRenamed("page_id", "doc_id"), "url", 3)
+    pieces = ["scheme", "url1", "url2", "url3"]
+    rows = pages.select("doc_id", "html", *[F.coalesce(c, F.lit("")).alias(c) for c in pieces]).join(t.labels, "doc_id")
+    model = classify.train_quality_filter(rows, "html", "quality", categories=pieces)
+    return consistent(classify.score_corpus(model, rows, "doc_id", "html", categories=pieces, keep=["quality"]), "quality")
+
+
 @query("score_corpus")
 def score_corpus(t):
     rows = t.documents.select("doc_id", "text").join(t.labels, "doc_id")
@@ -149,6 +224,31 @@ def param_sweep(t):
     return classify.param_sweep(train, valid, "text", "quality", {"reg": [0.01, 0.1], "max_iter": [10]}, first={"reg": 1.0, "max_iter": 5})
 
 
+@query(
+    "param_sweep_trials",
+    "SELECT * FROM (VALUES (0, 1.0::DOUBLE, 5.0::DOUBLE), (1, 0.01, 10.0), (2, 0.1, 10.0)) v(number, params_reg, params_max_iter)",
+)
+def param_sweep_trials(t):
+    trials = param_sweep(t).filter("value BETWEEN 0 AND 1 AND seconds > 0")
+    return trials.select("number", "params_reg", "params_max_iter")
+
+
+@query(
+    "curation_workflow_rows",
+    "SELECT true AS once_each, true AS unchanged, true AS below_threshold, true AS some_kept, true AS some_dropped",
+)
+def curation_workflow_rows(t):
+    out = fresh_path(t.spark, "curated-rows")
+    curation.curate_corpus(t.documents, t.labels, key="doc_id", text="text", group="lang", flag="toxic", out=out)
+    kept = writers.read_published(t.spark, out)
+    both = kept.select("doc_id", "score", F.md5("text").alias("a")).join(t.documents.select("doc_id", F.md5("text").alias("b")), "doc_id", "left")
+    total = t.documents.agg(F.count("*")).scalar()
+    return both.agg(
+        (F.count("*") == F.countDistinct("doc_id")).alias("once_each"), F.every(F.col("a").eqNullSafe(F.col("b"))).alias("unchanged"),
+        (F.max("score") < 1).alias("below_threshold"), (F.count("*") * 2 > total).alias("some_kept"), (F.count("*") < total).alias("some_dropped"),
+    )
+
+
 @query("curation_workflow")
 def curation_workflow(t):
     return curation.curate_corpus(
@@ -165,6 +265,18 @@ def embed_text(t):
     return search.embed_text(t.documents.select("doc_id", "text"), "text", embedder).select("doc_id", F.to_json("embedding").alias("embedding"))
 
 
+@query(
+    "embed_text_rows",
+    "SELECT doc_id, 64 AS size, trim(text, ' ') <> '' AS unit, true AS same_text_same_vector FROM documents",
+)
+def embed_text_rows(t):
+    vectors = search.embed_text(t.documents.select("doc_id", "text"), "text", search.text_embedder(t.documents, "text", 64))
+    norm = F.sqrt(dot("embedding", "embedding"))
+    rows = vectors.select("doc_id", F.md5("text").alias("d"), F.size("embedding").alias("size"), (F.abs(norm - 1) < 1e-9).alias("unit"), F.md5(F.to_json("embedding")).alias("v"))
+    per_text = rows.groupBy("d").agg((F.min("v") == F.max("v")).alias("same_text_same_vector"))
+    return rows.join(per_text, "d").select("doc_id", "size", "unit", "same_text_same_vector")
+
+
 def first_vector(t):
     return t.embeddings.orderBy("vec_id").limit(1).select("embedding").scalar()
 
@@ -219,10 +331,25 @@ def knn_approx(t):
 
 @query("knn_join_approx")
 def knn_join_approx(t):
-    near = similar.knn_join_approx(t.embeddings, t.embeddings, 5, "vec_id", "embedding", exclude_self=True, bits=4)
+    near = similar.knn_join_approx(t.embeddings, t.embeddings, 5, "vec_id", "embedding", exclude_self=True, bits=11, tables=24)
     return rounded(near, "distance")
 
 
+@query(
+    "knn_join_approx_exact",
+    "SELECT vec_id AS query_id, true AS exact FROM embeddings",
+)
+def knn_join_approx_exact(t):
+    # Whether every distance returned for a query is that of its pair of vectors.
+    near = similar.knn_join_approx(t.embeddings, t.embeddings, 5, "vec_id", "embedding", exclude_self=True, bits=11, tables=24)
+    vectors = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    pairs = near.join(vectors.select(F.col("vec_id").alias("query_id"), F.col("e").alias("q")), "query_id")
+    pairs = pairs.join(vectors.select(F.col("vec_id").alias("row_id"), F.col("e").alias("r")), "row_id")
+    right = F.abs(F.col("distance") - (F.lit(1.0) - cosine("q", "r"))) < 1e-9
+    found = pairs.groupBy("query_id").agg(F.every(right).alias("exact"))
+    return vectors.select(F.col("vec_id").alias("query_id")).join(found, "query_id", "left").withColumn("exact", F.coalesce("exact", F.lit(True)))
+
+
 @query(
     "maxsim_score",
     """WITH f AS (SELECT label AS q, min(vec_id) AS vec_id FROM embeddings GROUP BY label),
@@ -261,7 +388,22 @@ def copies(t):
            (SELECT 1 FROM c b WHERE b.vec_id < a.vec_id AND list_cosine_similarity(a.e, b.e) >= 0.95)""",
 )
 def semantic_dedup(t):
-    return similar.semantic_dedup(copies(t), "vec_id", "e", 0.95, bits=6, tables=24).select("vec_id")
+    return similar.semantic_dedup(copies(t), "vec_id", "e", 0.95).select("vec_id")
+
+
+@query(
+    "knn_join_approx_planted",
+    COPIES
+    + """, p AS (SELECT a.vec_id AS query_id, b.vec_id AS row_id, 1 - list_cosine_similarity(a.e, b.e) AS d
+                 FROM v a, c b WHERE b.vec_id % 1000000 = a.vec_id AND b.vec_id >= 1000000)
+         SELECT query_id, row_id, abs(round(d, 6)) AS distance FROM p""",
+)
+def knn_join_approx_planted(t):
+    # Every vector has three planted neighbours, far nearer than the rest: all have to be found.
+    base = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
+    planted = copies(t).filter("vec_id >= 1000000")
+    near = similar.knn_join_approx(base, planted, 3, "vec_id", "e", bits=10, tables=48)
+    return near.select("query_id", "row_id", F.abs(F.round("distance", 6)).alias("distance"))
 
 
 @query("label_set_search")
@@ -273,6 +415,20 @@ def label_set_search(t):
     return found.select("p_partkey", F.array_join("labels", " ").alias("labels"), "distance")
 
 
+@query(
+    "label_set_search_exact",
+    "SELECT p_partkey, 0.0::DOUBLE AS distance FROM part WHERE p_name = (SELECT p_name FROM part ORDER BY p_partkey LIMIT 1)",
+)
+def label_set_search_exact(t):
+    # The label set of one part as query: all parts with equal labels come first, at distance 0.
+    rows = t.part.select("p_partkey", "p_name", F.split("p_name", " ").alias("labels"))
+    embedder = search.text_embedder(t.part.select(F.col("p_name").alias("text")), "text", 4096)
+    wanted = rows.orderBy("p_partkey").first()["p_name"]
+    same = rows.filter(F.col("p_name") == wanted).count()
+    found = search.label_set_search(rows.drop("p_name"), "labels", wanted, same, "p_partkey", embedder)
+    return found.select("p_partkey", F.abs(F.round("distance", 9)).alias("distance"))
+
+
 # ---- streams
 
 
@@ -325,7 +481,10 @@ def stream_upsert(t):
     target = fresh_path(t.spark, "collection")
     rows = streams.stream_corpus(t.spark, source, first.schema, max_files=1)
     streams.stream_upsert(rows, target, fresh_path(t.spark, "collection-checkpoint")).awaitTermination()
-    return streams.read_upserted(t.spark, target, "o_orderkey", "version")
+    # Half-way compaction must not change what is read.
+    state = fresh_path(t.spark, "collection-state")
+    streams.compact_upserted(t.spark, target, "o_orderkey", "version", state)
+    return streams.read_upserted(t.spark, target, "o_orderkey", "version", state)
 
 
 @query("stream_filter_count", "SELECT count(*) AS n FROM pages WHERE regexp_matches(url, 'example.org')")

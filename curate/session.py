@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,13 +54,34 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[str]:
+    """A folder below the shared one for the tables written inside the ``with`` block, removed at its end.
+
+    Results that are read from those tables have to be written elsewhere before the block ends.
+    """
+    path = fresh_path(spark, "scratch")
+    _SCRATCH.append(path)
+    try:
+        yield path
+    finally:
+        _SCRATCH.remove(path)
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+#: Folders of the scopes that are open, innermost last.
+_SCRATCH: list[str] = []
+
+
 def materialize(rows: DataFrame, path: str | None = None, mode: str = "errorifexists") -> DataFrame:
     """Write ``rows`` as Parquet and scan the result, which cuts the lineage.
 
     The table lives on shared storage, so a lost executor costs no recomputation
-    of what came before.
+    of what came before. Inside ``scratch`` it is removed when the block ends.
     """
-    path = path or fresh_path(rows.sparkSession, "table")
+    if path is None:
+        path = f"{_SCRATCH[-1]}/table-{uuid.uuid4().hex}" if _SCRATCH else fresh_path(rows.sparkSession, "table")
     rows.write.mode(mode).parquet(path)
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
-from datetime import date
+from datetime import date, datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -45,24 +46,32 @@ def publish_dataset(
 ) -> str:
     """Write a finished dataset as a date-named version with one folder per split; returns the version.
 
-    The version is entered into the list of versions only after its data is complete, so a
-    reader never sees half of one.
+    The version is entered into the list of versions only after its data is complete, so a reader
+    never sees half of one. Each run writes a folder of its own: publishing a version again, also after
+    a run that broke off, replaces it for readers.
     """
     version = version or date.today().isoformat()
+    folder = f"version={version}/run={datetime.now(timezone.utc):%Y%m%dT%H%M%S%f}-{uuid.uuid4().hex[:8]}"
     rows = rows.withColumns({c: F.col(c).cast(t) for c, t in (casts or {}).items()})
-    write_parquet(rows, f"{path}/data/version={version}", [split_column])
-    entry = rows.sparkSession.createDataFrame([(version,)], "version string")
+    write_parquet(rows, f"{path}/data/{folder}", [split_column])
+    entry = rows.sparkSession.createDataFrame([(version, folder)], "version string, folder string")
     entry.coalesce(1).write.mode("append").parquet(f"{path}/versions")
     return version
 
 
 def published_versions(spark: SparkSession, path: str) -> DataFrame:
     """All complete versions below ``path``."""
-    return spark.read.schema("version string").parquet(f"{path}/versions").distinct()
+    return _entries(spark, path).select("version").distinct()
+
+
+def _entries(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema("version string, folder string").parquet(f"{path}/versions")
 
 
 def read_published(spark: SparkSession, path: str, version: str | None = None) -> DataFrame:
     """A published version, by default the latest."""
     if version is None:
         version = published_versions(spark, path).agg(F.max("version")).first()[0]
-    return spark.read.parquet(f"{path}/data/version={version}")
+    # Folder names of a version sort by the time of their run.
+    folder = _entries(spark, path).filter(F.col("version") == version).agg(F.max("folder")).first()[0]
+    return spark.read.parquet(f"{path}/data/{folder}")

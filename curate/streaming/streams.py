@@ -11,6 +11,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
 from curate.operators.stats import drop_duplicates
+from curate.sources.writers import publish_dataset, published_versions, read_published
 
 
 def stream_corpus(
@@ -103,12 +104,36 @@ def stream_upsert(rows: DataFrame, target: str, checkpoint: str) -> StreamingQue
     )
 
 
-def read_upserted(spark: SparkSession, target: str, key: str, version: str) -> DataFrame:
-    """Current state of a streamed collection: the highest version wins, then the latest batch."""
+def read_upserted(spark: SparkSession, target: str, key: str, version: str, compacted: str | None = None) -> DataFrame:
+    """Current state of a streamed collection: the highest version wins, then the latest batch.
+
+    With ``compacted``, the folder of ``compact_upserted``, only its latest state and the batches after
+    it are read.
+    """
     log = spark.read.parquet(target)
+    if compacted is not None:
+        upto, state = _latest_state(spark, compacted)
+        log = state.unionByName(log.filter(F.col("batch") > upto).withColumn("batch", F.col("batch").cast("long")))
     return drop_duplicates(log, [key], [version, "batch"], keep="last").drop("batch")
 
 
+def _latest_state(spark: SparkSession, compacted: str) -> tuple[int, DataFrame]:
+    upto = int(published_versions(spark, compacted).agg(F.max(F.col("version").cast("long"))).first()[0])
+    return upto, read_published(spark, compacted, str(upto)).drop("split").withColumn("batch", F.lit(upto).cast("long"))
+
+
+def compact_upserted(spark: SparkSession, target: str, key: str, version: str, compacted: str, before: str | None = None) -> int:
+    """Write the state of a streamed collection up to its last batch as a new published version below ``compacted``.
+
+    Returns that batch number. ``before`` names the folder of earlier compactions to start from, if there
+    are any. The log stays as it is: batches up to the returned number may be removed.
+    """
+    upto = int(spark.read.parquet(target).agg(F.max(F.col("batch").cast("long"))).first()[0])
+    state = read_upserted(spark, target, key, version, before)
+    publish_dataset(state.withColumn("split", F.lit("state")), compacted, version=str(upto))
+    return upto
+
+
 def stream_filter_count(rows: DataFrame, predicate: Column, name: str = "n") -> DataFrame:
     """Count of a filtered scan in bounded memory; every Spark aggregate over a scan is that."""
     return rows.filter(predicate).agg(F.count("*").alias(name))

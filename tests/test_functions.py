@@ -25,7 +25,15 @@ def one(spark, column, **values):
         ("http://example.com./", "com"),
         ("HTTP://EXAMPLE.COM", "com"),
         ("http://192.168.0.1/", None),
-        ("http://host.unknownsuffix/", None),
+        ("http://host.unknownsuffix/", "unknownsuffix"),
+        ("http://shop.example.xyz/", "xyz"),
+        ("http://louvre.gouv.fr/", "gouv.fr"),
+        ("http://www.kuleuven.ac.be/", "ac.be"),
+        ("http://x.y.kawasaki.jp/", "y.kawasaki.jp"),
+        ("http://city.kawasaki.jp/", "kawasaki.jp"),
+        ("http://www.ck/", "ck"),
+        ("http://a.b.ck/", "b.ck"),
+        ("http://localhost/", "localhost"),
         ("not a url", None),
         ("http://", None),
         ("http://exa mple.com/", None),
@@ -35,11 +43,13 @@ def one(spark, column, **values):
 def test_url_tld(spark, url, tld):
     frame = spark.createDataFrame([(url,)], "url string")
     assert urls.url_tld(frame, "url").first()["tld"] == tld
+    table = spark.createDataFrame([(r,) for r in urls.RULES], "rule string")
+    assert urls.url_tld(frame, "url", rules=table).first()["tld"] == tld
 
 
 def test_url_tld_with_own_list_and_null(spark):
     frame = spark.createDataFrame([("http://a.b.c.d/",), (None,)], "url string")
-    found = [r["tld"] for r in urls.url_tld(frame, "url", suffixes=["c.d", "b.c.d", "d"]).collect()]
+    found = [r["tld"] for r in urls.url_tld(frame, "url", rules=["c.d", "b.c.d", "d"]).collect()]
     assert found == ["b.c.d", None]
 
 

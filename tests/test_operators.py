@@ -427,6 +427,14 @@ def test_maxsim(points, spark):
         search.bounded_vectors(frame, "id", "v", limit=10)
 
 
+def test_bucket_search_compares_few_pairs(spark):
+    rng = np.random.default_rng(1)
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rng.standard_normal((2000, 64)))], "id long, v array<double>")
+    pairs = similar.bucket_pairs(frame, "id", "v", bits=12, tables=32)
+    assert pairs <= 0.02 * 2000 * 2000
+    assert similar.recall_at(0.95, 12, 32) > 0.999 and similar.recall_at(0.0, 12, 32) < 0.01
+
+
 @pytest.mark.parametrize("threshold", [0.9, 0.97])
 def test_semantic_dedup(spark, threshold):
     rng = np.random.default_rng(0)

@@ -9,7 +9,7 @@ from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
 from curate.operators import search
-from curate.session import fresh_path, materialize, shared_dir
+from curate.session import fresh_path, materialize, scratch, shared_dir
 from curate.sources import collection, readers, writers
 from curate.streaming import streams
 
@@ -92,6 +92,8 @@ def test_published_versions(spark):
     assert latest.schema["flag"].dataType.simpleString() == "int" and latest.count() == 2
     assert writers.read_published(spark, path, "2024-03-01").count() == 1
     assert writers.published_versions(spark, path).count() == 2
+    writers.publish_dataset(frame.limit(1), path, version="2024-11-01")  # again on the same day
+    assert writers.read_published(spark, path).count() == 1 and writers.published_versions(spark, path).count() == 2
 
 
 def test_write_ids_and_csv(spark, rows):
@@ -132,6 +134,33 @@ def test_stream_upsert_survives_a_repeated_batch(spark, rows):
     assert rows(streams.read_upserted(spark, target, "id", "version")) == [(1, "a", 1), (2, "c", 2)]
 
 
+def test_compacted_upserts(spark, rows):
+    target, source, state = (fresh_path(spark, f"test-compact-{n}") for n in ("log", "in", "state"))
+    schema = "id int, v string, version int"
+
+    def change(*data):
+        spark.createDataFrame(list(data), schema).coalesce(1).write.mode("append").parquet(source)
+        stream = streams.stream_corpus(spark, source, spark.createDataFrame([], schema).schema, max_files=1)
+        streams.stream_upsert(stream, target, f"{target}-checkpoint").awaitTermination()
+
+    change((1, "a", 1), (2, "b", 1))
+    assert streams.compact_upserted(spark, target, "id", "version", state) == 0
+    change((2, "c", 2), (3, "d", 1))
+    want = [(1, "a", 1), (2, "c", 2), (3, "d", 1)]
+    assert rows(streams.read_upserted(spark, target, "id", "version", state)) == want
+    assert streams.compact_upserted(spark, target, "id", "version", state, before=state) == 1
+    assert rows(streams.read_upserted(spark, target, "id", "version", state)) == want
+    assert rows(streams.read_upserted(spark, target, "id", "version")) == want
+
+
+def test_scratch_tables_are_removed(spark):
+    with scratch(spark) as folder:
+        kept = materialize(spark.range(5))
+        assert kept.count() == 5 and all(f.startswith(("file:" + folder, folder)) for f in kept.inputFiles())
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def test_resume_processes_each_file_once(spark, rows):
     source, out = fresh_path(spark, "test-inbox"), fresh_path(spark, "test-out")
     spark.range(10).repartition(3).write.parquet(source)
