@@ -21,8 +21,11 @@ from pyspark.sql import functions as F
 from curate.llm.frames import arrays_of, plain, table
 from curate.llm.words import buffers, cuts
 
-#: Text per block, and text whose keys meet in one bucket, in bytes.
-BLOCK_BYTES, BUCKET_BYTES = 2 << 20, 32 << 20
+#: Text per block, and text whose keys meet in one bucket, in bytes. Larger values make fewer and longer rows, at the
+#: cost of memory in a task (some 60 times a block, 10 times a bucket); raise both with the executors' memory.
+BLOCK_BYTES, BUCKET_BYTES = 1 << 20, 24 << 20
+#: Compression of the texts.
+LEVEL = 6
 
 _SCHEMA = "block long, ids binary, offsets binary, digests binary, n_bytes long, body binary"
 
@@ -45,7 +48,7 @@ def pack(docs: DataFrame) -> DataFrame:
     """The texts of ``docs`` as a written table of blocks; ``digests`` has the MD5 of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        block = TaskContext.get().partitionId() << 32
+        block, codec = TaskContext.get().partitionId() << 32, pa.Codec("zstd", compression_level=LEVEL)
         for batch in batches:
             ids, (data, offsets) = batch["doc_id"].to_numpy(), buffers(batch["text"])
             for first, last in cuts(offsets, BLOCK_BYTES):
@@ -54,7 +57,7 @@ def pack(docs: DataFrame) -> DataFrame:
                 digests = b"".join(hashlib.md5(raw[a:b]).digest() for a, b in zip(ends, ends[1:]))
                 yield arrays_of(
                     block=[block], ids=[ids[first:last].tobytes()], offsets=[inside.tobytes()], digests=[digests],
-                    n_bytes=[len(raw)], body=[pa.compress(raw, codec="zstd", asbytes=True) if raw else b""],
+                    n_bytes=[len(raw)], body=[codec.compress(raw, asbytes=True) if raw else b""],
                 )
                 block += 1
 
@@ -100,11 +103,28 @@ def bucketed(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (((keys >> np.uint64(32)) % np.uint64(buckets)) << np.uint64(32)) | (keys & np.uint64(0xFFFFFFFF))
 
 
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted 32-bit keys as compressed differences, byte by byte."""
+    if not len(keys):
+        return b""
+    gaps = np.diff(keys.astype(np.uint32), prepend=np.uint32(0))
+    planes = np.ascontiguousarray(gaps.view(np.uint8).reshape(-1, 4).T)
+    return len(keys).to_bytes(4, "little") + pa.Codec("zstd", compression_level=1).compress(planes.tobytes(), asbytes=True)
+
+
+def unpack_keys(packed: bytes) -> np.ndarray:
+    if not packed:
+        return np.empty(0, np.uint32)
+    n = int.from_bytes(packed[:4], "little")
+    planes = np.frombuffer(pa.decompress(packed[4:], 4 * n, codec="zstd", asbytes=True), np.uint8).reshape(4, n)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(np.uint32).ravel(), dtype=np.uint32)
+
+
 def by_bucket(sorted_keys: np.ndarray, buckets: int) -> list[bytes]:
     """The 32-bit keys of each bucket."""
     edges = np.searchsorted(sorted_keys, np.arange(buckets + 1, dtype=np.uint64) << np.uint64(32))
     low = sorted_keys.astype(np.uint32)
-    return [low[a:b].tobytes() for a, b in zip(edges.tolist(), edges[1:].tolist())]
+    return [pack_keys(low[a:b]) for a, b in zip(edges.tolist(), edges[1:].tolist())]
 
 
 def at_most_twice(sorted_keys: np.ndarray) -> np.ndarray:
@@ -129,12 +149,12 @@ def meet(questions: DataFrame, answer: Callable[[list[np.ndarray], list[np.ndarr
     """
 
     def run(rows: pa.Table) -> pa.Table:
-        keys = [np.frombuffer(x, np.uint32) for x in rows["keys"].to_pylist()]
-        marked = [np.frombuffer(x, np.uint32) for x in rows["marked"].to_pylist()]
+        keys = [unpack_keys(x) for x in rows["keys"].to_pylist()]
+        marked = [unpack_keys(x) for x in rows["marked"].to_pylist()]
         found, flags = answer(keys, marked)
         some = [i for i, x in enumerate(found) if len(x)]
         out = rows.select(["bucket", "block"]).take(pa.array(some, pa.int64()))
-        out = out.append_column("keys", pa.array([found[i].tobytes() for i in some], pa.binary()))
+        out = out.append_column("keys", pa.array([pack_keys(found[i]) for i in some], pa.binary()))
         return out.append_column("flags", pa.array([np.packbits(flags[i]).tobytes() for i in some], pa.binary()))
 
     answers = questions.groupBy("bucket").applyInArrow(run, "bucket int, block long, keys binary, flags binary")
@@ -156,7 +176,7 @@ def answered(answers: list[dict] | None) -> tuple[np.ndarray, np.ndarray]:
     """All keys sent back to a block, sorted, as ``bucketed`` numbers, and their flags."""
     keys, flags = [np.empty(0, np.uint64)], [np.empty(0, bool)]
     for x in sorted(answers or [], key=lambda x: x["bucket"]):
-        low = np.frombuffer(x["keys"], np.uint32).astype(np.uint64)
+        low = unpack_keys(x["keys"]).astype(np.uint64)
         keys.append((np.uint64(x["bucket"]) << np.uint64(32)) | low)
         flags.append(np.unpackbits(np.frombuffer(x["flags"], np.uint8), count=len(low)).astype(bool))
     return np.concatenate(keys), np.concatenate(flags)
