@@ -144,7 +144,11 @@ def _distance(model_mean: str = "mean", model_inverse: str = "inverse") -> Colum
     return sum(terms[1:], terms[0])
 
 
-def _joined(rows: DataFrame, model: DataFrame) -> DataFrame:
+def _joined(rows: DataFrame, model: DataFrame, grouped: bool) -> DataFrame:
+    if not grouped:  # one model: its numbers enter as literals
+        one = model.first()
+        parts = {c: F.array(*[F.lit(v) for v in one[c]]) if one else F.lit(None).cast("array<double>") for c in ("mean", "inverse")}
+        return rows.withColumns(parts)
     right = model.withColumnsRenamed({c: f"_{c}" for c in GROUP})
     on = rows["lang"].eqNullSafe(right["_lang"]) & rows["source"].eqNullSafe(right["_source"])
     return rows.join(right, on).drop("_lang", "_source")
@@ -190,10 +194,11 @@ def _fitted(binned: DataFrame, prior: dict | None, share: float, scale: float) -
     return table(keyed.groupBy("group_key").applyInPandas(fit, _MODEL))
 
 
-def estimate(rows: DataFrame, prior: dict | None = None) -> DataFrame:
+def estimate(rows: DataFrame, prior: dict | None = None, grouped: bool = True) -> DataFrame:
     """``lang, source, mean, inverse`` of each group's minimum-covariance-determinant estimate.
 
-    ``rows`` has the group and the transformed statistics. Starts from medians and quartile ranges.
+    ``rows`` has the group and the transformed statistics. Starts from medians and quartile ranges. If not
+    ``grouped``, all rows are of one group.
     """
     middle = rows.groupBy(*GROUP).agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"q_{x}") for x in FEATURES])
     p = len(FEATURES)
@@ -202,7 +207,7 @@ def estimate(rows: DataFrame, prior: dict | None = None) -> DataFrame:
     model = table(middle.select(*GROUP, F.array(*[F.col(f"q_{x}")[1] for x in FEATURES]).alias("mean"), F.array(*diagonal).alias("inverse")))
     for _ in range(STEPS):
         bin_of = F.floor(FINE * F.log2(F.greatest(_distance(), F.lit(1e-3)))).cast("int")
-        binned = _joined(rows, model).withColumn("bin", bin_of).groupBy(*GROUP, "bin").agg(*_moments())
+        binned = _joined(rows, model, grouped).withColumn("bin", bin_of).groupBy(*GROUP, "bin").agg(*_moments())
         model = _fitted(binned, prior, HALF, CONSISTENCY)
     return model
 
@@ -212,7 +217,7 @@ def judge(docs: DataFrame) -> DataFrame:
     stats = table(statistics(docs).withColumn("base_failed", base_failed()))
     rows = stats.filter("not base_failed").select(*GROUP, *transformed())
     over_all = rows.withColumns({c: F.lit("") for c in GROUP})
-    everything = estimate(over_all).first()
+    everything = estimate(over_all, grouped=False).first()
     models = estimate(rows, everything.asDict() if everything else None)
     left = stats.select("*", *transformed())
     right = models.withColumnsRenamed({c: f"_{c}" for c in GROUP})
