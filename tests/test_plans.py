@@ -72,7 +72,7 @@ def test_filters_reach_the_scan(spark, tables):
 
 
 # These run model code or matrices in Python on purpose, or stream.
-PYTHON = {"generate_batch", "generate_batch_errors", "knn_join_approx_planted", "knn_join", "knn_join_blocks", "maxsim_score", "semantic_dedup", "knn_join_approx"}
+PYTHON = {"generate_batch", "generate_batch_errors", "knn_join_approx_planted", "knn_join_approx_exact", "knn_join", "knn_join_blocks", "maxsim_score", "semantic_dedup", "knn_join_approx"}
 EAGER = {
     "train_quality_filter", "score_corpus", "param_sweep", "curation_workflow", "embed_text", "label_set_search",
     "stream_corpus", "incremental_process", "stream_upsert", "knn_approx",

@@ -156,7 +156,7 @@ def test_compacted_upserts(spark, rows):
 def test_scratch_tables_are_removed(spark):
     with scratch(spark) as folder:
         kept = materialize(spark.range(5))
-        assert kept.count() == 5 and all(f.startswith(("file:" + folder, folder)) for f in kept.inputFiles())
+        assert kept.count() == 5 and all(folder in f for f in kept.inputFiles())
     path = spark._jvm.org.apache.hadoop.fs.Path(folder)
     assert not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
 
