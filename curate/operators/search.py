@@ -240,10 +240,16 @@ def lsh_model(rows: DataFrame, vector: str, bucket: float, tables: int, seed: in
 def knn_approx(
     rows: DataFrame, query: Sequence[float], k: int, key: str, vector: str, bucket: float = 1.0, tables: int = 8
 ) -> DataFrame:
-    """Approximate ``k`` nearest rows by hashing; multi-probe continues until ``k`` are found."""
+    """Approximate ``k`` nearest rows by hashing; where hashing finds fewer, the nearest others follow.
+
+    Both ways read all rows, so this serves a model that is fitted anyway; see ``knn_exact``.
+    """
     from pyspark.ml.linalg import Vectors
 
     model = lsh_model(rows, vector, bucket, tables)
     hashed = rows.withColumn("_features", array_to_vector(doubles(vector)))
     near = model.approxNearestNeighbors(hashed, Vectors.dense(list(query)), k, distCol="distance")
-    return near.select(*rows.columns, "distance").orderBy("distance", key)
+    near = near.select(*rows.columns, "distance").withColumn("_fill", F.lit(0))
+    others = rows.join(near.select(key), key, "left_anti")
+    fill = knn_exact(others, query, k, key, vector).select(*rows.columns, "distance").withColumn("_fill", F.lit(1))
+    return near.unionByName(fill).orderBy("_fill", "distance", key).limit(k).orderBy("distance", key).drop("_fill")

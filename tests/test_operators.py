@@ -411,6 +411,8 @@ def test_knn_approx_finds_the_copies(points):
     x, frame = points
     got = search.knn_approx(frame, x[3].tolist(), 20, "id", "v").collect()
     assert len(got) == 20 and max(r["distance"] for r in got) < 1e-6
+    few = search.knn_approx(frame, x[5].tolist(), 50, "id", "v", bucket=0.02, tables=1).collect()
+    assert len({r["id"] for r in few}) == 50  # filled up where hashing finds fewer
 
 
 def test_maxsim(points, spark):
