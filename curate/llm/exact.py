@@ -3,8 +3,8 @@
 Only small rows (id, length, prefix hash) are grouped at first. Whole texts are read and hashed for the
 documents that still share both with another one; each of those groups is settled by (length, SHA-256).
 All grouping is by aggregation with map-side combination, so a text that a third of all rows carry costs
-one row per task. Texts are shuffled only to pick the surviving ones and to drop rows, and only when Spark
-finds the ids too many to broadcast.
+one row per task. Which texts to read is told to the scan by a bitmap of ids of fixed size; texts are not
+shuffled, and rows are dropped the same way: only rows that may be concerned meet the list of ids.
 
 Defined results: null texts count as empty; a null id is smaller than any id; rows that repeat both id and
 text are one document (``group_size`` counts its rows, ``n_rows`` how often it is there); other columns
@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curate.llm.frames import id_in, id_out, plain, table
+from curate.llm.frames import bitmap_of, id_in, id_out, maybe_in, plain, table
 
 #: Characters that the prefix hash covers.
 PREFIX = 64
@@ -39,9 +39,9 @@ def exact_groups(docs: DataFrame) -> DataFrame:
     same_length = light.join(by_length, "n_bytes", "left_semi")
     by_prefix = same_length.groupBy("n_bytes", "prefix").agg(F.count("*").alias("n")).filter("n > 1").select("n_bytes", "prefix")
     open_ids = table(same_length.join(by_prefix, ["n_bytes", "prefix"], "left_semi").select("doc_id").distinct())
+    read = maybe_in(rows, bitmap_of(open_ids)).filter("_maybe").select("doc_id", "n_bytes", "prefix", F.sha2("text", 256).alias("digest"))
     full = table(
-        rows.join(open_ids, "doc_id", "left_semi")
-        .select("doc_id", "n_bytes", "prefix", F.sha2("text", 256).alias("digest"))
+        read.join(open_ids, "doc_id")
         .groupBy("doc_id", "n_bytes", "prefix", "digest")
         .agg(F.count("*").alias("n_rows"))
     )
@@ -62,7 +62,10 @@ def drop_exact(docs: DataFrame) -> DataFrame:
     groups = table(exact_groups(docs).filter("digest is not null").select(id_in().alias("_id"), F.col("digest").alias("_digest"), "n_rows", "kept"))
     key = ["_id", "_digest"]
     rows = docs.withColumns({"_id": id_in(), "_digest": F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)})
-    left = rows.join(groups.filter("not kept").select(*key), key, "left_anti")
+    concerned = groups.filter("not kept or n_rows > 1")
+    told = maybe_in(rows, bitmap_of(concerned, "_id"), "_id")
+    left = told.filter("_maybe").join(groups.filter("not kept").select(*key), key, "left_anti")
     again = groups.filter("kept and n_rows > 1").select(*key)
     once = left.join(again, key, "left_anti")
-    return once.unionByName(left.join(again, key, "left_semi").dropDuplicates(key)).select(*docs.columns)
+    twice = left.join(again, key, "left_semi").dropDuplicates(key)
+    return told.filter("not _maybe").unionByName(once).unionByName(twice).select(*docs.columns)

@@ -25,6 +25,32 @@ def plain(docs: DataFrame, *more: str) -> DataFrame:
     return docs.select(id_in(), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *more)
 
 
+#: Size of a bitmap of hashed ids (4 MB). More ids than this only let more rows through.
+BITS = 1 << 25
+
+
+def bit_of(column: str = "doc_id") -> Column:
+    return F.pmod(F.xxhash64(column), F.lit(BITS))
+
+
+def bitmap_of(ids: DataFrame, column: str = "doc_id") -> DataFrame:
+    """A bitmap of hashed ids in pieces of 4 KB, ``k, bits``: at most ``BITS / 32768`` rows however many ids."""
+    at = ids.select((bit_of(column) + 1).alias("at"))
+    return table(at.groupBy(F.bitmap_bucket_number("at").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")))
+
+
+def maybe_in(rows: DataFrame, bitmap: DataFrame, column: str = "doc_id") -> DataFrame:
+    """``rows`` with a flag ``_maybe``: false where the id is surely not among those of the bitmap.
+
+    Lets wide rows be told apart in the scan, so that only those that may be concerned are shuffled.
+    """
+    at = bit_of(column) + 1
+    put = rows.withColumns({"_piece": F.bitmap_bucket_number(at), "_bit": F.bitmap_bit_position(at)})
+    met = put.join(F.broadcast(bitmap), F.col("_piece") == F.col("k"), "left")  # of fixed size
+    hit = F.expr("shiftright(cast(conv(hex(substring(bits, cast(_bit div 8 as int) + 1, 1)), 16, 10) as int), cast(_bit % 8 as int)) & 1") == 1
+    return met.withColumn("_maybe", F.coalesce(hit, F.lit(False))).drop("_piece", "_bit", "k", "bits")
+
+
 def table(rows: DataFrame) -> DataFrame:
     """Write to the shared folder and scan the result."""
     return materialize(rows)

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curate.llm.frames import NO_ID, arrays_of, id_in, id_out, plain, table
+from curate.llm.frames import NO_ID, arrays_of, id_out, plain, table
 from curate.llm.words import Words, chunks, spaces
 
 #: Hexadecimal digits of each level of the histogram.
@@ -74,6 +74,25 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     ``taken = passes * size + extra`` words. The rest beyond whole passes goes to documents in order of hash;
     the one on the threshold is taken in part (its first ``extra`` words), so that a source meets its target.
     """
+    rows, plan = _planned(docs, weights)
+    bounds = plan.withColumnsRenamed({"source": "_source"})
+    joined = rows.join(bounds, _same(F.col("source"), F.col("_source"))).drop("_source")
+    head = F.substring("key", 1, 2 * DIGITS)
+    outside = joined.filter(head != F.col("bound")).withColumn("extra", F.when(head < F.col("bound"), F.col("size")).otherwise(0))
+    out = outside.unionByName(_on_edge(joined)).withColumn("taken", F.col("passes") * F.col("size") + F.col("extra"))
+    return out.select(id_out(), "source", "size", "source_size", "target", "passes", "extra", "taken")
+
+
+def _on_edge(joined: DataFrame) -> DataFrame:
+    """The rows in the last boundary buckets, with the words that the rest still pays for."""
+    running = Window.partitionBy("source").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0)
+    room = F.floor(F.col("rest") - (F.sum("size").over(running) - F.col("size"))).cast("long")
+    edge = joined.filter(F.substring("key", 1, 2 * DIGITS) == F.col("bound"))
+    return edge.withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), room)))
+
+
+def _planned(docs: DataFrame, weights: tuple[int, ...]) -> tuple[DataFrame, DataFrame]:
+    """Sizes of all rows, and per source its target, whole passes, rest and boundary bucket (both written)."""
     rows = table(sizes(docs))
     totals = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
     passes = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long")
@@ -81,15 +100,7 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     plan = table(plan.withColumns({"rest": F.col("target") - F.col("passes") * F.col("source_size"), "bound": F.lit("")}))
     for level in range(2):
         plan = table(_refine(rows, plan, (level + 1) * DIGITS))
-    bounds = plan.withColumnsRenamed({"source": "_source"})
-    joined = rows.join(bounds, _same(F.col("source"), F.col("_source"))).drop("_source")
-    head = F.substring("key", 1, 2 * DIGITS)
-    outside = joined.filter(head != F.col("bound")).withColumn("extra", F.when(head < F.col("bound"), F.col("size")).otherwise(0))
-    running = Window.partitionBy("source").orderBy("key", "size").rowsBetween(Window.unboundedPreceding, 0)
-    room = F.floor(F.col("rest") - (F.sum("size").over(running) - F.col("size"))).cast("long")
-    edge = joined.filter(head == F.col("bound")).withColumn("extra", F.greatest(F.lit(0), F.least(F.col("size"), room)))
-    out = outside.unionByName(edge).withColumn("taken", F.col("passes") * F.col("size") + F.col("extra"))
-    return out.select(id_out(), "source", "size", "source_size", "target", "passes", "extra", "taken")
+    return rows, plan
 
 
 def _refine(rows: DataFrame, plan: DataFrame, digits: int) -> DataFrame:
@@ -122,12 +133,18 @@ def take(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     """The mixed rows of ``docs``, all columns: documents not taken go, others are there once per copy.
 
     Texts stay whole: the document on a threshold gets its further copy if at least half of it is taken.
-    Rows that repeat an id within a source share the larger number of copies.
+    Rows that repeat an id within a source share the larger number of copies. Copies follow from the hash
+    of the id and the bounds of its source, a table of one row per source; texts are not shuffled.
     """
-    copies = F.col("passes") + ((F.col("extra") > 0) & (2 * F.col("extra") >= F.col("size"))).cast("long")
-    per_id = mix(docs, weights).groupBy(id_in().alias("_id"), F.col("source").alias("_source")).agg(F.max(copies).alias("_copies"))
-    plan = table(per_id.filter("_copies > 0"))
-    rows = docs.withColumn("_key", F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long")))
-    on = (F.col("_key") == F.col("_id")) & _same(F.col("source").cast("string"), F.col("_source"))
-    mixed = rows.join(plan, on).withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies"))))
-    return mixed.select(*docs.columns)
+    rows, plan = _planned(docs, weights)
+    bounds = plan.select(F.col("source").alias("_source"), F.col("passes").alias("_passes"), F.col("rest").alias("_rest"), F.col("bound").alias("_bound"))
+    joined = rows.join(plan.withColumnRenamed("source", "_source"), _same(F.col("source"), F.col("_source"))).drop("_source")
+    half = (F.col("extra") > 0) & (2 * F.col("extra") >= F.col("size"))
+    edge = _on_edge(joined).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_from")).agg(F.max(half).alias("_half"))
+    key = F.md5(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")))
+    names = {"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long")), "_head": F.substring(key, 1, 2 * DIGITS)}
+    told = docs.withColumns(names | {"_own": F.col("source").cast("string")}).join(bounds, _same(F.col("_own"), F.col("_source")))
+    told = told.join(table(edge), (F.col("_doc") == F.col("_id")) & _same(F.col("_own"), F.col("_from")), "left")
+    more = (F.col("_head") < F.col("_bound")) | ((F.col("_head") == F.col("_bound")) & F.coalesce("_half", F.lit(False)))
+    told = told.withColumn("_copies", F.col("_passes") + more.cast("long")).filter("_copies > 0")
+    return told.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
