@@ -22,7 +22,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -101,7 +100,41 @@ def equal_prefixes(data: np.ndarray, at: np.ndarray, width: int) -> tuple[np.nda
     return index, group
 
 
-def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_SORTED = "bucket int, block long, known binary, " + ", ".join(f"{c} binary" for c in ("a", "b", "doc_id", "blocks", "doc", "start"))
+_ASKED = (("a", np.uint64), ("b", np.uint64), ("doc_id", np.int64), ("blocks", np.int64), ("doc", np.int64), ("start", np.int64))
+
+
+def _known(block: int, packed: bytes) -> pa.RecordBatch:
+    """Strings found to go; the negative bucket only spreads such rows."""
+    nothing = {c: pa.nulls(1, pa.binary()) for c, _ in _ASKED}
+    return arrays_of(bucket=pa.array([-1 - block % 1009], pa.int32()), block=pa.array([block], pa.int64()), known=pa.array([packed], pa.binary()), **nothing)
+
+
+def _per_block(block: np.ndarray, place: np.ndarray) -> list[tuple[int, bytes]]:
+    """Places to go as packed ranges of each block."""
+    order = np.lexsort((place, block))
+    block, place = block[order], place[order]
+    edges = np.flatnonzero(np.concatenate([[True], block[1:] != block[:-1], [True]])) if len(block) else np.empty(0, np.int64)
+    return [(int(block[a]), B.ranges(np.unique(place[a:b]))) for a, b in zip(edges[:-1].tolist(), edges[1:].tolist())]
+
+
+def _across(rows: pa.Table) -> pa.Table:
+    """Strings on boundaries of buckets that meet by digest: all but those of the earliest document go."""
+    known = rows.filter(rows["known"].is_valid())
+    asked = rows.filter(rows["known"].is_null())
+    found = list(zip(known["block"].to_pylist(), known["known"].to_pylist()))
+    if asked.num_rows:
+        a, b, doc_id, block, doc, start = (np.concatenate([np.frombuffer(x, t) for x in asked[c].to_pylist()]) for c, t in _ASKED)
+        order = np.lexsort((doc, block, doc_id, b, a))
+        a, b, doc_id, block, doc, start = (x[order] for x in (a, b, doc_id, block, doc, start))
+        head = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])]))
+        best = np.repeat(head, np.diff(np.append(head, len(a))))
+        gone = (doc_id != doc_id[best]) | (block != block[best]) | (doc != doc[best])
+        found += _per_block(block[gone], start[gone])
+    return pa.table({"block": pa.array([x for x, _ in found], pa.int64()), "known": pa.array([x for _, x in found], pa.binary())})
+
+
+def _sort_bucket(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa.RecordBatch]:
     """The removed strings of one bucket, and questions about those on its boundaries."""
     rows = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
     if rows is None or not rows.num_rows:
@@ -112,17 +145,17 @@ def _sort_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     ends = np.flatnonzero(np.append(lead[1:] != lead[:-1], True)) + 1
     sizes = np.array([len(x) for x in rows["run"].to_pylist()])[order] - WIDTH + 1
     total = np.cumsum(sizes)
-    hashers, salt, first = (Hasher(SEEDS[1]), Hasher(SEEDS[2])), TaskContext.get().partitionId() << 32, 0
+    hashers, first = (Hasher(SEEDS[1]), Hasher(SEEDS[2])), 0
     while first < len(lead):
         upto = ends[ends > first]
         fits = upto[total[upto - 1] - (total[first - 1] if first else 0) <= SORTED]
         last = int(fits[-1] if len(fits) else upto[0])
         part = rows.take(pa.array(order[first:last]))
-        yield from _sort_part(part, (lead[first:last] == lead[0]) | (lead[first:last] == lead[-1]), hashers, salt + first)
+        yield from _sort_part(part, (lead[first:last] == lead[0]) | (lead[first:last] == lead[-1]), hashers, buckets)
         first = last
 
 
-def _sort_part(rows: pa.Table, boundary: np.ndarray, hashers: tuple[Hasher, Hasher], salt: int) -> Iterator[pa.RecordBatch]:
+def _sort_part(rows: pa.Table, boundary: np.ndarray, hashers: tuple[Hasher, Hasher], buckets: int) -> Iterator[pa.RecordBatch]:
     runs = rows["run"].to_pylist()
     data = np.frombuffer(b"".join(runs), np.uint8)
     length = np.array([len(x) for x in runs])
@@ -141,16 +174,21 @@ def _sort_part(rows: pa.Table, boundary: np.ndarray, hashers: tuple[Hasher, Hash
         best = r[np.repeat(head, np.diff(np.append(head, len(r))))]
         removed[index[(doc_id[r] != doc_id[best]) | (block[r] != block[best]) | (doc[r] != doc[best])]] = True
     place = start[row] + step
-    gone = np.flatnonzero(removed)
-    gone = gone[np.lexsort((place[gone], block[row[gone]]))]
-    cut = np.flatnonzero(np.diff(block[row[gone]])) + 1
-    for i, some in enumerate(np.split(gone, cut) if len(gone) else []):
-        yield B.known_row(int(block[row[some[0]]]), B.ranges(np.unique(place[some])), salt + i)
-    open_ = np.flatnonzero(boundary[row] & ~removed)
-    if len(open_):
-        a, b = (h.spans(h.sums(h.byte[data]), at[open_], at[open_] + WIDTH) for h in hashers)
-        r = row[open_]
-        yield B.ask_rows(a, b, doc_id[r], block[r], doc[r], place[open_])
+    for which, packed in _per_block(block[row[removed]], place[removed]):
+        yield _known(which, packed)
+    asked = np.flatnonzero(boundary[row] & ~removed)
+    if len(asked):
+        a, b = (h.spans(h.sums(h.byte[data]), at[asked], at[asked] + WIDTH) for h in hashers)
+        bucket = (a % np.uint64(buckets)).astype(np.int64)
+        order = np.argsort(bucket, kind="stable")
+        edges = np.searchsorted(bucket[order], np.arange(buckets + 1))
+        r = row[asked]
+        columns = (a, b, doc_id[r], block[r], doc[r], place[asked])
+        some = [k for k in range(buckets) if edges[k] < edges[k + 1]]
+        packed = {
+            c: pa.array([x[order[edges[k] : edges[k + 1]]].astype(t).tobytes() for k in some], pa.binary()) for (c, t), x in zip(_ASKED, columns)
+        }
+        yield arrays_of(bucket=pa.array(some, pa.int32()), block=pa.nulls(len(some), pa.int64()), known=pa.nulls(len(some), pa.binary()), **packed)
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:
@@ -206,7 +244,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
     def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block, row in B.each(batches):
             sizes = np.diff(block.offsets)
-            gone = B.covered(len(block.data), WIDTH, row["starts"], row["known"])
+            gone = B.covered(len(block.data), WIDTH, None, row["known"])
             whole = np.zeros(len(sizes), bool)
             whole[row["copies"] or []] = True
             gone |= np.repeat(whole, sizes)
@@ -228,12 +266,10 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
 
     answers = B.meet(joined(copies).mapInArrow(probe, B.QUESTION), _answer)
     found = table(joined(copies).join(answers, "block").mapInArrow(runs, _RUN))
-    buckets_by_lead = found.filter("known IS NULL").drop("known").repartitionByRange("lead", "spread")
-    asks = buckets_by_lead.mapInArrow(_sort_bucket, B.ASK)
-    inside = found.filter("known IS NOT NULL").groupBy("block").agg(F.collect_list("known").alias("inner"))
-    late = B.repeats(asks, per_document=True)
-    both = late.join(inside, "block", "full").select(
-        "block", "starts", F.concat(F.coalesce("known", F.array()), F.coalesce("inner", F.array())).alias("known")
-    )
-    rows = joined(copies, both).mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    by_lead = found.filter("known IS NULL").drop("known").repartitionByRange("lead", "spread")
+    sorted_ = by_lead.mapInArrow(lambda batches: _sort_bucket(batches, buckets), _SORTED)
+    late = sorted_.groupBy("bucket").applyInArrow(_across, "block long, known binary")
+    every = late.unionByName(found.filter("known IS NOT NULL").select("block", "known"))
+    gone = every.groupBy("block").agg(F.collect_list("known").alias("known"))
+    rows = joined(copies, gone).mapInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
     return rows.withColumn("doc_id", id_out())
