@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from curate.llm.frames import arrays_of, id_out, plain
+from curate.llm.frames import arrays_of, id_out, plain, release_memory
 from curate.llm.words import Hasher, buffers, cuts
 
 WINDOW = 1024
@@ -38,7 +38,7 @@ SENTENCE_COST, HARD_COST, WINDOW_COST = 4, 64, 16
 #: Id that closes a document.
 CLOSE = 0
 #: Tokenized words kept at a time.
-CACHE = 300_000
+CACHE = 200_000
 
 # Fixed value: the pre-tokenizing pattern of byte-level vocabularies of this family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -205,6 +205,7 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool =
     fields += ", ids array<int>" if with_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release_memory()
         encoder, sequence = Encoder(tokenizer), TaskContext.get().partitionId() << 40
         for batch in batches:
             names, (data, offsets) = batch["doc_id"], buffers(batch["text"])
