@@ -18,7 +18,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curate.llm.frames import arrays_of, plain, table
+from curate.llm.frames import arrays_of, plain, release_memory, table
 from curate.llm.words import buffers, cuts
 
 #: Text per block, and text whose keys meet in one bucket, in bytes. Larger values make fewer and longer rows, at the
@@ -69,6 +69,7 @@ def each(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[Block, dict]]:
         for i in range(batch.num_rows):
             row = {name: column[i].as_py() for name, column in zip(batch.schema.names, batch.columns)}
             yield Block(row), row
+    release_memory()
 
 
 def bucket_count(blocks: DataFrame) -> int:

@@ -26,13 +26,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curate.llm import blocks as B
-from curate.llm.frames import arrays_of, id_out, table
+from curate.llm.frames import arrays_of, id_out, release_memory, table
 from curate.llm.words import Hasher
 
 #: Length of a string that counts as a repeat, and of the grams that anchor it, in bytes.
 WIDTH, GRAM = 50, 24
 #: Suffixes sorted together, besides those of one leading key.
-SORTED = 1 << 20
+SORTED = 1 << 19
 SEEDS = (31, 37, 41)
 
 _RUN = "lead long, spread long, run binary, doc_id long, block long, doc int, start int, known binary"
@@ -153,6 +153,7 @@ def _sort_bucket(batches: Iterator[pa.RecordBatch], buckets: int) -> Iterator[pa
         part = rows.take(pa.array(order[first:last]))
         yield from _sort_part(part, (lead[first:last] == lead[0]) | (lead[first:last] == lead[-1]), hashers, buckets)
         first = last
+    release_memory()
 
 
 def _sort_part(rows: pa.Table, boundary: np.ndarray, hashers: tuple[Hasher, Hasher], buckets: int) -> Iterator[pa.RecordBatch]:
