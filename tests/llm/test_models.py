@@ -167,6 +167,66 @@ def test_suffix_tree_scores(documents, monkeypatch):
     assert suffix_tree.fit_and_score(documents(ODD).limit(0)).collect() == []
 
 
+def tree_scores(texts, held):
+    """log10 probability of every text by definition, from all grams that occur twice in those that train."""
+    count, known = {}, [[*t.lower().split(), None] for t in texts]
+    for ws in (w for w, h in zip(known, held) if not h):
+        for n in range(1, suffix_tree.DEPTH + 2):
+            for i in range(len(ws) - n + 1):
+                count[tuple(ws[i : i + n])] = count.get(tuple(ws[i : i + n]), 0) + 1
+    total, distinct = sum(c for g, c in count.items() if len(g) == 1), sum(len(g) == 1 for g in count)
+    follow = {}
+    for g, c in count.items():
+        if len(g) > 1 and c >= 2:
+            follow.setdefault(g[:-1], {})[g[-1]] = c
+    shares = {(): None}
+
+    def prob(context, word):
+        if not context:
+            return (count.get((word,), 0) + 0.5) / (total + 0.5 * (distinct + 1))
+        other = prob(context[1:], word)
+        share = leaves(context)
+        if share is None:
+            return other
+        listed = follow[context]
+        return listed.get(word, 0) / (count[context] + len(listed)) + share * other
+
+    def leaves(context):
+        if context not in shares:
+            listed, shares[context] = follow.get(context), None
+            if listed:
+                whole = count[context] + len(listed)
+                share, left, gain = (whole - sum(listed.values())) / whole, 1.0, 0.0
+                for w, c in listed.items():
+                    other = prob(context[1:], w)
+                    own = c / whole + share * other
+                    left, gain = left - other, gain + own * math.log(own / other)
+                gain += share * max(left, 1e-12) * math.log(share) if share else 0.0
+                if count[context] * gain > suffix_tree.GAIN + suffix_tree.GAIN_PER_ENTRY * len(listed):
+                    shares[context] = share
+        return shares[context]
+
+    depth = suffix_tree.DEPTH
+    return [sum(math.log10(prob(tuple(ws[max(0, i - depth) : i]), w)) for i, w in enumerate(ws)) for ws in known]
+
+
+@pytest.mark.parametrize("more", [0, 1_200_000])
+def test_rare_contexts_count_at_any_size(documents, monkeypatch, more):
+    monkeypatch.setattr(blocks, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(blocks, "BUCKET_BYTES", 5000 if not more else 500_000)
+    rnd = random.Random(7)
+    texts = [" ".join(rnd.choice(["red green blue", "Red green", "sun", "moon stone", f"w{rnd.randint(0, 99)}"]) for _ in range(rnd.randint(0, 40))) for _ in range(150)]
+    texts += ["once only twice seen phrase"] * 6 + ["", "w1 " * more]  # the last trains
+    rows = list(enumerate(texts))
+    learns = lambda ids: ids % 5 != 1
+    got = {r.doc_id: r for r in suffix_tree.fit_and_score(documents(rows), learns).collect()}
+    want = tree_scores(texts, [i % 5 == 1 for i in range(len(texts))])
+    for i, score in enumerate(want):
+        assert got[i].held_out == (i % 5 == 1) and math.isclose(got[i].score, score, rel_tol=1e-9)
+    # One of the six is held out: its phrase is known however small a part of the tokens it is.
+    assert got[151].held_out and got[151].score > 0.6 * got[151].base_score
+
+
 def test_outliers(documents):
     rnd = random.Random(8)
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 9)))
