@@ -41,8 +41,8 @@ PRIOR, MIN_Z, DRIFT = 0.1, 2.6, -0.3
 MAX_EXPECTED = 0.01
 #: The part of the labelled documents kept out of the counts to fit K and the calibration: one in.
 CALIBRATE = 4
-#: Occurrences of one token that count in a text.
-MAX_REPEATS = 3
+#: Occurrences of one token that count in a run of so many tokens of a text.
+MAX_REPEATS, NEAR = 3, 100
 SEED = 5
 
 
@@ -121,16 +121,19 @@ class ToxicityModel:
 
 
 def scored(score: np.ndarray, bucket: np.ndarray, words: Words) -> np.ndarray:
-    """The score of each token; a positive token counts ``MAX_REPEATS`` times per text, then scores the drift."""
+    """The score of each token; a positive token with ``MAX_REPEATS`` equal ones among the ``NEAR`` before scores the drift.
+
+    Repeats are damped only where they stand close together, so a passage scores the same wherever in a text it stands.
+    """
     out = score[bucket]
     at = np.flatnonzero(out > 0)
     if len(at):
         kind = words.text_of_word()[at] * DIMS + bucket[at]
         order = np.argsort(kind, kind="stable")
-        kind = kind[order]
-        first = np.flatnonzero(np.concatenate([[True], kind[1:] != kind[:-1]]))
-        rank = np.arange(len(kind)) - np.repeat(first, np.diff(np.append(first, len(kind))))
-        out[at[order[rank >= MAX_REPEATS]]] = DRIFT
+        kind, place = kind[order], at[order]
+        again = np.zeros(len(at), bool)
+        again[MAX_REPEATS:] = (kind[MAX_REPEATS:] == kind[:-MAX_REPEATS]) & (place[MAX_REPEATS:] - place[:-MAX_REPEATS] < NEAR)
+        out[place[again]] = DRIFT
     return out
 
 

@@ -68,6 +68,17 @@ def test_toxicity(spark, documents):
     assert kept.columns == docs.columns and kept.count() == 300 + len(ODD)
 
 
+def test_late_passage_of_a_long_text_is_found(spark, documents):
+    docs, labels, rows = toxic_table(spark, documents)
+    model = toxicity.fit(docs, labels, ~toxicity.held_out())
+    plain = " ".join(rows[i][1] for i in range(1, 100) if i % 4)
+    passage = "villain scoundrel villain scoundrel"
+    text = " ".join([plain, "villain", plain, "scoundrel", plain] * 4 + [passage])
+    row = toxicity.score_texts(documents([(1, text)]), model).first()
+    start = len(text) - len(passage)
+    assert any(p.start <= start and p.end == len(text) for p in row.passages)
+
+
 def test_toxicity_without_labels(spark, documents):
     docs, labels, _ = toxic_table(spark, documents)
     model = toxicity.fit(docs, labels.limit(0))
