@@ -208,7 +208,8 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, .
 def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, bound: int = MAX_LABELLED) -> ToxicityModel:
     """A model from the labelled documents that ``allowed`` (a condition on ``doc_id``) admits."""
     sample = labelled_sample(labels, F.lit(True) if allowed is None else allowed, bound)
-    calibrate = F.conv(F.substring("place", 1, 4), 16, 10).cast("int") % CALIBRATE == 0
+    # Other digits than those that order the sample: with many labels its first ones are all alike.
+    calibrate = F.conv(F.substring("place", -4, 4), 16, 10).cast("int") % CALIBRATE == 0
     # At most 2 * bound rows: small by construction.
     labelled = plain(docs).join(F.broadcast(sample.select("doc_id", "toxic", calibrate.alias("calibrate"))), "doc_id")
     counts = _count(labelled.filter("not calibrate").select("text", "toxic")).collect()  # at most DIMS rows

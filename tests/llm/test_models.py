@@ -79,6 +79,15 @@ def test_late_passage_of_a_long_text_is_found(spark, documents):
     assert any(p.start <= start and p.end == len(text) for p in row.passages)
 
 
+def test_calibration_does_not_follow_the_order_of_the_sample(spark, documents):
+    _, _, rows = toxic_table(spark, documents)
+    first = [i for i in range(4000) if int(hashlib.md5(f"toxic{i}".encode()).hexdigest()[:4], 16) % toxicity.CALIBRATE == 0][:400]
+    labels = spark.createDataFrame([(i, int(n % 4 == 0)) for n, i in enumerate(first)], "doc_id long, toxic int")
+    docs = documents([(i, text) for i, (_, text) in zip(first, rows)])
+    got = {r.doc_id: r.score for r in toxicity.score_texts(docs, toxicity.fit(docs, labels)).collect()}
+    assert all((got[i] >= 0.5) == (n % 4 == 0) for n, i in enumerate(first))
+
+
 def test_toxicity_without_labels(spark, documents):
     docs, labels, _ = toxic_table(spark, documents)
     model = toxicity.fit(docs, labels.limit(0))
