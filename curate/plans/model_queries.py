@@ -331,7 +331,7 @@ def knn_approx(t):
 
 @query("knn_join_approx")
 def knn_join_approx(t):
-    near = similar.knn_join_approx(t.embeddings, t.embeddings, 5, "vec_id", "embedding", exclude_self=True, bits=11, tables=24)
+    near = similar.knn_join_approx(t.embeddings, t.embeddings, 5, "vec_id", "embedding", exclude_self=True, bits=5, tables=32)
     return rounded(near, "distance")
 
 
@@ -341,7 +341,7 @@ def knn_join_approx(t):
 )
 def knn_join_approx_exact(t):
     # Whether every distance returned for a query is that of its pair of vectors.
-    near = similar.knn_join_approx(t.embeddings, t.embeddings, 5, "vec_id", "embedding", exclude_self=True, bits=11, tables=24)
+    near = similar.knn_join_approx(t.embeddings, t.embeddings, 5, "vec_id", "embedding", exclude_self=True, bits=5, tables=32)
     vectors = t.embeddings.select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     pairs = near.join(vectors.select(F.col("vec_id").alias("query_id"), F.col("e").alias("q")), "query_id")
     pairs = pairs.join(vectors.select(F.col("vec_id").alias("row_id"), F.col("e").alias("r")), "row_id")

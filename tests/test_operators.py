@@ -469,3 +469,12 @@ def test_knn_join_approx_finds_close_neighbours(spark):
     for i in range(360):
         right += len(got.get(i, set()) & set(brute(x, x[i], 5, "cosine", skip=i)[0]))
     assert right > 0.95 * 5 * 360
+
+
+def test_registered_knn_join_approx_reaches_the_nearest(spark, tables):
+    import __spark_entry__
+
+    queries = __spark_entry__.queries()
+    want = {(r["query_id"], r["row_id"]) for r in queries["knn_join_blocks"](spark, tables).collect()}  # exact, cosine
+    got = {(r["query_id"], r["row_id"]) for r in queries["knn_join_approx"](spark, tables).collect()}
+    assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
