@@ -11,8 +11,8 @@ batch at a time and keeps nothing of what it has passed but a digest. Output is
 string per conversation.
 
 Defined results: a null text is empty, a null role is the empty role, null conversation, turn or sequence
-numbers sort first; events without a message id are whole messages by themselves, so repeated rows are
-repeated turns; ties in sequence are ordered by kind, role and text; an empty log gives no rows.
+numbers sort first; events without a message id are whole messages by themselves, whatever their kind (null
+included; a regeneration is empty, a deletion is none), so repeated rows are repeated turns; ties in sequence are ordered by kind, role and text; an empty log gives no rows.
 """
 
 from __future__ import annotations
@@ -61,7 +61,9 @@ def fold_events(events: DataFrame) -> DataFrame:
     message stands where its first event stood and has the role that its events last named.
     """
     rows = events.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
-    whole = rows.filter("message_id IS NULL AND kind = 'message'").select("conv_id", F.col("seq").alias("position"), "role", "text")
+    alone = rows.filter("message_id IS NULL AND NOT kind <=> 'delete'")
+    text = F.when(F.col("kind") == "regenerate", F.lit("")).otherwise(F.col("text"))
+    whole = alone.select("conv_id", F.col("seq").alias("position"), "role", text.alias("text"))
     parts = rows.filter("message_id IS NOT NULL").withColumn("at", F.struct("seq", "kind", "role", "text"))
     key = ["conv_id", "message_id"]
     ends = parts.groupBy(*key).agg(

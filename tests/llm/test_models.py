@@ -309,6 +309,15 @@ def test_chat_events(spark):
     assert got == folded(events)
 
 
+def test_chat_events_without_message_id(spark):
+    kinds = ["message", "edit", "delta", "regenerate", "delete", None, "delta"]
+    events = [(1, seq, kind, None, "user", f"t{seq}") for seq, kind in enumerate(kinds)]
+    frame = spark.createDataFrame(events, "conv_id long, seq long, kind string, message_id long, role string, text string")
+    got = sorted((r.position, r.role, r.text) for r in chat.fold_events(frame).collect())
+    assert [(role, text) for _, role, text in got] == folded(events)[1]
+    assert [text for _, _, text in got] == ["t0", "t1", "t2", "", "t5", "t6"]
+
+
 def test_chat_odd_rows(spark):
     rows = [(None, None, None, None), (-8, 0, "a\nb\\<s>", None), (1, 0, "user", "x"), (1, 0, "user", "x"), (2, 0, "assistant", "<\\\\s> 漢 " * 5000)]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
