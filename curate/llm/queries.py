@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curate.llm import chat, exact, jaccard, mixing, outliers, packing, substring, suffix, suffix_tree, toxicity
+from curate.llm import chat, exact, jaccard, manifest, mixing, outliers, packing, substring, suffix, suffix_tree, toxicity
 from curate.llm.frames import id_in, id_out, plain
 from curate.plans.registry import Tables, query
 
@@ -123,3 +123,68 @@ def op9_chat_format(t: Tables) -> DataFrame:
 @query("op10_packing")
 def op10_packing(t: Tables) -> DataFrame:
     return packing.pack(t.documents, TOKENIZER)
+
+
+#: CRC-32 of the decimal form of a number, bit by bit over a table made from its polynomial.
+_CRC_TABLE = (
+    "crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: "
+    "CASE WHEN (c & 1) = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS t)"
+)
+_CRC = (
+    "xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST({0} AS VARCHAR), ''), lambda ch: CAST(ascii(ch) AS BIGINT))), "
+    "lambda c, b: xor(c >> 8, t[xor(c & 255, b) + 1])), 4294967295)"
+)
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
+
+
+def _leaf(text: str) -> str:
+    return "sha256(" + " || ".join(_field(f) for f in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+
+
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """Nodes of the trees over ``g, idx, h, cnt``, then the siblings of each node with a parent."""
+    return f"""
+{name} AS (SELECT g, 0 AS level, idx, h, cnt FROM {leaves}
+    UNION ALL SELECT g, level + 1, idx // 8, sha256(string_agg(h, '' ORDER BY idx)), (cnt + 7) // 8 FROM {name} WHERE cnt > 1 GROUP BY g, level, idx // 8, cnt),
+{name}_steps AS (SELECT g, level, idx, coalesce(string_agg(h, '') OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS bef,
+        coalesce(string_agg(h, '') OVER (w ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING), '') AS aft
+    FROM {name} WHERE cnt > 1 WINDOW w AS (PARTITION BY g, level, idx // 8 ORDER BY idx)),
+{name}_fold AS (SELECT g, idx AS leaf_idx, 0 AS level, idx, h, s, '' AS path FROM {leaves}
+    UNION ALL SELECT f.g, f.leaf_idx, f.level + 1, f.idx // 8, sha256(bef || f.h || aft), sha256(bef || f.s || aft), path || bef || aft
+    FROM {name}_fold f JOIN {name}_steps st ON f.g IS NOT DISTINCT FROM st.g AND f.level = st.level AND f.idx = st.idx)"""
+
+
+@query(
+    "op13_merkle_manifest",
+    f"""
+WITH RECURSIVE {_CRC_TABLE},
+l AS (SELECT doc_id, lang AS g, row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS idx, count(*) OVER (PARTITION BY lang) AS cnt,
+        {_leaf("text")} AS h, CASE WHEN {_CRC.format("doc_id")} % 3 = 0 THEN {_leaf(f"translate(text, '{_UPPER}', '{_LOWER}')")} ELSE {_leaf("text")} END AS s
+    FROM documents, crc),
+{_tree_sql("a", "l")},
+u AS (SELECT 0 AS g, g AS lang, h, h AS s, row_number() OVER (ORDER BY g NULLS FIRST) - 1 AS idx, count(*) OVER () AS cnt FROM a WHERE cnt = 1),
+{_tree_sql("b", "u")},
+r AS (SELECT h AS root FROM b WHERE cnt = 1),
+p AS (SELECT l.doc_id, l.h AS leaf, u.h AS subroot, f.s AS h, f.path, u.idx FROM a_fold f
+    JOIN l ON f.g IS NOT DISTINCT FROM l.g AND f.leaf_idx = l.idx JOIN u ON f.g IS NOT DISTINCT FROM u.lang
+    WHERE f.level = (SELECT max(level) FROM a WHERE a.g IS NOT DISTINCT FROM f.g)),
+v AS (SELECT doc_id, leaf, subroot, h, path, 0 AS level, idx FROM p
+    UNION ALL SELECT doc_id, leaf, subroot, sha256(bef || h || aft), path || bef || aft, v.level + 1, v.idx // 8
+    FROM v JOIN b_steps st ON v.level = st.level AND v.idx = st.idx)
+SELECT doc_id, leaf, subroot, root, sha256(path) AS proof_sha256, h AS folded_root, h = root AS verified FROM v, r
+WHERE level = (SELECT max(level) FROM b)
+""",
+)
+def op13_merkle_manifest(t: Tables) -> DataFrame:
+    chosen = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    lowered = F.when(chosen, F.translate("text", _UPPER, _LOWER)).otherwise(F.col("text"))
+    rows = manifest.manifest(t.documents, presented={"text": lowered})
+    end = manifest.folded(F.col("presented"), F.col("path"))
+    found = rows.select("doc_id", "leaf", "subroot", "root", manifest.proof(F.col("path")).alias("proof_sha256"), end.alias("folded_root"))
+    return found.withColumn("verified", F.col("folded_root") == F.col("root"))
