@@ -6,11 +6,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curate.llm import chat, exact, jaccard, manifest, mixing, outliers, packing, substring, suffix, suffix_tree, toxicity
+from curate.llm import chat, exact, jaccard, manifest, mixing, outliers, packing, pieces, substring, suffix, suffix_tree, toxicity
 from curate.llm.frames import id_in, id_out, plain
 from curate.plans.registry import Tables, query
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
+PIECES = public_tokenizers.path("piece_bpe_32k.model")
 
 
 @query("op1_toxicity")
@@ -125,6 +126,13 @@ def op10_packing(t: Tables) -> DataFrame:
     return packing.pack(t.documents, TOKENIZER)
 
 
+@query("op12_sentencepiece")
+def op12_sentencepiece(t: Tables) -> DataFrame:
+    rows = pieces.encode(t.documents, PIECES, decoded=True)
+    ids = F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256)
+    return rows.select("doc_id", "n_tokens", ids.alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 #: CRC-32 of the decimal form of a number, bit by bit over a table made from its polynomial.
 _CRC_TABLE = (
     "crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: "
