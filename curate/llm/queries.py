@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from curate.llm import chat, exact, jaccard, manifest, mixing, outliers, packing, pieces, substring, suffix, suffix_tree, toxicity
-from curate.llm.frames import id_in, id_out, plain
+from curate.llm import chat, exact, jaccard, manifest, mixing, outliers, packing, pieces, substring, suffix, suffix_tree, toxicity, trie
+from curate.llm.frames import NO_ID, id_in, id_out, plain, table
 from curate.plans.registry import Tables, query
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
@@ -144,6 +144,47 @@ _CRC = (
 )
 
 
+@query(
+    "op11_prefix_trie",
+    f"""
+WITH {_CRC_TABLE},
+o AS (SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS rn FROM conversations),
+c AS (SELECT conv_id, conv_id - conv_id % 100 AS base, {_CRC.format("conv_id")} % 6 AS h FROM (SELECT DISTINCT conv_id FROM conversations), crc),
+b AS (SELECT c.conv_id, o.rn AS d, o.role, o.text FROM c JOIN o ON o.conv_id = c.base AND o.rn <= c.h),
+k AS (SELECT conv_id, h, (SELECT count(*) FROM b WHERE b.conv_id = c.conv_id) AS given FROM c),
+r AS (SELECT * FROM b UNION ALL SELECT k.conv_id, given + o.rn - h, o.role, o.text FROM k JOIN o ON o.conv_id = k.conv_id AND o.rn > h),
+p AS (SELECT conv_id, d, length(text) AS chars, string_agg(md5(strlen(role) || ':' || role || text), '') OVER (PARTITION BY conv_id ORDER BY d) AS path FROM r
+      UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+n AS (SELECT path, d, min(conv_id) AS conv_id, count(*) AS n_convs, any_value(chars) AS chars FROM p GROUP BY path, d),
+w AS (SELECT left(path, CAST(32 * (d - 1) AS BIGINT)) AS path, count(*) AS n_children FROM n WHERE d > 0 GROUP BY 1),
+a AS (SELECT left(n.path, CAST(32 * u.i AS BIGINT)) AS path, sum(CASE WHEN w.path IS NULL THEN 1 ELSE 0 END) AS n_leaves, sum((n_convs - 1) * chars) AS saved
+      FROM n LEFT JOIN w ON w.path = n.path, LATERAL (SELECT unnest(range(0, n.d + 1)) AS i) u GROUP BY 1),
+e AS (SELECT path, sha256(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id)) AS ends FROM
+      (SELECT conv_id, max_by(path, d) AS path FROM p GROUP BY conv_id) GROUP BY path)
+SELECT n.conv_id, CAST(n.d AS BIGINT) AS depth, q.conv_id AS parent_conv_id, n.n_convs, coalesce(w.n_children, 0) AS n_children,
+       CAST(a.n_leaves AS BIGINT) AS n_leaves, CAST(a.saved AS BIGINT) AS saved_tokens, coalesce(ends, sha256('')) AS ends_sha256
+FROM n LEFT JOIN n q ON n.d > 0 AND q.path = left(n.path, CAST(32 * (n.d - 1) AS BIGINT)) AND q.d = n.d - 1
+LEFT JOIN w ON w.path = n.path JOIN a ON a.path = n.path LEFT JOIN e ON e.path = n.path
+""",
+)
+def op11_prefix_trie(t: Tables) -> DataFrame:
+    return trie.build(rebuilt(trie.paths(t.conversations)))
+
+
+def rebuilt(paths: DataFrame) -> DataFrame:
+    """Conversation ``c`` opens with the first ``h`` turns of ``c - c % 100``, then goes on with its own after as many."""
+    turns = F.when(F.col("conv_id") == NO_ID, F.lit(0)).otherwise(F.crc32(F.col("conv_id").cast("string")) % 6).cast("int")
+    opening = paths.filter("conv_id % 100 = 0").selectExpr(
+        "conv_id AS base", f"substring(path, 1, {5 * trie.WIDTH}) AS base_path", "substring(chars, 1, 20) AS base_chars"
+    )
+    own = paths.withColumn("h", turns).join(opening, F.expr("base = conv_id - conv_id % 100"), "left")
+
+    def opened(column: str, width: int) -> str:
+        return f"concat(coalesce(substring(base_{column}, 1, {width} * h), X''), substring({column}, {width} * h + 1)) AS {column}"
+
+    return table(own.selectExpr("conv_id", opened("path", trie.WIDTH), opened("chars", 4)))
+
+
 def _field(value: str) -> str:
     return f"coalesce(strlen(CAST({value} AS VARCHAR)) || ':' || CAST({value} AS VARCHAR), '-')"
 
