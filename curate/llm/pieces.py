@@ -202,6 +202,8 @@ class Codec:
         if self.apart and not self.map and not self.squeeze:
             blank = data == 32
             at = np.flatnonzero(blank[1:] & ~blank[:-1]) + 1
+            marks = (data[at - 1] == MARK[2]) & (data[np.maximum(at - 2, 0)] == MARK[1]) & (data[np.maximum(at - 3, 0)] == MARK[0])
+            at = at[~marks]
             while len(data) - edges[-1] > CHUNK:
                 i = np.searchsorted(at, edges[-1] + CHUNK, "right") - 1
                 if i < 0 or at[i] <= edges[-1]:
