@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curate.functions.vectors import let
 from curate.session import as_column
 
 # A short list of rules known by default (plain, ``*.`` for any label, ``!`` for an exception).
@@ -60,15 +61,28 @@ def host_suffix(host: str | Column, rules: Sequence[str] = RULES, second_level:
     label as suffix. Null only for a null host and for IP addresses. Rules are looked up in hash sets
     inside the row, so there is no join and no shuffle; for a long list see ``url_tld`` with a table.
     """
-    host = as_column(host)
     plain = {r for r in rules if r[0] not in "*!"} or {""}
     any_label = {r[2:] for r in rules if r.startswith("*.")} or {""}
     except_ = {r[1:] for r in rules if r.startswith("!")} or {""}
     depth = max(r.count(".") for r in [*rules, "a.b"]) + 1
-    names = _candidates(host, depth)
-    excepted = [F.when(c.isin(*except_), _parent(c)) for c in names]
-    ruled = [F.when(c.isin(*plain) | _parent(c).isin(*any_label) | _of_country(c, second_level), c) for c in names]
-    return F.when(~host.rlike(IPV4), F.coalesce(*excepted, *ruled, names[-1]))
+
+    def found(host: Column) -> Column:
+        # Bound once: the labels, then the names of 1, ..., depth labels; a name's parent is the one before it.
+        return let(F.split(host, r"\."), lambda labels: let(F.array(*_candidates(host, depth)[::-1]), lambda names: decide(host, labels, names)))
+
+    def decide(host: Column, labels: Column, names: Column) -> Column:
+        name = [F.get(names, F.lit(n)) for n in range(depth)]
+        common = F.try_element_at(labels, F.lit(-2)).isin(*second_level) & F.try_element_at(labels, F.lit(-1)).rlike("^[a-z]{2}$") if second_level else F.lit(False)
+        excepted = [F.when(name[n].isin(*except_), name[n - 1] if n else F.lit(None)) for n in range(depth - 1, -1, -1)]
+        ruled = []
+        for n in range(depth - 1, -1, -1):
+            listed = name[n].isin(*plain)
+            listed = listed | name[n - 1].isin(*any_label) if n else listed
+            ruled.append(F.when(listed | (name[n].isNotNull() & common) if n == 1 else listed, name[n]))
+        address = F.substring(host, 1, 1).between("0", "9") & host.rlike(IPV4)
+        return F.when(~address, F.coalesce(*excepted, *ruled, name[0]))
+
+    return let(as_column(host), found)
 
 
 def url_tld(

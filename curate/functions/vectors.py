@@ -31,16 +31,16 @@ def cosine(a: str | Column, b: str | Column) -> Column:
     return F.try_divide(dot(a, b), F.sqrt(dot(a, a)) * F.sqrt(dot(b, b)))
 
 
-def _let(value: Column, body) -> Column:
-    # Binds a value once for use inside another lambda, instead of computing it per element.
+def let(value: Column, body) -> Column:
+    """``body`` of a value that is computed once, however often ``body`` names it."""
     return F.get(F.transform(F.array(value), body), 0)
 
 
 def softmax(scores: str | Column) -> Column:
     """Probabilities from scores, shifted by the maximum against overflow."""
     scores = doubles(scores)
-    exps = _let(F.array_max(scores), lambda top: F.transform(scores, lambda x: F.exp(x - top)))
-    return _let(exps, lambda es: _let(_sum(es), lambda total: F.transform(es, lambda e: e / total)))
+    exps = let(F.array_max(scores), lambda top: F.transform(scores, lambda x: F.exp(x - top)))
+    return let(exps, lambda es: let(_sum(es), lambda total: F.transform(es, lambda e: e / total)))
 
 
 def sigmoid(scores: str | Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curate.operators.ordering import brackets, exact_quantiles, quantiles_in
-from curate.session import as_column, join_null_safe, materialize
+from curate.session import as_column, join_null_safe, materialize, spread
 
 
 def digest_of(columns: Sequence[str]) -> Column:
@@ -144,17 +144,41 @@ def token_frequencies(
     """Token counts over the distinct texts, split on single spaces (empty tokens count).
 
     ``key`` is unique. Equal texts are found by digest; the tokens of those with the smallest key
-    count, so texts are moved only if Spark finds the keys of later copies too many to broadcast.
+    count, so texts are moved only if Spark finds the keys too many to broadcast.
     """
     column = F.lower(text) if lower else F.col(text)
     digests = rows.filter(F.col(text).isNotNull()).select(digest_of([text]).alias("_d"), F.col(key).alias("_key"))
-    first = digests.groupBy("_d").agg(F.min("_key").alias("_first"), F.count("*").alias("_n")).filter("_n > 1")
-    copies = materialize(digests.join(first, "_d").filter("_key <> _first").select(F.col("_key").alias(key)))
-    kept = rows.select(key, text).join(copies, key, "left_anti")
+    first = digests.groupBy("_d").agg(F.min("_key").alias(key)).select(key)
+    kept = spread(rows.select(key, text)).join(first, key, "left_semi")
     tokens = kept.select(F.explode(F.split(column, " ")).alias("token"))
     return value_counts(tokens, "token", top=top)
 
 
+#: Values that a summary of frequent values keeps, and its error as a share of all rows: this by their number.
+TRACKED, SUMMARY_ERROR = 50_000, 3.5
+
+
+def heavy_hitters(rows: DataFrame, column: str, k: int, tracked: int = TRACKED) -> DataFrame:
+    """The ``k`` most frequent values (null is one) with exact counts, ties by value: ``column, n``.
+
+    Every task keeps a summary of at most ``tracked`` values or so, and the summaries are merged; a second pass counts only
+    the values in it, so no row per distinct value is shuffled. A value that the summary lacks occurs at most ``SUMMARY_ERROR / tracked``
+    of all rows, or as often as its last value: if the ``k``-th exact count exceeds that, none is missed. Otherwise,
+    as with few or nearly equally frequent values, all are counted.
+    """
+    items = rows.select(F.col(column).alias("_item"))
+    summary = materialize(items.agg(F.expr(f"approx_top_k(_item, {tracked}, {tracked})").alias("_top"), F.count("*").alias("_n")))
+    size = summary.select("_n", F.size("_top").alias("kept"), F.coalesce(F.array_min(F.transform("_top", lambda x: x["count"])), F.lit(0)).alias("last")).first()
+    missed = max(SUMMARY_ERROR * size["_n"] / tracked, size["last"] if size["kept"] >= tracked else 0)
+    candidates = summary.select(F.explode("_top").alias("_c")).select(F.col("_c.item").alias("_candidate"))
+    counted = items.join(candidates, F.col("_item").eqNullSafe(F.col("_candidate")), "left_semi").withColumnRenamed("_item", column)
+    best = materialize(value_counts(counted, column, top=k))
+    least = best.agg(F.count("*").alias("found"), F.min("n").alias("n")).first()
+    if least["found"] == k and least["n"] > missed:
+        return best
+    return value_counts(rows, column, top=k)
+
+
 def flat_list_frequencies(rows: DataFrame, items: str, name: str = "item") -> DataFrame:
     return value_counts(rows.select(F.explode(items).alias(name)), name)
 

@@ -252,6 +252,15 @@ def token_frequencies(t):
     return stats.token_frequencies(t.documents, "text", "doc_id", lower=True, top=100)
 
 
+@query(
+    "heavy_hitters",
+    """WITH w AS (SELECT unnest(string_split(lower(text), ' ')) AS token FROM documents)
+       SELECT token, count(*) AS n FROM w GROUP BY token ORDER BY n DESC, token LIMIT 20""",
+)
+def heavy_hitters(t):
+    return stats.heavy_hitters(t.documents.select(F.explode(F.split(F.lower("text"), " ")).alias("token")), "token", 20)
+
+
 @query("flat_list_frequencies", ANNOTATIONS + "SELECT item, count(*) AS n FROM (SELECT unnest(labels) AS item FROM a) GROUP BY item")
 def flat_list_frequencies(t):
     return stats.flat_list_frequencies(annotations(t), "labels")

@@ -86,6 +86,12 @@ def materialize(rows: DataFrame, path: str | None = None, mode: str = "errorifex
     return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` dealt to all cores if they arrive in fewer pieces than that, as from a file with one row group."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def as_column(value: str | Column) -> Column:
     return F.col(value) if isinstance(value, str) else value
 

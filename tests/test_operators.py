@@ -478,3 +478,19 @@ def test_registered_knn_join_approx_reaches_the_nearest(spark, tables):
     want = {(r["query_id"], r["row_id"]) for r in queries["knn_join_blocks"](spark, tables).collect()}  # exact, cosine
     got = {(r["query_id"], r["row_id"]) for r in queries["knn_join_approx"](spark, tables).collect()}
     assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+
+
+def test_heavy_hitters(spark, monkeypatch):
+    rows = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, F.concat(F.lit("rare"), F.col("id"))).otherwise(F.concat(F.lit("w"), F.floor(F.sqrt(F.col("id") % 60)))).alias("w"))
+    rows = rows.unionByName(spark.range(500).select(F.lit(None).cast("string").alias("w")))
+    want = [tuple(r) for r in stats.value_counts(rows, "w", top=5).collect()]
+    plain = stats.value_counts
+    full = []
+    monkeypatch.setattr(stats, "value_counts", lambda r, *a, **k: (full.append(r is rows), plain(r, *a, **k))[1])
+    assert [tuple(r) for r in stats.heavy_hitters(rows, "w", 5, tracked=1000).collect()] == want and not any(full)
+    # What the summary cannot prove is counted in full: many equally frequent values, and few values.
+    flat = spark.range(5000).select((F.col("id") % 2500).cast("string").alias("w"))
+    assert [tuple(r) for r in stats.heavy_hitters(flat, "w", 4, tracked=100).collect()] == [tuple(r) for r in plain(flat, "w", top=4).collect()]
+    few = rows.filter("w = 'w3'")
+    assert [tuple(r) for r in stats.heavy_hitters(few, "w", 4).collect()] == [("w3", few.count())]
+    assert stats.heavy_hitters(rows.limit(0), "w", 4).collect() == []
