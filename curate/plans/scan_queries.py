@@ -158,3 +158,44 @@ def scroll_page(t):
 )
 def collection_info(t):
     return collection.collection_info(t.embeddings, "embedding")
+
+
+# Orders after three batches: one changed range of keys, the same again with later and earlier versions, new keys at the end.
+UPSERTED = """WITH o AS (SELECT o_orderkey, o_custkey, o_totalprice FROM orders),
+    e AS (SELECT max(o_orderkey) AS top, (max(o_orderkey) + min(o_orderkey)) // 2 AS mid, (max(o_orderkey) - min(o_orderkey)) // 100 AS step FROM o),
+    u AS (SELECT o_orderkey, o_custkey, CASE WHEN o_orderkey >= mid AND o_orderkey < mid + step // 2 THEN o_totalprice + 3
+                 WHEN o_orderkey >= mid AND o_orderkey < mid + step THEN o_totalprice + 1 ELSE o_totalprice END AS o_totalprice FROM o, e
+          UNION ALL SELECT top + 1 + o_orderkey, o_custkey, 0.5 FROM o, e WHERE o_orderkey < step) """
+
+
+def upserted(t):
+    """A collection of orders in about 40 ranges, after the three batches; the ranges that each rewrote."""
+    rows = materialize(t.orders.select("o_orderkey", "o_custkey", "o_totalprice"))
+    path = fresh_path(t.spark, "collection")
+    low, top, n = rows.agg(F.min("o_orderkey"), F.max("o_orderkey"), F.count("*")).first()
+    collection.write_collection(rows, path, "o_orderkey", -(-n // 40))
+    mid, step = (top + low) // 2, (top - low) // 100
+    changed = rows.filter((F.col("o_orderkey") >= mid) & (F.col("o_orderkey") < mid + step))
+    again = rows.filter((F.col("o_orderkey") >= mid) & (F.col("o_orderkey") < mid + step // 2))
+    fresh = rows.filter(F.col("o_orderkey") < step).select((F.col("o_orderkey") + top + 1).alias("o_orderkey"), "o_custkey", F.lit(0.5).alias("o_totalprice"))
+
+    def version(batch, number, more):
+        return batch.withColumns({"o_totalprice": F.col("o_totalprice") + more, "version": F.lit(number)})
+
+    batches = [version(changed, 1, 1), version(again, 3, 3).unionByName(version(again, 2, 2)), version(fresh, 1, 0)]
+    return path, [collection.upsert_collection(t.spark, path, b, "o_orderkey", "version") for b in batches]
+
+
+@query("upsert_collection", UPSERTED + "SELECT o_orderkey, o_custkey, round(o_totalprice, 4) AS o_totalprice FROM u")
+def upsert_collection(t):
+    path, _ = upserted(t)
+    found = collection.read_collection(t.spark, path)
+    return found.select("o_orderkey", "o_custkey", F.round("o_totalprice", 4).alias("o_totalprice"))
+
+
+@query("collection_page", UPSERTED + "SELECT o_orderkey, round(o_totalprice, 4) AS o_totalprice FROM u, e WHERE o_orderkey > mid - 20 ORDER BY o_orderkey LIMIT 100")
+def collection_page(t):
+    path, _ = upserted(t)
+    low, top = t.orders.agg(F.min("o_orderkey"), F.max("o_orderkey")).first()
+    page = collection.collection_page(t.spark, path, "o_orderkey", 100, (top + low) // 2 - 20, without=("o_custkey",))
+    return page.withColumn("o_totalprice", F.round("o_totalprice", 4))

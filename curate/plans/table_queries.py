@@ -89,6 +89,17 @@ def join_metadata(t):
     return joins.join_metadata(t.documents.select("doc_id", "lang"), t.labels, "doc_id")
 
 
+@query("semi_by_many_ids", "SELECT doc_id, lang, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def semi_by_many_ids(t):
+    return joins.semi_by_many_ids(t.documents.select("doc_id", "lang", "n_chars"), t.labels.filter("quality = 1"), "doc_id")
+
+
+@query("anti_by_many_ids", "SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F')")
+def anti_by_many_ids(t):
+    done = t.orders.filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"))
+    return joins.anti_by_many_ids(t.lineitem.select("l_orderkey", "l_linenumber", "l_quantity"), done, "l_orderkey")
+
+
 @query(
     "join_annotations_outer",
     """WITH o AS (SELECT o_custkey AS custkey, o_orderkey FROM orders WHERE o_totalprice > 200000),

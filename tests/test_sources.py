@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from curate.operators import search
 from curate.session import fresh_path, materialize, scratch, shared_dir
 from curate.sources import collection, readers, writers
-from curate.streaming import streams
+from curate.streaming import state, streams
 
 
 def test_worker_functions_need_no_installed_package():
@@ -134,6 +134,22 @@ def test_stream_upsert_survives_a_repeated_batch(spark, rows):
     assert rows(streams.read_upserted(spark, target, "id", "version")) == [(1, "a", 1), (2, "c", 2)]
 
 
+def test_latest_changes_over_runs(spark, rows):
+    source, out = fresh_path(spark, "test-versions"), fresh_path(spark, "test-latest")
+    schema = "k string, version long, v string"
+
+    def run(*data):
+        spark.createDataFrame(list(data), schema).write.mode("append").parquet(source)
+        stream = streams.stream_corpus(spark, source, spark.createDataFrame([], schema).schema)
+        streams.stream_to_parquet(state.latest_changes(stream, "k", "version"), out, f"{out}-c").awaitTermination()
+        return rows(spark.read.parquet(out))
+
+    first = run(("a", 1, "x"), ("a", 3, "z"), ("b", 1, "x"), ("a", 2, "y"))
+    assert first == [("a", 3, "z", 1), ("b", 1, "x", 1)]
+    assert run(("a", 3, "again"), ("a", 2, "late"), ("b", 1, "again")) == first  # nothing new: no output
+    assert run(("b", 5, "w"), ("c", 1, "x")) == [*first, ("b", 5, "w", 2), ("c", 1, "x", 1)]
+
+
 def test_compacted_upserts(spark, rows):
     target, source, state = (fresh_path(spark, f"test-compact-{n}") for n in ("log", "in", "state"))
     schema = "id int, v string, version int"
