@@ -24,9 +24,12 @@ def any_token_startswith(text: str | Column, sep: str, prefix: str) -> Column:
 
 
 def filter_any_keyword(rows: DataFrame, columns: Sequence[str], words: Sequence[str]) -> DataFrame:
-    """Keep rows in which one of ``columns`` matches one of ``words`` (patterns)."""
-    tests = [contains_regex(c, w) for c in columns for w in words]
-    return rows.filter(reduce(lambda a, b: a | b, tests))
+    """Keep rows in which one of ``columns`` matches one of ``words`` (patterns): one search per column.
+
+    For a table of literals, of any length, see ``patterns.filter_any_literal``.
+    """
+    any_word = "|".join(f"(?:{w})" for w in words)
+    return rows.filter(reduce(lambda a, b: a | b, [contains_regex(c, any_word) for c in columns]))
 
 
 def filter_quantile(rows: DataFrame, value: str, q: float) -> DataFrame:
