@@ -12,7 +12,8 @@ string per conversation.
 
 Defined results: a null text is empty, a null role is the empty role, null conversation, turn or sequence
 numbers sort first; events without a message id are whole messages by themselves, whatever their kind (null
-included; a regeneration is empty, a deletion is none), so repeated rows are repeated turns; ties in sequence are ordered by kind, role and text; an empty log gives no rows.
+included; a regeneration is empty, a deletion is none), so repeated rows are repeated turns; an event of a message that is
+delivered again (equal in all columns) counts once; ties in sequence are ordered by part, kind, role and text; an empty log gives no rows.
 """
 
 from __future__ import annotations
@@ -56,15 +57,16 @@ _HIDDEN = re.compile(escape_pattern().replace(r"\\*", r"\\+"))
 def fold_events(events: DataFrame) -> DataFrame:
     """``conv_id, position, seq, role, text`` of the final messages.
 
-    ``events`` has ``conv_id, seq, kind, message_id, role, text``. Kinds: ``message`` and ``edit`` set the text,
+    ``events`` has ``conv_id, seq, kind, message_id, role, text`` and may have ``part``, the order of events with one ``seq``. Kinds: ``message`` and ``edit`` set the text,
     ``regenerate`` empties it for the deltas that follow, ``delta`` appends, ``delete`` removes the message. A
     message stands where its first event stood and has the role that its events last named.
     """
-    rows = events.withColumn("text", F.coalesce(F.col("text"), F.lit("")))
+    part = F.col("part").cast("long") if "part" in events.columns else F.lit(0).cast("long")
+    rows = events.withColumns({"text": F.coalesce(F.col("text"), F.lit("")), "part": part})
     alone = rows.filter("message_id IS NULL AND NOT kind <=> 'delete'")
     text = F.when(F.col("kind") == "regenerate", F.lit("")).otherwise(F.col("text"))
     whole = alone.select("conv_id", F.col("seq").alias("position"), "role", text.alias("text"))
-    parts = rows.filter("message_id IS NOT NULL").withColumn("at", F.struct("seq", "kind", "role", "text"))
+    parts = rows.filter("message_id IS NOT NULL").withColumn("at", F.struct("seq", "part", "kind", "role", "text"))
     key = ["conv_id", "message_id"]
     ends = parts.groupBy(*key).agg(
         F.min("seq").alias("position"),
@@ -74,9 +76,9 @@ def fold_events(events: DataFrame) -> DataFrame:
     ends = ends.withColumnsRenamed({"conv_id": "_conv", "message_id": "_message"})
     same = parts["conv_id"].eqNullSafe(ends["_conv"]) & (parts["message_id"] == ends["_message"])
     live = parts.join(ends, same).filter("anew IS NULL OR (at >= anew AND anew.kind <> 'delete')")
-    piece = F.struct("seq", "kind", "role", F.when(F.col("kind") == "regenerate", F.lit("")).otherwise(F.col("text")).alias("text"))
+    piece = F.struct("seq", "part", "kind", "role", F.when(F.col("kind") == "regenerate", F.lit("")).otherwise(F.col("text")).alias("text"))
     folded = live.groupBy(*key).agg(
-        F.first("position").alias("position"), F.first("last_role").alias("role"), F.array_sort(F.collect_list(piece)).alias("pieces")
+        F.first("position").alias("position"), F.first("last_role").alias("role"), F.array_sort(F.collect_set(piece)).alias("pieces")
     )
     text = F.array_join(F.transform("pieces", lambda p: p["text"]), "")
     return whole.unionByName(folded.select("conv_id", "position", "role", text.alias("text")))
@@ -154,9 +156,40 @@ def _rows(done: list[tuple]) -> pa.RecordBatch:
     return arrays_of(**{n: pa.array(v, t) for n, t, v in zip(names, types, zip(*done))})
 
 
+#: Code points of a streamed piece, and the most pieces of one turn.
+DELTA, DELTAS = 256, 64
+
+
 def from_turns(conversations: DataFrame) -> DataFrame:
-    """The events of a plain table ``conv_id, turn, role, text``: every row is a whole message."""
-    return conversations.select(
-        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").alias("seq"), F.lit("message").alias("kind"),
-        F.lit(None).cast("long").alias("message_id"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"),
+    """A plain table ``conv_id, turn, role, text`` as the log of events that would have led to it.
+
+    Every row is a message of its own: opened, then streamed in pieces cut at fixed places. By a hash of conversation and turn, a quarter of
+    them have a draft that is regenerated, a quarter another text that an edit replaces, and a quarter pieces that are delivered twice.
+    """
+    rows = conversations.select(
+        F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("seq"), F.col("role").cast("string").alias("role"),
+        F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("message_id"),
     )
+    length = F.char_length("text")
+    step = F.greatest(F.lit(DELTA), F.ceil(length / DELTAS)).cast("int")
+    rows = rows.withColumns({"way": F.pmod(F.xxhash64("conv_id", "seq"), F.lit(4)), "step": step, "n": F.ceil(length / step).cast("int")})
+
+    def event(part: Column | int, kind: str, text: Column, role: Column | None = None) -> Column:
+        part = F.lit(part) if isinstance(part, int) else part
+        role = F.lit(None).cast("string") if role is None else role
+        return F.struct(part.cast("long").alias("part"), F.lit(kind).alias("kind"), role.alias("role"), text.alias("text"))
+
+    def streamed(text: Column, first: int) -> Column:
+        piece = lambda i: event(i + first, "delta", F.substring(text, i * F.col("step") + 1, F.col("step")))
+        return F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(0), F.greatest(F.col("n"), F.lit(1)) - 1), piece)).otherwise(F.array().cast(_EVENTS))
+
+    other, behind = F.reverse("text"), 2 + DELTAS
+    draft = F.concat(streamed(other, 1), F.array(event(1 + DELTAS, "regenerate", F.lit(""))), streamed(F.col("text"), behind))
+    edited = F.concat(streamed(other, 1), F.array(event(behind, "edit", F.col("text"))))
+    plain = streamed(F.col("text"), 1)
+    log = F.when(F.col("way") == 0, draft).when(F.col("way") == 1, edited).when(F.col("way") == 2, F.concat(plain, plain)).otherwise(plain)
+    opened = F.array(event(0, "message", F.lit(""), F.col("role")))
+    return rows.select("conv_id", "seq", "message_id", F.explode(F.concat(opened, log)).alias("e")).select("conv_id", "seq", "message_id", "e.*")
+
+
+_EVENTS = "array<struct<part:bigint,kind:string,role:string,text:string>>"

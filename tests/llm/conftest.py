@@ -13,6 +13,7 @@ SCHEMA = StructType([
     StructField("doc_id", LongType()), StructField("text", StringType()), StructField("lang", StringType()), StructField("source", StringType()),
     StructField("n_chars", LongType()), StructField("score", StringType()), StructField("n", LongType()), StructField("size", StringType()),
     StructField("digest", StringType()), StructField("rep", StringType()), StructField("block", StringType()),
+    *[StructField(n, StringType()) for n in ("k", "bits", "_id", "_source", "_piece", "_bit", "_maybe", "row", "id", "of", "text_key", "component", "_doc", "_copies", "key", "group")],
 ])
 
 
@@ -21,7 +22,7 @@ def documents(spark):
     """A table of documents from (doc_id, text) or (doc_id, text, lang, source), with further columns."""
 
     def build(rows, parts=3):
-        full = [(r[0], r[1], *(r[2:] or ("en", "src0")), len(r[1] or ""), "x", 7, None, "y", "z", "w") for r in rows]
+        full = [(r[0], r[1], *(r[2:] or ("en", "src0")), len(r[1] or ""), "x", 7, None, "y", "z", "w", *["v"] * 16) for r in rows]
         return spark.createDataFrame(full, SCHEMA).repartition(parts)
 
     return build

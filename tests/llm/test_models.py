@@ -13,8 +13,10 @@ from tokenizers import Tokenizer
 
 import corpus_pipeline
 from curate.llm import blocks, chat, mixing, outliers, packing, suffix_tree, toxicity
+from curate.llm.frames import table
 from curate.llm.words import Hasher, Words, buffers, spaces
 from odd_rows import ODD
+from test_repeats import shingle_groups
 
 
 def best_segments(score):
@@ -88,6 +90,18 @@ def test_calibration_does_not_follow_the_order_of_the_sample(spark, documents):
     assert all((got[i] >= 0.5) == (n % 4 == 0) for n, i in enumerate(first))
 
 
+def test_tail_of_dependent_scores():
+    rng = np.random.default_rng(3)
+    tokens = rng.integers(50, 2000, 4000).astype(float)
+    # Extreme values with a lower rate than independent tokens would have (0.9), as where neighbours depend on each other.
+    best = np.maximum((np.log(0.05 * tokens) + rng.gumbel(size=4000)) / 0.5, 0.0)
+    rate, log_k = toxicity.tail(best, tokens, 0.9)
+    assert abs(rate - 0.5) < 0.06
+    expected = np.exp(log_k + np.log(tokens) - rate * best)
+    assert 0.004 < (expected <= 0.01).mean() < 0.02  # as many false passages as promised
+    assert toxicity.tail(best[:50], tokens[:50], 0.9)[0] == 0.9
+
+
 def test_toxicity_without_labels(spark, documents):
     docs, labels, _ = toxic_table(spark, documents)
     model = toxicity.fit(docs, labels.limit(0))
@@ -247,6 +261,34 @@ def test_rare_contexts_count_at_any_size(documents, monkeypatch, more):
     assert got[151].held_out and got[151].score > 0.6 * got[151].base_score
 
 
+def smallest_determinant(x, starts=60, steps=15):
+    """Mean and corrected covariance of the half with the smallest determinant, from many random starts."""
+    rng, half, best = np.random.default_rng(0), len(x) // 2 + 1, None
+    for _ in range(starts):
+        rows = rng.choice(len(x), x.shape[1] + 1, replace=False)
+        for _ in range(steps):
+            mean, cov = x[rows].mean(0), np.cov(x[rows].T, bias=True) + 1e-6 * np.eye(x.shape[1])
+            rows = np.argsort(np.einsum("ij,jk,ik->i", x - mean, np.linalg.inv(cov), x - mean))[:half]
+        mean, cov = x[rows].mean(0), np.cov(x[rows].T, bias=True)
+        if best is None or np.linalg.det(cov) < best[0]:
+            best = np.linalg.det(cov), mean, cov
+    return best[1], best[2] * outliers.CONSISTENCY
+
+
+def test_estimate_against_many_starts(spark):
+    rng = np.random.default_rng(2)
+    mix = np.array([[2.0, 0.5, 0, 0, 0], [0, 1.0, 0.2, 0, 0.3], [0, 0, 0.5, 0.1, 0], [0, 0, 0, 0.4, 0.2], [0, 0, 0, 0, 0.6]])
+    x = np.concatenate([rng.normal(size=(900, 5)) @ mix, 8 + rng.normal(size=(60, 5))])
+    mean, cov = smallest_determinant(x)
+    rows = spark.createDataFrame([("en", "s", *map(float, r)) for r in x], "lang string, source string, x0 double, x1 double, x2 double, x3 double, x4 double")
+    got = outliers.estimate(rows, grouped=False).first()
+    far = lambda m, inverse: np.einsum("ij,jk,ik->i", x - m, inverse, x - m)
+    mine, true = far(np.array(got["mean"]), np.array(got["inverse"]).reshape(5, 5)), far(mean, np.linalg.inv(cov))
+    assert ((mine > outliers.CUTOFF) == (true > outliers.CUTOFF)).mean() > 0.99 and (mine[900:] > outliers.CUTOFF).all()
+    assert abs(np.median(mine / true) - 1) < 0.1
+    assert abs(np.median(mine[:900]) - 4.35) < 0.5  # the median of chi-square with 5 degrees of freedom
+
+
 def test_outliers(documents):
     rnd = random.Random(8)
     word = lambda: "".join(rnd.choice("abcdefghij") for _ in range(rnd.randint(3, 9)))
@@ -318,6 +360,19 @@ def test_chat_events_without_message_id(spark):
     assert [text for _, _, text in got] == ["t0", "t1", "t2", "", "t5", "t6"]
 
 
+def test_a_table_of_turns_is_folded_from_its_events(spark):
+    rnd = random.Random(6)
+    rows = [(c, t, rnd.choice(["user", "assistant", None]), rnd.choice(["", "x", "é" * 300, "word </s> " * 40, "[INST] a " * 4000])) for c in range(40) for t in range(3)]
+    log = chat.from_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    kinds = {r.kind: r.n for r in log.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    assert kinds["message"] == len(rows) and kinds["regenerate"] > 10 and kinds["edit"] > 10 and kinds["delta"] > 500
+    assert log.groupBy("message_id", "part").count().filter("count > 1").count() > 100  # delivered twice
+    folded_rows = chat.fold_events(log)
+    assert "Aggregate" in folded_rows._jdf.queryExecution().optimizedPlan().toString()
+    got = sorted(((r.conv_id, r.position, r.role, r.text) for r in folded_rows.collect()), key=str)
+    assert got == sorted(rows, key=str)
+
+
 def test_chat_odd_rows(spark):
     rows = [(None, None, None, None), (-8, 0, "a\nb\\<s>", None), (1, 0, "user", "x"), (1, 0, "user", "x"), (2, 0, "assistant", "<\\\\s> 漢 " * 5000)]
     frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
@@ -386,3 +441,40 @@ def test_pipeline(spark, tables):
     assert kept.join(toxic, "doc_id").count() < 0.6 * toxic.count()
     result = corpus_pipeline.run(spark, tables)
     assert result.filter(F.size("ids") != F.col("length")).count() == 0 and result.count() > 0
+
+
+def test_each_stage_of_the_pipeline(spark):
+    """Every stage on what the one before it kept, against what it should keep."""
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+
+    def kept(name, given):
+        out = table(stage[name](spark, given, folder))
+        assert out.columns == docs.columns or name == "packing"
+        return out, sorted(r.doc_id for r in out.collect())
+
+    text = lambda rows: {r.doc_id: r.text or "" for r in rows.collect()}
+    clean, ids = kept("toxicity", docs)
+    scores = toxicity.score_texts(docs, toxicity.fit(docs, labels, ~toxicity.held_out())).collect()
+    assert ids == sorted(r.doc_id for r in scores if r.score < 0.5)
+
+    single, ids = kept("exact_dedup", clean)
+    last = {}
+    for i, t in sorted(text(clean).items()):
+        last[t] = i
+    assert ids == sorted(last.values())
+
+    apart, ids = kept("ngram_jaccard", single)
+    assert ids == sorted({c for _, c in shingle_groups(list(text(single).items()), 5, 80).values()})
+
+    mixed, ids = kept("mixing", apart)
+    plan = mixing.mix(apart).collect()
+    assert ids == sorted(r.doc_id for r in plan for _ in range(r.passes + (0 < r.extra and 2 * r.extra >= r.size)))
+
+    packed = stage["packing"](spark, mixed, folder).collect()
+    model = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    whole = {i: [*model.encode(t, add_special_tokens=False).ids, 0] for i, t in text(mixed).items()}
+    assert sum(r.length for r in packed) == sum(len(whole[i]) for i in ids)
+    assert all(r.ids == whole[r.doc_id][r.start : r.start + r.length] for r in packed)

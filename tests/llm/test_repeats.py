@@ -77,6 +77,26 @@ def test_one_of_each_group_stays(documents):
     assert kept == sorted({c for _, c in shingle_groups(rows, 5, 80).values()})
 
 
+def test_ids_that_repeat_with_other_texts(documents):
+    rnd = random.Random(8)
+    base = [rnd.choice("abcdefghijklmnop") + rnd.choice("qrstuv") for _ in range(80)]
+    near, other = " ".join([*base[:-1], "x"]), " ".join(reversed(base))
+    rows = [(3, near), (5, " ".join(base)), (5, other), (None, other + " y"), (None, "w " * 30 + "z"), (9, None), (9, "")]
+    got = [(r.doc_id is None, r.doc_id or 0, r.text) for r in jaccard.drop_similar(documents(rows)).select("doc_id", "text").collect()]
+    assert sorted(got, key=str) == sorted([(False, 3, near), (True, 0, other + " y"), (True, 0, "w " * 30 + "z"), (False, 9, None), (False, 9, "")], key=str)
+    groups = {(r.doc_id, r.n_shingles, r.component_id) for r in jaccard.similar_groups(documents(rows)).collect()}
+    assert {(3, 76, 3), (5, 76, 3), (5, 76, None), (9, 0, 9)} <= groups
+
+
+def test_families_of_columns_are_split(documents, monkeypatch):
+    rows = near_copies()
+    monkeypatch.setattr(jaccard, "FAMILY", 50)
+    monkeypatch.setattr(jaccard, "PAIRS", 64)
+    monkeypatch.setattr(jaccard, "ROUNDS", 1)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard.similar_groups(documents(rows), 4, 85).collect()}
+    assert got == shingle_groups(rows, 4, 85)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101)], "a long, b long")
     got = {r.rep: r.component for r in jaccard.components(edges).collect()}
