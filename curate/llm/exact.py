@@ -59,13 +59,14 @@ def exact_groups(docs: DataFrame) -> DataFrame:
 
 def drop_exact(docs: DataFrame) -> DataFrame:
     """Rows of ``docs``, all columns, whose text no larger id repeats; one of the rows that repeat id and text."""
-    groups = table(exact_groups(docs).filter("digest is not null").select(id_in().alias("_id"), F.col("digest").alias("_digest"), "n_rows", "kept"))
-    key = ["_id", "_digest"]
-    rows = docs.withColumns({"_id": id_in(), "_digest": F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)})
+    groups = table(exact_groups(docs).filter("digest is not null").select(id_in().alias("id"), F.col("digest").alias("of"), "n_rows", "kept"))
+    key = ["id", "of"]
+    digest = F.sha2(F.coalesce(F.col("text").cast("string"), F.lit("")), 256)
+    rows = docs.select(F.struct("*").alias("row"), id_in().alias("id"), digest.alias("of"))  # no name of a column can clash
     concerned = groups.filter("not kept or n_rows > 1")
-    told = maybe_in(rows, bitmap_of(concerned, "_id"), "_id")
+    told = maybe_in(rows, bitmap_of(concerned, "id"), "id")
     left = told.filter("_maybe").join(groups.filter("not kept").select(*key), key, "left_anti")
     again = groups.filter("kept and n_rows > 1").select(*key)
     once = left.join(again, key, "left_anti")
     twice = left.join(again, key, "left_semi").dropDuplicates(key)
-    return told.filter("not _maybe").unionByName(once).unionByName(twice).select(*docs.columns)
+    return told.filter("not _maybe").select("row.*").unionByName(once.select("row.*")).unionByName(twice.select("row.*"))

@@ -82,7 +82,9 @@ FROM d WINDOW w AS (PARTITION BY text_sha256)
 def op7_exact_dedup(t: Tables) -> DataFrame:
     groups = exact.exact_groups(t.documents).withColumn("doc_id", id_in())
     columns = ["doc_id", "keep_id", "group_size", "kept", "text_sha256"]
-    read = groups.filter("digest IS NOT NULL").withColumn("text_sha256", F.col("digest")).select(*columns)
+    # Rows that repeat id and text are one there, with their number.
+    each = groups.filter("digest IS NOT NULL").withColumn("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n_rows"))))
+    read = each.withColumn("text_sha256", F.col("digest")).select(*columns)
     # Texts told apart by length and prefix alone were not read whole; only their digest column needs it.
     digests = exact.keyed(plain(t.documents)).select("doc_id", "n_bytes", "prefix", F.sha2("text", 256).alias("text_sha256"))
     unread = groups.filter("digest IS NULL").join(digests, ["doc_id", "n_bytes", "prefix"]).select(*columns)
