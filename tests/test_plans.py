@@ -73,9 +73,13 @@ def test_filters_reach_the_scan(spark, tables):
 
 # These run model code or matrices in Python on purpose, or stream.
 PYTHON = {"generate_batch", "generate_batch_errors", "knn_join_approx_planted", "knn_join_approx_exact", "knn_join", "knn_join_blocks", "maxsim_score", "semantic_dedup", "knn_join_approx"}
+PYTHON |= {
+    "knn_join_cells", "knn_join_cells_recall", "maxsim_join", "keyword_hits", "filter_any_keyword_table", "longest_prefix_url",
+    "extract_nested_record", "nested_violations", "nested_schema", "user_sessions", "frequent_pairs",
+}
 EAGER = {
     "train_quality_filter", "score_corpus", "param_sweep", "curation_workflow", "embed_text", "label_set_search",
-    "stream_corpus", "incremental_process", "stream_upsert", "knn_approx",
+    "stream_corpus", "incremental_process", "stream_upsert", "knn_approx", "stream_latest_changes",
 }
 
 
