@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curate.llm.frames import arrays_of, id_out, plain
+from curate.llm.frames import arrays_of, id_out, plain, release_memory
 from curate.llm.words import Hasher, Words, chunks, lower_ascii
 
 #: Labelled documents per class that the model is fitted on at most.
@@ -41,6 +41,8 @@ PRIOR, MIN_Z, DRIFT = 0.1, 2.6, -0.3
 MAX_EXPECTED = 0.01
 #: The part of the labelled documents kept out of the counts to fit K and the calibration: one in.
 CALIBRATE = 4
+#: Share of the clean texts of that part whose best segments give lambda and K, and the fewest that do.
+TAIL, LEAST_BEYOND = 0.1, 30
 #: Occurrences of one token that count in a run of so many tokens of a text.
 MAX_REPEATS, NEAR = 3, 100
 SEED = 5
@@ -143,6 +145,7 @@ def _tokens(texts: pa.Array, hasher: Hasher) -> Iterator[tuple[int, np.ndarray,
     for first, _, data, offsets in chunks(texts):
         words = Words(data, offsets, hasher, gap, low)
         yield first, (words.hash & np.uint64(DIMS - 1)).astype(np.int64), words
+    release_memory()
 
 
 def _count(labelled: DataFrame) -> DataFrame:
@@ -192,6 +195,23 @@ def extreme_rate(score: np.ndarray, weight: np.ndarray) -> float:
     return high
 
 
+def tail(best: np.ndarray, tokens: np.ndarray, rate: float) -> tuple[float, float]:
+    """lambda and log K of the best segments of clean texts, from those beyond a high level.
+
+    Beyond it, the excess of an extreme value is exponential with rate lambda, and K follows from how many texts reach the level.
+    Neighbouring tokens depend on each other, so lambda may come out lower than ``rate``, that of independent ones, but not higher. With too
+    few texts beyond the level, ``rate`` stays.
+    """
+    level = float(np.quantile(best, 1 - TAIL))
+    beyond = best[best > level]
+    if len(beyond) < LEAST_BEYOND:
+        reached, expected = len(best), float((tokens * np.exp(-rate * best)).sum())
+    else:
+        rate = min(rate, 1.0 / max(float((beyond - level).mean()), 1e-9))
+        reached, expected = len(beyond), float((tokens * np.exp(-rate * level)).sum())
+    return rate, math.log(max(reached / max(expected, 1e-9), 1e-9))
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0) -> tuple[float, ...]:
     """Newton steps for a logistic regression with an intercept."""
     x = np.column_stack([np.ones(len(x)), x])
@@ -223,8 +243,8 @@ def fit(docs: DataFrame, labels: DataFrame, allowed: Column | None = None, bound
     rows = _best(labelled.filter("calibrate").select("doc_id", "text", "toxic"), model).collect()  # at most 2 * bound rows
     clean_rows = [r for r in rows if not r.toxic and r.n_tokens]
     if clean_rows:
-        expected = sum(r.n_tokens * math.exp(-model.rate * max([0.0, *r.scores])) for r in clean_rows)
-        model.log_k = math.log(max(len(clean_rows) / max(expected, 1e-9), 1e-9))
+        best, tokens = np.array([max([0.0, *r.scores]) for r in clean_rows]), np.array([float(r.n_tokens) for r in clean_rows])
+        model.rate, model.log_k = tail(best, tokens, model.rate)
     if rows and len({r.toxic for r in rows}) == 2:
         x = np.array([model.features([(0, 0, s) for s in r.scores], r.n_tokens) for r in rows])
         model.weights = logistic(x, np.array([float(r.toxic) for r in rows]))
