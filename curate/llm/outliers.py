@@ -37,10 +37,11 @@ FEATURES = ["x0", "x1", "x2", "x3", "x4"]
 FLOOR = (0.5, 0.25, 0.05, 0.05, 0.13)
 #: Squared distance beyond which a text goes: the 1 - 1e-6 quantile of chi-square with 5 degrees of freedom.
 CUTOFF = 35.89
-#: Share of the rows that the determinant is minimized over; expected scale of a covariance of the nearest half
-#: of a normal distribution in 5 dimensions (its inverse corrects the estimate); concentration steps.
+#: Share of the rows that the determinant is minimized over, and concentration steps.
 HALF, STEPS = 0.5, 4
-CONSISTENCY = 2.07
+#: What the covariance of the nearest half of a normal distribution in 5 dimensions is multiplied with: half over the share of
+#: chi-square with 7 degrees of freedom below the median of that with 5.
+CONSISTENCY = 1.915
 #: Weight of the estimate over all rows, in rows.
 PRIOR_ROWS = 50
 #: Bins per doubling of the squared distance.
