@@ -6,7 +6,7 @@ import contextlib
 import ctypes
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from curate.session import materialize
@@ -54,6 +54,18 @@ def maybe_in(rows: DataFrame, bitmap: DataFrame, column: str = "doc_id") -> Data
     return met.withColumn("_maybe", F.coalesce(hit, F.lit(False))).drop("_piece", "_bit", "k", "bits")
 
 
+#: Bytes of an Arrow batch that a Python worker gets at once: twice that is held on both sides.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound Arrow batches in bytes as well as in rows, for jobs in which Python workers live on between stages.
+
+    Sets ``spark.sql.execution.arrow.maxBytesPerBatch`` for the session; results do not depend on it.
+    """
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def table(rows: DataFrame) -> DataFrame:
     """Write to the shared folder and scan the result."""
     return materialize(rows)

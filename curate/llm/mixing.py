@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curate.llm.frames import NO_ID, arrays_of, id_out, plain, table
+from curate.llm.frames import NO_ID, arrays_of, id_out, plain, release_memory, table
 from curate.llm.words import Words, chunks, spaces
 
 #: Hexadecimal digits of each level of the histogram.
@@ -40,6 +40,7 @@ def sizes(docs: DataFrame) -> DataFrame:
         for batch in batches:
             found = [Words(data, offsets, None, gap).count for _, _, data, offsets in chunks(batch["text"])]
             yield arrays_of(doc_id=batch["doc_id"], source=batch["source"], size=np.concatenate(found) if found else np.empty(0, np.int64))
+            release_memory()
 
     named = plain(docs, F.col("source").cast("string").alias("source"))
     counted = named.mapInArrow(count, "doc_id long, source string, size long")
@@ -143,8 +144,9 @@ def take(docs: DataFrame, weights: tuple[int, ...] = (1, 2, 3)) -> DataFrame:
     edge = _on_edge(joined).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_from")).agg(F.max(half).alias("_half"))
     key = F.md5(F.coalesce(F.col("doc_id").cast("long").cast("string"), F.lit("null")))
     names = {"_doc": F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID).cast("long")), "_head": F.substring(key, 1, 2 * DIGITS)}
-    told = docs.withColumns(names | {"_own": F.col("source").cast("string")}).join(bounds, _same(F.col("_own"), F.col("_source")))
+    names |= {"_own": F.col("source").cast("string"), "row": F.struct("*")}  # no name of a column can clash
+    told = docs.select(*[c.alias(n) for n, c in names.items()]).join(bounds, _same(F.col("_own"), F.col("_source")))
     told = told.join(table(edge), (F.col("_doc") == F.col("_id")) & _same(F.col("_own"), F.col("_from")), "left")
     more = (F.col("_head") < F.col("_bound")) | ((F.col("_head") == F.col("_bound")) & F.coalesce("_half", F.lit(False)))
     told = told.withColumn("_copies", F.col("_passes") + more.cast("long")).filter("_copies > 0")
-    return told.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*docs.columns)
+    return told.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select("row.*")

@@ -16,6 +16,8 @@ place as separate documents; other columns are left behind; an empty table gives
 
 from __future__ import annotations
 
+import functools
+import json
 import os
 import re
 import zlib
@@ -38,7 +40,7 @@ SENTENCE_COST, HARD_COST, WINDOW_COST = 4, 64, 16
 #: Id that closes a document.
 CLOSE = 0
 #: Tokenized words kept at a time.
-CACHE = 200_000
+CACHE = 100_000
 
 # Fixed value: the pre-tokenizing pattern of byte-level vocabularies of this family.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -71,23 +73,31 @@ class Encoder:
     """
 
     def __init__(self, path: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         import tiktoken
-        from tokenizers import Tokenizer
 
-        self.model = Tokenizer.from_file(path)
-        special = {t.content for t in self.model.get_added_tokens_decoder().values()}
-        letters = byte_letters()
-        ranks = {bytes(letters[c] for c in t): i for t, i in self.model.get_vocab(with_added_tokens=True).items() if t not in special}
+        self.path = path
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)
+        special = {t["content"]: t["id"] for t in model["added_tokens"]}
+        letters, vocabulary = byte_letters(), model["model"]["vocab"]
+        ranks = {bytes(letters[c] for c in t): i for t, i in vocabulary.items() if t not in special}
         self.fast = tiktoken.Encoding("bytes", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})._core_bpe
         self.special = re.compile(b"|".join(re.escape(t.encode()) for t in special)) if special else re.compile(b"(?!)")
-        self.size = np.zeros(max(self.model.get_vocab_size(), 1 + max(ranks.values())), np.int64)
+        self.size = np.zeros(1 + max([*ranks.values(), *special.values()]), np.int64)
         self.ends = np.zeros(len(self.size), bool)  # of sentences
         for token, i in ranks.items():
             self.size[i], self.ends[i] = len(token), token[-1:] in (b".", b"!", b"?", b"\n")
         self.hasher = Hasher(11)
         self.known: dict[int, bytes] = {}
 
+    @functools.cached_property
+    def model(self):
+        """The library's tokenizer, which only texts with special tokens need: it holds the vocabulary once more."""
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(self.path)
+
     def _words(self, words: list[bytes]) -> list[bytes]:
         """Words with a leading blank, no gap and no special token inside."""
         ids = np.array(self.fast.encode_ordinary(b"".join(words).decode()), np.uint32)
@@ -205,8 +215,8 @@ def pack(docs: DataFrame, tokenizer: str, window: int = WINDOW, with_ids: bool =
     fields += ", ids array<int>" if with_ids else ""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        release_memory()
         encoder, sequence = Encoder(tokenizer), TaskContext.get().partitionId() << 40
+        release_memory()
         for batch in batches:
             names, (data, offsets) = batch["doc_id"], buffers(batch["text"])
             for first, last in cuts(offsets, RUN_BYTES):
