@@ -30,6 +30,16 @@ def test_label_search_finds_the_closest_label_set(spark):
     assert found[0]["distance"] == pytest.approx(0.0, abs=1e-9)
 
 
+def test_label_search_costs_words_not_dimensions(spark):
+    # Dense vectors of these rows would be 20 GB of numbers, added up one by one.
+    sets = spark.range(10_000).selectExpr("id", "array(concat('a', id % 50), concat('b', id % 7)) AS labels")
+    sets = sets.unionByName(spark.createDataFrame([(-1, None), (-2, [])], "id long, labels array<string>"))
+    embedder = search.text_embedder(sets.select(F.array_join("labels", " ").alias("text")), "text", 1 << 18)
+    found = search.label_set_search(sets.repartition(8), "labels", "a3 b3", 28, "id", embedder).collect()
+    assert [r["id"] for r in found] == list(range(3, 10_000, 350))[:28]
+    assert all(abs(r["distance"]) < 1e-9 for r in found)
+
+
 def test_curation_drops_what_the_classifier_flags(spark):
     rng = random.Random(8)
     words = [f"w{i}" for i in range(60)]
