@@ -494,3 +494,15 @@ def test_heavy_hitters(spark, monkeypatch):
     few = rows.filter("w = 'w3'")
     assert [tuple(r) for r in stats.heavy_hitters(few, "w", 4).collect()] == [("w3", few.count())]
     assert stats.heavy_hitters(rows.limit(0), "w", 4).collect() == []
+
+
+def test_planted_neighbours_are_found_among_nearer_rows(spark, tmp_path):
+    import __spark_entry__
+
+    # Every vector but the first is nearer to the first one's copies than its own turned copy is.
+    rng = np.random.default_rng(6)
+    middle = rng.standard_normal(16)
+    data = [(i, (middle + 0.001 * i * rng.standard_normal(16)).astype(np.float32).tolist()) for i in range(12)]
+    spark.createDataFrame(data, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
+    got = __spark_entry__.queries()["knn_join_approx_planted"](spark, str(tmp_path)).collect()
+    assert sorted((r["query_id"], r["row_id"]) for r in got) == [(i, i + n * 1_000_000) for i in range(12) for n in (1, 2, 3)]
