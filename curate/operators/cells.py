@@ -17,14 +17,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curate.functions.vectors import doubles, dot
 from curate.operators.search import METRICS
-from curate.session import materialize
+from curate.session import materialize, spread
 
 #: Rows that centers and codes are learned from, and the largest number of cells that is chosen by itself.
 SAMPLE_ROWS, MAX_CELLS = 200_000, 1 << 16
@@ -32,6 +30,10 @@ SAMPLE_ROWS, MAX_CELLS = 200_000, 1 << 16
 CODES = 256
 #: Rows of a list, queries compared with it together, and lists of a cell that one task compares with them.
 LIST_ROWS, QUERY_ROWS, LISTS_PER_TASK = 2048, 256, 32
+#: Distances from centers taken at a time.
+DISTANCES = 1 << 22
+#: Cells whose sums are added up together.
+CELLS_PER_SUM = 1024
 
 
 @dataclass(frozen=True)
@@ -69,6 +71,7 @@ class Cells:
 def nearest(vectors: np.ndarray, centers: np.ndarray, block: int = 4096) -> np.ndarray:
     """Index of the nearest center of each vector."""
     norm = (centers * centers).sum(axis=1)
+    block = max(1, min(block, DISTANCES // max(len(centers), 1)))
     found = [np.argmin(norm - 2.0 * (vectors[i : i + block] @ centers.T), axis=1) for i in range(0, len(vectors), block)]
     return np.concatenate(found) if found else np.empty(0, np.int64)
 
@@ -96,12 +99,46 @@ def sample_of(vectors: DataFrame, n: int, sample: int, seed: int) -> DataFrame:
     return vectors.filter(F.pmod(F.xxhash64(F.lit(seed), "id"), F.lit(1 << 20)) < math.ceil(share * (1 << 20)))
 
 
+def _sums(x: np.ndarray, of: np.ndarray, into: np.ndarray) -> None:
+    """Add the rows of ``x``, and their number in the last column, to the rows of ``into`` that ``of`` names."""
+    order = np.argsort(of, kind="stable")
+    starts = np.flatnonzero(np.r_[True, np.diff(of[order]) != 0])
+    into[of[order][starts], :-1] += np.add.reduceat(x[order], starts, axis=0)
+    into[of[order][starts], -1] += np.diff(np.r_[starts, len(of)])
+
+
 def train_centers(vectors: DataFrame, cells: int, seed: int = 42, rounds: int = 10) -> np.ndarray:
-    """Centers of ``cells`` cells of the column ``v``, by k-means."""
-    model = KMeans(k=cells, seed=seed, maxIter=rounds, featuresCol="_features") if cells > 1 else None
-    if model is None:
+    """Centers of at most ``cells`` cells of the column ``v``, by k-means from distinct rows that a hash picks.
+
+    Tasks assign their rows as matrices and pass on one sum per cell; only the centers reach the driver.
+    """
+    if cells <= 1:
         return np.array([vectors.select(F.posexplode("v")).groupBy("pos").agg(F.avg("col").alias("m")).orderBy("pos").toPandas()["m"]])
-    return np.array(model.fit(vectors.select(array_to_vector("v").alias("_features"))).clusterCenters())
+    pool = spread(materialize(vectors.select("v")))
+    picked = pool.distinct().orderBy(F.xxhash64(F.lit(seed), "v"), "v").limit(cells).toArrow()["v"]
+    centers = matrix(picked.combine_chunks())
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(centers), centers.shape[1] + 1))
+        for batch in batches:
+            x = matrix(batch["v"])
+            if len(x):
+                _sums(x, nearest(x, centers), total)
+        for a in range(0, len(total), CELLS_PER_SUM):
+            yield pa.RecordBatch.from_arrays([pa.array([a]), pa.array([total[a : a + CELLS_PER_SUM].tobytes()])], ["first", "sums"])
+
+    def total(group: tuple, table: pa.Table) -> pa.Table:
+        return pa.table({"first": [group[0].as_py()], "sums": [sum(np.frombuffer(s) for s in table["sums"].to_pylist()).tobytes()]})
+
+    for _ in range(rounds):
+        summed = pool.mapInArrow(add, "first long, sums binary").groupBy("first").applyInArrow(total, "first long, sums binary").collect()
+        sums = np.frombuffer(b"".join(r["sums"] for r in sorted(summed, key=lambda r: r["first"]))).reshape(len(centers), -1)
+        # A cell without rows keeps its center.
+        moved = np.where(sums[:, -1:] > 0, sums[:, :-1] / np.maximum(sums[:, -1:], 1), centers)
+        if np.array_equal(moved, centers):
+            break
+        centers = moved
+    return centers
 
 
 def _book(points: np.ndarray, codes: int, seed: int, rounds: int = 12) -> np.ndarray:

@@ -1,10 +1,10 @@
 """Late interaction for a table of queries: the best documents of each, by the sum of best dot products.
 
 The score of a document is the sum, over the query's vectors, of the largest dot product with one of the document's. Two
-bounds of it follow from a summary: per document and cell of trained centers, the smallest and largest
-distance of its vectors from the center. ``q.d`` lies within ``|q| * distance`` of ``q.center``, so a query needs only its products
-with the centers. The ``k``-th largest lower bound of a query is a score that its ``k`` best documents reach for sure; what
-cannot reach it by its upper bound is left out, and only the rest is multiplied in full. The result is exact, whatever the centers.
+bounds of it follow from a summary: the document's vectors of one cell of trained centers are a piece, with their mean and their
+largest distance from it. ``q.d`` lies within ``|q| * distance`` of ``q.mean``, so queries need only their products
+with the means, which are taken as matrices of many queries and documents. The ``k`` documents of a query with the largest lower bounds are multiplied in full; what cannot reach the
+least of their scores by its upper bound is left out, and only the rest is multiplied too. The result is exact, whatever the centers.
 
 Documents and queries may have any number of vectors: a document's are cut into blocks whose maxima are combined, a query's are one
 row (8 bytes a number), compared a slice at a time.
@@ -16,11 +16,12 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from curate.functions.vectors import doubles
-from curate.operators.cells import matrix
+from curate.operators.cells import matrix, nearest
 from curate.operators.search import BLOCK_ROWS, BROADCAST_BYTES, MATRIX_CELLS
 from curate.session import materialize
 
@@ -31,24 +32,31 @@ SLACK = 1e-9
 
 
 def document_cells(vectors: DataFrame, document: str, vector: str, centers: np.ndarray) -> DataFrame:
-    """``document, cells``: per document the cells of its vectors with the smallest and largest distance from the center."""
+    """``document, cells``: the pieces of each document, with the mean of their vectors and the largest distance from it.
+
+    Vectors of a cell that arrive in different batches are different pieces.
+    """
     kind = vectors.schema[document].dataType.simpleString()
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        norm = (centers * centers).sum(axis=1)
         for batch in batches:
-            x = matrix(batch["v"])
-            for a in range(0, len(x), BLOCK_VECTORS):
-                part = x[a : a + BLOCK_VECTORS]
-                cell = np.argmin(norm - 2.0 * (part @ centers.T), axis=1)
-                away = np.sqrt(((part - centers[cell]) ** 2).sum(axis=1))
-                columns = [batch["document"].slice(a, len(part)), pa.array(cell.astype(np.int32)), pa.array(away)]
-                yield pa.RecordBatch.from_arrays(columns, ["document", "cell", "away"])
+            if not batch.num_rows:
+                continue
+            x, names = matrix(batch["v"]), batch["document"].dictionary_encode()
+            piece = names.indices.to_numpy().astype(np.int64) * len(centers) + nearest(x, centers, BLOCK_VECTORS)
+            order = np.argsort(piece, kind="stable")
+            x, piece = x[order], piece[order]
+            starts = np.flatnonzero(np.r_[True, np.diff(piece) != 0])
+            size = np.diff(np.r_[starts, len(piece)])
+            means = np.add.reduceat(x, starts, axis=0) / size[:, None]
+            away = np.sqrt(((x - np.repeat(means, size, axis=0)) ** 2).sum(axis=1))
+            body = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * x.shape[1]), len(means), [None, pa.py_buffer(means.tobytes())])
+            of = names.dictionary.take(pa.array(piece[starts] // len(centers)))
+            yield pa.RecordBatch.from_arrays([of, body.cast(pa.binary()), pa.array(np.maximum.reduceat(away, starts))], ["document", "mean", "away"])
 
     rows = vectors.filter(F.col(vector).isNotNull()).select(F.col(document).alias("document"), doubles(vector).alias("v"))
-    per_cell = rows.mapInArrow(assign, f"document {kind}, cell int, away double").groupBy("document", "cell")
-    ranges = per_cell.agg(F.min("away").alias("low"), F.max("away").alias("high"))
-    return ranges.groupBy("document").agg(F.collect_list(F.struct("cell", "low", "high")).alias("cells"))
+    pieces = rows.mapInArrow(assign, f"document {kind}, mean binary, away double")
+    return pieces.groupBy("document").agg(F.collect_list(F.struct("mean", "away")).alias("cells"))
 
 
 def whole_queries(queries: DataFrame, query: str, vector: str) -> DataFrame:
@@ -57,44 +65,58 @@ def whole_queries(queries: DataFrame, query: str, vector: str) -> DataFrame:
     return rows.groupBy("query").agg(F.flatten(F.collect_list("v")).alias("vectors"))
 
 
-def _bounds(query: np.ndarray, centers: np.ndarray, summary: tuple) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bound of a query's score for each summarized document."""
-    begins, cell, low, high = summary
-    lower, upper = np.zeros(len(begins)), np.zeros(len(begins))
-    step = max(1, 8 * MATRIX_CELLS // max(len(cell), len(centers)))
-    for a in range(0, len(query), step):
-        part = query[a : a + step]
-        length = np.sqrt((part * part).sum(axis=1))[:, None]
-        near = (part @ centers.T)[:, cell]
-        lower += np.maximum.reduceat(near - length * low, begins, axis=1).sum(axis=0)
-        upper += np.maximum.reduceat(near + length * high, begins, axis=1).sum(axis=0)
-    return lower, upper
+def _bounds(vectors: np.ndarray, edges: np.ndarray, summary: tuple, sign: int) -> np.ndarray:
+    """Lower (``sign`` -1) or upper (1) bounds of the scores of queries, whose vectors ``edges`` separates, by summarized documents."""
+    begins, means, away = summary
+    bound = vectors @ means.T
+    bound += sign * np.sqrt((vectors * vectors).sum(axis=1))[:, None] * away
+    if len(begins) < len(means):
+        bound = np.maximum.reduceat(bound, begins, axis=1)
+    if len(edges) - 1 < len(vectors):
+        bound = np.add.reduceat(bound, edges[:-1], axis=0)
+    return bound
 
 
-def _summary(cells: pa.Array) -> tuple:
+def _summary(cells: pa.Array, dim: int) -> tuple:
     flat = cells.flatten()
-    begins = np.concatenate([[0], np.cumsum(np.array([len(c) for c in cells], np.int64))])[:-1]
-    return begins, *(flat.field(n).to_numpy(zero_copy_only=False) for n in ("cell", "low", "high"))
+    begins = np.concatenate([[0], np.cumsum(pc.list_value_length(cells).to_numpy(zero_copy_only=False))])[:-1].astype(np.int64)
+    return begins, np.frombuffer(b"".join(flat.field("mean").to_pylist())).reshape(-1, dim), flat.field("away").to_numpy(zero_copy_only=False)
+
+
+def _slices(edges: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Runs of queries of at most ``most`` vectors, or of one query."""
+    first = 0
+    while first < len(edges) - 1:
+        last = max(first + 1, int(np.searchsorted(edges, edges[first] + most, "right")) - 1)
+        yield first, last
+        first = last
 
 
 def _meet(asked: DataFrame, documents: DataFrame, centers: np.ndarray, pick: Callable, schema: str, broadcast_bytes: int, block_rows: int) -> DataFrame:
-    """Rows that ``pick(query ids, further column, bounds per query, documents)`` makes of queries and summaries that meet.
+    """Rows that ``pick(query ids, further column, bounds, documents)`` makes of queries and summaries that meet, by ``pick.sign``.
 
     ``asked`` has ``query, vectors, least``. Queries of bounded size go to all tasks, more of them are cut into blocks.
     """
     dim = centers.shape[1]
     size = asked.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.size("vectors") + 2), F.lit(0)).alias("cells")).first()
 
-    def compare(ids: pa.Array, vectors: list[np.ndarray], least: np.ndarray, batch: pa.RecordBatch | pa.Table) -> Iterator[pa.RecordBatch]:
-        summary = _summary(batch["cells"])
-        for i, v in enumerate(vectors):
-            yield pick(ids.slice(i, 1), least[i], *_bounds(v, centers, summary), batch["document"])
+    def compare(ids: pa.Array, vectors: np.ndarray, edges: np.ndarray, least: np.ndarray, batch: pa.RecordBatch | pa.Table) -> Iterator[pa.RecordBatch]:
+        for start in range(0, batch.num_rows, BLOCK_VECTORS):
+            part = batch.slice(start, BLOCK_VECTORS)
+            summary = _summary(part["cells"], dim)
+            for a, b in _slices(edges, max(1, 8 * MATRIX_CELLS // len(summary[1]))):
+                # A query of very many vectors is added up a slice at a time.
+                step = max(1, 8 * MATRIX_CELLS // len(summary[1])) if b == a + 1 else int(edges[b] - edges[a])
+                total = 0.0
+                for i in range(int(edges[a]), int(edges[b]), step):
+                    j = min(i + step, int(edges[b]))
+                    total = total + _bounds(vectors[i:j], np.array([0, j - i]) if b == a + 1 else edges[a : b + 1] - edges[a], summary, pick.sign)
+                yield pick(ids.slice(a, b - a), least[a:b], total, part["document"])
 
     def unpacked(table: pa.Table) -> tuple:
         body = table["vectors"].combine_chunks()
-        values, ends = body.values.to_numpy(zero_copy_only=False), body.offsets.to_numpy()
-        vectors = [values[a:b].reshape(-1, dim) for a, b in zip(ends, ends[1:])]
-        return table["query"].combine_chunks(), vectors, table["least"].to_numpy()
+        edges = np.concatenate([[0], np.cumsum(pc.list_value_length(body).to_numpy(zero_copy_only=False))]).astype(np.int64)
+        return table["query"].combine_chunks(), body.flatten().to_numpy(zero_copy_only=False).reshape(-1, dim), edges // dim, table["least"].to_numpy()
 
     if size["cells"] * 8 <= broadcast_bytes:
         sent = asked.sparkSession.sparkContext.broadcast(unpacked(asked.toArrow()))
@@ -130,52 +152,35 @@ def _meet(asked: DataFrame, documents: DataFrame, centers: np.ndarray, pick: Cal
 
 
 class _Best:
-    """The ``k`` largest lower bounds of a query among some documents."""
+    """The documents of the ``k`` largest lower bounds of each query among some documents."""
 
-    def __init__(self, k: int, query_type: pa.DataType):
-        self.k, self.empty = k, pa.table({"query": pa.array([], query_type), "bound": pa.array([], pa.float64())})
+    sign = -1
 
-    def __call__(self, query, least, lower, upper, documents) -> pa.RecordBatch:
-        best = np.sort(lower)[-self.k :]
-        return pa.RecordBatch.from_arrays([query.take(pa.array(np.zeros(len(best), np.int64))), pa.array(best)], ["query", "bound"])
+    def __init__(self, k: int, query_type: pa.DataType, document_type: pa.DataType):
+        self.k, self.empty = k, pa.table({"query": pa.array([], query_type), "document": pa.array([], document_type), "bound": pa.array([], pa.float64())})
+
+    def __call__(self, query, least, lower, documents) -> pa.RecordBatch:
+        k = min(self.k, lower.shape[1])
+        best = np.argpartition(lower, lower.shape[1] - k, axis=1)[:, lower.shape[1] - k :].ravel()
+        q = np.repeat(np.arange(len(lower)), k)
+        return pa.RecordBatch.from_arrays([query.take(pa.array(q)), documents.take(pa.array(best)), pa.array(lower[q, best])], ["query", "document", "bound"])
 
 
 class _Survivors:
     """Documents whose upper bound reaches what is wanted."""
 
+    sign = 1
+
     def __init__(self, query_type: pa.DataType, document_type: pa.DataType):
         self.empty = pa.table({"query": pa.array([], query_type), "document": pa.array([], document_type)})
 
-    def __call__(self, query, least, lower, upper, documents) -> pa.RecordBatch:
-        at = np.flatnonzero(upper >= least - SLACK * max(1.0, abs(least)))
-        return pa.RecordBatch.from_arrays([query.take(pa.array(np.zeros(len(at), np.int64))), documents.take(pa.array(at))], ["query", "document"])
+    def __call__(self, query, least, upper, documents) -> pa.RecordBatch:
+        q, at = np.nonzero(upper >= (least - SLACK * np.maximum(1.0, np.abs(least)))[:, None])
+        return pa.RecordBatch.from_arrays([query.take(pa.array(q)), documents.take(pa.array(at))], ["query", "document"])
 
 
-def candidate_documents(
-    queries: DataFrame, vectors: DataFrame, k: int, query: str, document: str, vector: str, centers: np.ndarray,
-    broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """``query, document``: a superset of the ``k`` best documents of each query, from the bounds alone."""
-    documents = materialize(document_cells(vectors, document, vector, centers))
-    asked = materialize(whole_queries(queries, query, vector)).withColumn("least", F.lit(0.0))
-    of, kind = asked.schema["query"].dataType.simpleString(), documents.schema["document"].dataType.simpleString()
-    types = [pa.schema(d.limit(0).toArrow().schema).field(0).type for d in (asked.select("query"), documents.select("document"))]
-    bounds = _meet(asked, documents, centers, _Best(k, types[0]), f"query {of}, bound double", broadcast_bytes, block_rows)
-    ranked = bounds.withColumn("_rn", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("bound")))).filter(F.col("_rn") <= k)
-    # With fewer than k documents every one is among the best.
-    least = ranked.groupBy("query").agg(F.when(F.count("*") == k, F.min("bound")).otherwise(F.lit(float("-inf"))).alias("least"))
-    wanted = materialize(asked.drop("least").join(least, "query"))
-    return _meet(wanted, documents, centers, _Survivors(*types), f"query {of}, document {kind}", broadcast_bytes, block_rows)
-
-
-def maxsim_join(
-    queries: DataFrame, vectors: DataFrame, k: int, query: str, document: str, vector: str, centers: np.ndarray,
-    candidates: DataFrame | None = None, broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS,
-) -> DataFrame:
-    """The ``k`` documents of the largest late-interaction score for every query: query, document, score, rank."""
-    if candidates is None:
-        candidates = materialize(candidate_documents(queries, vectors, k, query, document, vector, centers, broadcast_bytes, block_rows))
-    dim = centers.shape[1]
+def _scores(candidates: DataFrame, queries: DataFrame, vectors: DataFrame, query: str, document: str, vector: str, dim: int) -> DataFrame:
+    """``query, document, score`` of pairs of a query and a document."""
     of, kind = (candidates.schema[c].dataType.simpleString() for c in ("query", "document"))
     live = vectors.filter(F.col(vector).isNotNull()).select(F.col(document).alias("document"), doubles(vector).alias("v"))
     live = live.join(candidates.select("document").distinct(), "document", "left_semi")
@@ -207,6 +212,34 @@ def maxsim_join(
 
     partial = met.select("query", "document", "body", "vectors").mapInArrow(multiply, f"query {of}, document {kind}, best array<double>")
     each = partial.select("query", "document", F.posexplode("best")).groupBy("query", "document", "pos").agg(F.max("col").alias("best"))
-    scores = each.groupBy("query", "document").agg(F.sum("best").alias("score"))
+    return each.groupBy("query", "document").agg(F.sum("best").alias("score"))
+
+
+def candidate_documents(
+    queries: DataFrame, vectors: DataFrame, k: int, query: str, document: str, vector: str, centers: np.ndarray,
+    broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """``query, document``: a superset of the ``k`` best documents of each query, from the bounds and the scores of ``k`` documents."""
+    documents = materialize(document_cells(vectors, document, vector, centers))
+    asked = materialize(whole_queries(queries, query, vector)).withColumn("least", F.lit(0.0))
+    of, kind = asked.schema["query"].dataType.simpleString(), documents.schema["document"].dataType.simpleString()
+    types = [pa.schema(d.limit(0).toArrow().schema).field(0).type for d in (asked.select("query"), documents.select("document"))]
+    bounds = _meet(asked, documents, centers, _Best(k, *types), f"query {of}, document {kind}, bound double", broadcast_bytes, block_rows)
+    ranked = bounds.withColumn("_rn", F.row_number().over(Window.partitionBy("query").orderBy(F.desc("bound"), "document"))).filter(F.col("_rn") <= k)
+    reached = _scores(materialize(ranked.select("query", "document")), queries, vectors, query, document, vector, centers.shape[1])
+    # With fewer than k documents every one is among the best.
+    least = reached.groupBy("query").agg(F.when(F.count("*") == k, F.min("score")).otherwise(F.lit(float("-inf"))).alias("least"))
+    wanted = materialize(asked.drop("least").join(least, "query"))
+    return _meet(wanted, documents, centers, _Survivors(*types), f"query {of}, document {kind}", broadcast_bytes, block_rows)
+
+
+def maxsim_join(
+    queries: DataFrame, vectors: DataFrame, k: int, query: str, document: str, vector: str, centers: np.ndarray,
+    candidates: DataFrame | None = None, broadcast_bytes: int = BROADCAST_BYTES, block_rows: int = BLOCK_ROWS,
+) -> DataFrame:
+    """The ``k`` documents of the largest late-interaction score for every query: query, document, score, rank."""
+    if candidates is None:
+        candidates = materialize(candidate_documents(queries, vectors, k, query, document, vector, centers, broadcast_bytes, block_rows))
+    scores = _scores(candidates, queries, vectors, query, document, vector, centers.shape[1])
     order = Window.partitionBy("query").orderBy(F.desc("score"), "document")
     return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)

@@ -139,3 +139,24 @@ def test_vectors_of_a_text_embedder_can_be_searched(spark):
     lists = cells.index_cells(embedded, "id", "embedding", model)
     near = cells.knn_join_cells(embedded.filter("id = 0"), embedded, lists, model, 3, "id", "embedding", probes=4, exclude_self=True).collect()
     assert all(abs(r.distance) < 1e-9 and r.row_id % 15 == 0 for r in near)
+
+
+def test_documents_of_close_vectors_are_told_apart_far_from_any_center(spark):
+    rng = np.random.default_rng(11)
+    middle = rng.normal(size=(200, 16))
+    docs = [(d, (m + 0.01 * rng.normal(size=16)).tolist()) for d, m in enumerate(middle) for _ in range(5)]
+    asked = [(q, (middle[q] + 0.01 * rng.normal(size=16)).tolist()) for q in range(20)]
+    vectors, queries = spark.createDataFrame(docs, "doc long, e array<double>"), spark.createDataFrame(asked, "q long, e array<double>")
+    kept = late.candidate_documents(queries, vectors, 3, "q", "doc", "e", np.zeros((1, 16))).collect()
+    want = true_best(docs, asked, 3)
+    assert {(q, d) for q, best in want.items() for d, _ in best} <= {(r["query"], r.document) for r in kept}
+    assert len(kept) < 0.05 * 20 * 200
+
+
+def test_centers_are_those_of_the_clusters(spark):
+    vectors = clusters(5, 6, 30)
+    centers = cells.train_centers(table(spark, vectors).select(F.col("e").alias("v")), 24)
+    away = np.sqrt(((vectors[:, None] - centers[None]) ** 2).sum(axis=2)).min(axis=1)
+    assert centers.shape == (24, 12) and away.max() < 0.5
+    same = spark.createDataFrame([([1.0, 2.0],)] * 9, "v array<double>")
+    assert cells.train_centers(same, 4).tolist() == [[1.0, 2.0]]
