@@ -4,36 +4,68 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StructField, StructType
 
 #: State stores that keep state off the heap and write changes only, which this needs.
 STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
+#: Groups that keys are dealt to by hash; a checkpoint belongs to one number of them.
+BUCKETS = 1 << 12
+
+
 class _Latest(StatefulProcessor):
-    """Per key the highest version seen and how often it has changed."""
+    """Per key of a bucket the highest version seen and how often it has changed, as one table per bucket."""
 
-    def __init__(self, version: str):
-        self.version = version
+    def __init__(self, key: str, version: str):
+        self.key, self.version = key, version
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        kept = StructType([StructField("version", LongType()), StructField("changes", LongType())])
-        self.kept = handle.getValueState("latest", kept)
+        self.kept = handle.getValueState("latest", StructType([StructField("body", BinaryType())]))
+
+    def _best(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """The first row of the highest version of each key."""
+        code = pd.factorize(rows[self.key], use_na_sentinel=False)[0]
+        order = np.lexsort((np.arange(len(rows)), -rows[self.version].to_numpy(), code))
+        first = np.r_[True, np.diff(code[order]) != 0]
+        return rows.iloc[order[first]]
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         best = None
-        for part in rows:  # a key's rows of one batch, a piece at a time
-            top = part.loc[[part[self.version].idxmax()]]
-            if best is None or top[self.version].iloc[0] > best[self.version].iloc[0]:
-                best = top
-        version, changes = self.kept.get() if self.kept.exists() else (None, 0)
-        if best is None or (version is not None and best[self.version].iloc[0] <= version):
+        for part in rows:  # a bucket's rows of one batch, a piece at a time
+            best = self._best(part if best is None else pd.concat([best, part]))
+        if best is None or best.empty:
             return
-        self.kept.update((int(best[self.version].iloc[0]), changes + 1))
-        yield best.assign(changes=changes + 1)
+        best = best.reset_index(drop=True)
+        keys = pa.Array.from_pandas(best[self.key])
+        version, changes = best[self.version].to_numpy(np.int64), np.ones(len(best), np.int64)
+        known = pa.ipc.open_stream(self.kept.get()[0]).read_all() if self.kept.exists() else None
+        at = np.full(len(best), -1)
+        if known is not None:
+            at = pc.index_in(keys.cast(known["key"].type), known["key"].combine_chunks(), skip_nulls=False).fill_null(-1).to_numpy()
+            before, times = known["version"].to_numpy().copy(), known["changes"].to_numpy().copy()
+            changes = np.where(at >= 0, times[at] + 1, 1)
+            higher = (at < 0) | (version > before[at])
+            best, keys, version, changes, at = best[higher], keys.filter(pa.array(higher)), version[higher], changes[higher], at[higher]
+        if best.empty:
+            return
+        new = at < 0
+        table = pa.table({"key": keys.filter(pa.array(new)), "version": version[new], "changes": changes[new]})
+        if known is not None:
+            before[at[~new]], times[at[~new]] = version[~new], changes[~new]
+            table = pa.concat_tables([pa.table({"key": known["key"], "version": before, "changes": times}), table.cast(known.schema)])
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, table.schema) as out:
+            out.write_table(table)
+        self.kept.update((sink.getvalue().to_pybytes(),))
+        yield best.assign(changes=changes)
 
     def close(self) -> None:
         pass
@@ -44,9 +76,13 @@ def latest_changes(rows: DataFrame, key: str, version: str) -> DataFrame:
 
     Late, repeated and equal versions give nothing, in the same batch or in any later run with the same checkpoint. The state is one pair
     of numbers per key; ``version`` is a whole number without nulls. Output goes to any sink, in append mode.
+
+    Keys are dealt to ``BUCKETS`` groups, whose state is read and written as a whole, since a call of the state store per key
+    costs far more than its pair of numbers. Null keys have a group of their own.
     """
     rows.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STORE)
     schema = StructType([*rows.schema.fields, StructField("changes", LongType())])
-    return rows.groupBy(key).transformWithStateInPandas(
-        statefulProcessor=_Latest(version), outputStructType=schema, outputMode="Append", timeMode="None"
+    bucket = F.when(F.col(key).isNull(), -1).otherwise(F.pmod(F.xxhash64(key), F.lit(BUCKETS))).cast("int")
+    return rows.withColumn("_bucket", bucket).groupBy("_bucket").transformWithStateInPandas(
+        statefulProcessor=_Latest(key, version), outputStructType=schema, outputMode="Append", timeMode="None"
     )

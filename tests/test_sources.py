@@ -215,3 +215,21 @@ def test_first_batches_stop_and_resume(spark):
 
     with pytest.raises(Exception):
         streams.first_batches(stream, fails, 1, source + "-other")
+
+
+def test_latest_changes_of_many_keys_and_null(spark, rows, monkeypatch):
+    # Keys share groups, each of which is one entry of the state store.
+    monkeypatch.setattr(state, "BUCKETS", 3)
+    source, out = fresh_path(spark, "test-many"), fresh_path(spark, "test-many-latest")
+    schema = "k long, version long"
+    for run in range(2):
+        data = [(k, v) for k in [*range(50), 2**53 + 1, None] for v in (run, run + 1 if k is None or k % 2 else 0)]
+        spark.createDataFrame(data, schema).write.mode("append").parquet(source)
+        stream = streams.stream_corpus(spark, source, spark.createDataFrame([], schema).schema)
+        changed = state.latest_changes(stream, "k", "version")
+        streams.stream_to_parquet(changed, out, f"{out}-c").awaitTermination()
+    assert spark.read.format("statestore").option("stateVarName", "latest").load(f"{out}-c").count() <= 4
+    got = {}
+    for k, version, changes in spark.read.parquet(out).collect():
+        got.setdefault(k, []).append((changes, version))
+    assert {k: sorted(v) for k, v in got.items()} == {k: [(1, 1), (2, 2)] if k is None or k % 2 else [(1, 0), (2, 1)] for k in [*range(50), 2**53 + 1, None]}
