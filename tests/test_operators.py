@@ -506,3 +506,16 @@ def test_planted_neighbours_are_found_among_nearer_rows(spark, tmp_path):
     spark.createDataFrame(data, "vec_id long, embedding array<float>").write.parquet(str(tmp_path / "embeddings.parquet"))
     got = __spark_entry__.queries()["knn_join_approx_planted"](spark, str(tmp_path)).collect()
     assert sorted((r["query_id"], r["row_id"]) for r in got) == [(i, i + n * 1_000_000) for i in range(12) for n in (1, 2, 3)]
+
+
+def test_blocks_of_two_large_tables_are_sent_to_few_tasks(points, monkeypatch):
+    # Blocks of 1,000 rows sent each of 600,000 vectors to 600 tasks.
+    assert search.side_parts(600_000, 520, 1000, 12) == 5
+    assert search.side_parts(0, 520, 1000, 12) == 1 and search.side_parts(3000, 520, 1000, 12) == 3
+    monkeypatch.setattr(search, "MATRIX_CELLS", 64)
+    x, frame = points
+    near = search.knn_join(frame, frame, 5, "id", "v", "l2", exclude_self=True, broadcast_bytes=0, block_rows=7).collect()
+    got = {(r["query_id"], r["rank"]): r["distance"] for r in near}
+    assert len(got) == len(near) == 5 * len(x)
+    for i in (0, 17, 399):
+        assert [got[i, n + 1] for n in range(5)] == pytest.approx(brute(x, x[i], 5, "l2", skip=i)[1].tolist(), abs=1e-9)
