@@ -122,10 +122,9 @@ def generate_batch(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = load_model()
         for batch in batches:
-            prompts = batch.column(prompt).to_pylist()
             out: list = []
-            for start in range(0, len(prompts), batch_size):
-                out.extend(answers(model, prompts[start : start + batch_size]))
+            for start in range(0, batch.num_rows, batch_size):  # only these prompts are Python strings
+                out.extend(answers(model, batch.column(prompt).slice(start, batch_size).to_pylist()))
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns, *(pa.array(side, pa.string()) for side in (zip(*out) if out else ([], [])))],
                 [*batch.schema.names, output, f"{output}_error"],

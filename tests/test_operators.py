@@ -519,3 +519,26 @@ def test_blocks_of_two_large_tables_are_sent_to_few_tasks(points, monkeypatch):
     assert len(got) == len(near) == 5 * len(x)
     for i in (0, 17, 399):
         assert [got[i, n + 1] for n in range(5)] == pytest.approx(brute(x, x[i], 5, "l2", skip=i)[1].tolist(), abs=1e-9)
+
+
+def test_generate_batch_holds_one_call_of_prompts():
+    import tracemalloc
+
+    import pyarrow as pa
+    from pyspark.sql.types import StructType
+
+    class Rows:
+        schema = StructType()
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    run = prompts.generate_batch(Rows(), "p", "out", lambda: lambda texts: [x[:3] for x in texts], batch_size=10)
+    batch = pa.RecordBatch.from_arrays([pa.array([f"{i:05d}" * 4000 for i in range(1000)])], ["p"])  # 20 MB of prompts
+    tracemalloc.start()
+    try:
+        (out,) = run(iter([batch]))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert out["out"].to_pylist() == [f"{i:05d}"[:3] for i in range(1000)] and peak < 4 << 20
