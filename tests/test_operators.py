@@ -542,3 +542,22 @@ def test_generate_batch_holds_one_call_of_prompts():
     finally:
         tracemalloc.stop()
     assert out["out"].to_pylist() == [f"{i:05d}"[:3] for i in range(1000)] and peak < 4 << 20
+
+
+def test_semantic_dedup_exchanges_half_precision_and_decides_exactly(spark):
+    # Pairs on both sides of the threshold, closer to it than half precision can tell.
+    rng = np.random.default_rng(8)
+    data, want = [], []
+    for i in range(40):
+        x, y = np.linalg.qr(rng.standard_normal((32, 2)))[0].T
+        cos = 0.9 + (1e-5 if i % 2 else -1e-5) * (1 + i)
+        data += [(2 * i, x.tolist()), (2 * i + 1, (cos * x + np.sqrt(1 - cos * cos) * y).tolist())]
+        want += [2 * i] if i % 2 else [2 * i, 2 * i + 1]
+    frame = spark.createDataFrame(data, "id long, v array<double>").repartition(3)
+    unit = np.array([v for _, v in data])
+    near = np.argwhere(np.triu(unit @ unit.T >= 0.9, 1))
+    assert [tuple(p) for p in near] == [(2 * i, 2 * i + 1) for i in range(1, 40, 2)]
+    kept = similar.semantic_dedup(frame, "id", "v", 0.9, bits=1, tables=12, block_rows=10)
+    assert sorted(r["id"] for r in kept.collect()) == want
+    halved = similar._halved(similar._with_buckets(frame, 1, 12, 42)).collect()
+    assert all(len(r["v"]) == 2 * 32 for r in halved)
