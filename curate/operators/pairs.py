@@ -18,6 +18,8 @@ from curate.session import materialize
 
 #: Buckets of pairs (a bitmap of 128 KB), and pairs formed at a time.
 BUCKETS, PAIRS = 1 << 20, 1 << 20
+#: Pairs of distinct items of a batch that are counted in an array (32 MB); more are sorted.
+CELLS = 1 << 22
 
 
 def _bucket(low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -85,13 +87,22 @@ def frequent_pairs(rows: DataFrame, items: str, support: int) -> DataFrame:
             hashes = hashes.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
             named = batch["s"].flatten().dictionary_encode()
             code, size = named.indices.to_numpy().astype(np.int64), len(named.dictionary)
+            counts = np.zeros(size * size, np.int64) if size * size <= CELLS else None
             for left, right in _pairs(edges):
                 at = _bucket(np.minimum(hashes[left], hashes[right]), np.maximum(hashes[left], hashes[right]))
                 live = (bits[at >> 3] >> (at & 7)) & 1 == 1
-                pair, n = np.unique(code[left[live]] * size + code[right[live]], return_counts=True)
-                if len(pair):
-                    names = [named.dictionary.take(pa.array(x)) for x in np.divmod(pair, size)]
-                    yield pa.RecordBatch.from_arrays([*names, pa.array(n)], ["item_1", "item_2", "n"])
+                pair = code[left[live]] * size + code[right[live]]
+                if counts is not None:
+                    counts += np.bincount(pair, minlength=len(counts))
+                else:
+                    yield from counted(named.dictionary, *np.unique(pair, return_counts=True))
+            if counts is not None:
+                pair = np.flatnonzero(counts)
+                yield from counted(named.dictionary, pair, counts[pair])
+
+    def counted(items: pa.Array, pair: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if len(pair):
+            yield pa.RecordBatch.from_arrays([*(items.take(pa.array(x)) for x in np.divmod(pair, len(items))), pa.array(n)], ["item_1", "item_2", "n"])
 
     kind = kept.schema["s"].dataType.elementType.simpleString()
     formed = hashed.mapInArrow(run, f"item_1 {kind}, item_2 {kind}, n long")

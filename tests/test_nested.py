@@ -113,3 +113,13 @@ def test_few_pairs_are_formed(spark):
     every = pairs.bucket_counts(hashed).agg(F.sum("n")).first()[0]
     assert frequent < 0.05 * every
     assert [tuple(r) for r in pairs.frequent_pairs(frame, "l", 60).collect()] == [("x", "y", 100)]
+
+
+def test_frequent_pairs_are_added_up_per_batch(spark, rows, monkeypatch):
+    # 200 equal lists in one batch: a row per pair is shuffled, not one per pair and PAIRS pairs formed.
+    monkeypatch.setattr(pairs, "PAIRS", 10)
+    frame = spark.createDataFrame([(list("abcdef"),)] * 200, "l array<string>").coalesce(1)
+    want = [(a, b, 200) for a, b in itertools.combinations("abcdef", 2)]
+    assert rows(pairs.frequent_pairs(frame, "l", 5)) == want
+    monkeypatch.setattr(pairs, "CELLS", 35)  # one less than all pairs of six items: sorted instead
+    assert rows(pairs.frequent_pairs(frame, "l", 5)) == want
