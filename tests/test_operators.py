@@ -561,3 +561,38 @@ def test_semantic_dedup_exchanges_half_precision_and_decides_exactly(spark):
     assert sorted(r["id"] for r in kept.collect()) == want
     halved = similar._halved(similar._with_buckets(frame, 1, 12, 42)).collect()
     assert all(len(r["v"]) == 2 * 32 for r in halved)
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "dot"])
+def test_best_rows_over_many_blocks(metric, monkeypatch):
+    monkeypatch.setattr(search, "QUERY_ROWS", 7)
+    monkeypatch.setattr(search, "MATRIX_ROWS", 13)
+    monkeypatch.setattr(search, "PAIRS", 11)
+    rng = np.random.default_rng(8)
+    vectors = np.concatenate([rng.normal(size=(60, 5)), np.ones((30, 5)), np.zeros((2, 5)), 1e4 + 1e-4 * rng.normal(size=(20, 5))])
+    ids, codes = rng.permutation(len(vectors)), rng.integers(0, 3, (len(vectors), 2)).astype(np.uint8)
+    for own in (None, codes):
+        nearest = search.Nearest(ids[:80], vectors[:80], 4, metric, True, None if own is None else own[:80])
+        for a in range(0, len(ids), 31):
+            nearest.meet(ids[a : a + 31], vectors[a : a + 31], None if own is None else own[a : a + 31])
+        got = [tuple(r) for part in nearest.found() for r in part[["query_id", "row_id"]].to_numpy().tolist()]
+        want = []
+        for q in range(80):
+            others = np.array([r for r in range(len(ids)) if r != q and (own is None or (own[q] == own[r]).any())])
+            d = search._pair_distances(np.repeat(vectors[q : q + 1], len(others), axis=0), vectors[others], metric)
+            want.extend((ids[q], ids[others[i]]) for i in np.lexsort((ids[others], d))[:4])
+        assert got == want
+
+
+def test_wide_buckets_look_at_each_pair_once(spark, monkeypatch):
+    monkeypatch.setattr(similar, "_meet_in_buckets", None)  # meets pairs once per table
+    rng = np.random.default_rng(9)
+    vectors = rng.normal(size=(120, 6))
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vectors)], "id long, v array<double>").repartition(3)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    signs = ((unit @ np.random.default_rng(42).standard_normal((6, 8))) > 0).reshape(120, 4, 2)
+    shares = (signs[:, None] == signs[None]).all(axis=3).any(axis=2)
+    far = np.where(shares & ~np.eye(120, dtype=bool), 1 - unit @ unit.T, np.inf)
+    got = similar.knn_join_approx(frame, frame, 3, "id", "v", exclude_self=True, bits=2, tables=4).collect()
+    mine = {(r.query_id, r["rank"]): r.row_id for r in got}
+    assert mine == {(q, n + 1): r for q in range(120) for n, r in enumerate(np.argsort(far[q])[:3]) if far[q, r] < np.inf}
