@@ -6,7 +6,7 @@ from curate.functions.vectors import doubles
 from curate.operators import cells, late, search
 from curate.plans.registry import query
 from curate.plans.table_queries import rounded
-from curate.session import materialize
+from curate.session import dealt, materialize
 
 # Ten vectors around each: an offset of at most 0.02 per number that any engine can repeat.
 CLUSTERED = """WITH g AS (SELECT vec_id, embedding::DOUBLE[] AS e, unnest(range(10)) AS copy FROM embeddings),
@@ -15,7 +15,8 @@ CLUSTERED = """WITH g AS (SELECT vec_id, embedding::DOUBLE[] AS e, unnest(range(
 
 
 def clustered(t):
-    wide = t.embeddings.select("vec_id", doubles("embedding").alias("e"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("copy"))
+    wide = dealt(t.embeddings.select("vec_id", "embedding"))
+    wide = wide.select("vec_id", doubles("embedding").alias("e"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("copy"))
 
     def moved(x, i):
         i = i.cast("long") + 1

@@ -160,3 +160,15 @@ def test_centers_are_those_of_the_clusters(spark):
     assert centers.shape == (24, 12) and away.max() < 0.5
     same = spark.createDataFrame([([1.0, 2.0],)] * 9, "v array<double>")
     assert cells.train_centers(same, 4).tolist() == [[1.0, 2.0]]
+
+
+def test_clustered_vectors_of_one_piece_go_to_all_cores(spark, tmp_path):
+    from types import SimpleNamespace
+
+    from curate.plans.vector_queries import clustered
+
+    spark.range(200).selectExpr("id AS vec_id", "array(1.0f, 2.0f) AS embedding").coalesce(1).write.parquet(str(tmp_path / "e"))
+    made = clustered(SimpleNamespace(embeddings=spark.read.parquet(str(tmp_path / "e"))))
+    assert made.count() == 2000
+    sizes = made.groupBy(F.spark_partition_id()).count().collect()
+    assert len(sizes) == spark.sparkContext.defaultParallelism and max(r["count"] for r in sizes) < 2 * 2000 / len(sizes)
