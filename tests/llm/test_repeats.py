@@ -4,9 +4,11 @@ import hashlib
 import random
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from curate.llm import blocks, exact, jaccard, substring, suffix
+from curate.llm.frames import table
 from odd_rows import LOW, ODD
 
 
@@ -215,3 +217,70 @@ def test_odd_rows(documents):
 @pytest.mark.parametrize("apply", [exact.exact_groups, exact.drop_exact, jaccard.similar_groups, jaccard.drop_similar, substring.remove_repeats, suffix.remove_repeats])
 def test_empty_table(documents, apply):
     assert apply(documents(ODD).limit(0)).collect() == []
+
+
+def test_links_within_sets_match_brute_force(monkeypatch):
+    monkeypatch.setattr(jaccard, "SMALL", 5)
+    monkeypatch.setattr(jaccard, "WIDE", 16)
+    monkeypatch.setattr(jaccard, "PAIRS", 50)
+    rng = np.random.default_rng(6)
+    own, edges = [], [0]
+    for rows, spread in ((3, 4), (1, 1), (40, 9), (5, 2), (25, 6)):
+        base = rng.integers(0, 2**63, 60).astype(np.uint64)
+        for _ in range(rows):
+            row = base.copy()
+            row[rng.choice(60, rng.integers(0, spread), replace=False)] = rng.integers(0, 2**63, 1)[0]
+            own.append(np.unique(row))
+        edges.append(len(own))
+    component = rng.integers(0, len(own), len(own))
+    sizes = np.array([len(x) for x in own])
+    x, y = jaccard.links_within(sizes, np.concatenate(own), np.repeat(np.arange(len(own)), sizes), np.array(edges), component, 85)
+    links = set()
+    for a, b in zip(edges, edges[1:]):
+        for i in range(a, b):
+            for j in range(i + 1, b):
+                common = len(np.intersect1d(own[i], own[j]))
+                if component[i] != component[j] and 100 * common >= 85 * (sizes[i] + sizes[j] - common):
+                    links.add((i, j))
+    found = {(min(i, j), max(i, j)) for i, j in zip(x.tolist(), y.tolist())}
+    assert found <= links and len(found) < len(links)
+    n = len(own)
+    assert np.array_equal(jaccard._joined(*np.array(sorted(found)).T, n), jaccard._joined(*np.array(sorted(links)).T, n))
+
+
+def test_no_table_of_links_holds_the_pairs_of_a_group(spark, monkeypatch):
+    monkeypatch.setattr(jaccard, "SET_ROWS", 40)
+    monkeypatch.setattr(jaccard, "MANY", 3)
+    rng = np.random.default_rng(12)
+    words = [f"w{i}" for i in range(60)]
+    rows = []
+    for i in range(150):  # about half of the pairs link
+        own = list(words)
+        for at in rng.choice(60, 1 if i % 3 else 3, replace=False):
+            own[at] = f"x{i}-{at}"
+        rows.append((i, " ".join(own)))
+    want = {r: c for r, c in zip(range(150), brute_components(rows, 4, 85))}
+    sent, plain = [], jaccard.open_rows
+
+    def counted(*args):
+        rows = table(plain(*args))
+        sent.append((rows.filter("component IS NULL").count(), rows.filter("component IS NOT NULL").count()))
+        return rows
+
+    monkeypatch.setattr(jaccard, "open_rows", counted)
+    got = {r.doc_id: r.component_id for r in jaccard.similar_groups(spark.createDataFrame(rows, "doc_id long, text string"), 4, 85).collect()}
+    assert got == want
+    assert len(sent) == 1 and sent[0][0] <= 3 * 150 and 0 < sent[0][1] <= 150
+
+
+def brute_components(rows, words, percent):
+    sets = [{tuple(t.split()[i : i + words]) for i in range(len(t.split()) - words + 1)} for _, t in rows]
+    least = list(range(len(rows)))
+    changed = True
+    while changed:
+        changed = False
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if least[j] < least[i] and 100 * len(a & b) >= percent * len(a | b):
+                    least[i], changed = least[j], True
+    return least
