@@ -21,6 +21,7 @@ as often as they occur; without training tokens every token has count 0; an empt
 from __future__ import annotations
 
 import contextlib
+import uuid
 import zlib
 from collections.abc import Callable, Iterator
 
@@ -33,11 +34,14 @@ from pyspark.sql import functions as F
 from curate.llm import blocks as B
 from curate.llm.frames import NO_ID, arrays_of, id_out, table
 from curate.llm.words import Hasher, Words, lower_ascii, spaces
+from curate.session import fresh_path, materialize, scratch
 
 #: Longest context; least count of a gram.
 DEPTH, LEAST = 3, 2
 #: A context is kept if its gain in log-likelihood (nats) exceeds this much per next token it lists, plus a constant.
 GAIN_PER_ENTRY, GAIN = 1.0, 5.0
+#: Text of the blocks that one task reads, in bytes.
+TASK_BYTES = 8 << 20
 #: Hash of the end token.
 END = np.uint64(0x656E64)
 SEED = 43
@@ -64,11 +68,10 @@ def _hashed() -> tuple[Hasher, np.ndarray, np.ndarray]:
     return Hasher(SEED), spaces(), lower_ascii()
 
 
-def _split(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, list[int]]:
-    """Order of keys by bucket, then key, and the edges of the buckets."""
-    bucket = (keys >> np.uint64(32)) % np.uint64(buckets)
-    order = np.lexsort((keys, bucket))
-    return order, np.searchsorted(bucket[order], np.arange(buckets + 1)).tolist()
+def _edges(keys: np.ndarray, buckets: int) -> list[int]:
+    """Edges of the buckets in sorted keys: a bucket is a range of keys, so that their differences stay small."""
+    bucket = ((keys >> np.uint64(32)) * np.uint64(buckets)) >> np.uint64(32)
+    return np.searchsorted(bucket, np.arange(buckets + 1)).tolist()
 
 
 def _pack(values: np.ndarray, rising: bool = False) -> bytes:
@@ -87,16 +90,18 @@ def _unpack(packed: bytes, kind=np.uint64, rising: bool = False) -> np.ndarray:
 
 #: Questions: grams with their counts in a block, or contexts asked for, or (``other`` is set) entries of contexts.
 _ASK = "kind int, bucket int, block long, keys binary, counts binary, times binary, other binary"
-#: Answers: for grams twice the corpus count, and one more for the owner; for contexts entries and sum of their counts.
+#: Answers: for grams twice the corpus count, and one more for the owner (0 for grams of several tokens that are too rare to
+#: matter); for contexts entries and sum of their counts.
 _ANSWER = "kind int, bucket int, block long, counts binary, listed binary, distinct long, tokens long"
 
 
 def _rows(kind: int, block: int, buckets: int, keys: np.ndarray, counts: np.ndarray | None = None, times: np.ndarray | None = None, other: np.ndarray | None = None) -> pa.RecordBatch:
-    order, edges = _split(keys, buckets)
+    """Questions about sorted keys, one row per bucket that has any."""
+    edges = _edges(keys, buckets)
     some = [(edges[i], edges[i + 1]) for i in range(buckets) if edges[i] < edges[i + 1]]
 
     def cut(values: np.ndarray | None, rising: bool = False) -> pa.Array:
-        return pa.array([None if values is None else _pack(values[order[a:b]], rising) for a, b in some], pa.binary())
+        return pa.array([None if values is None else _pack(values[a:b], rising) for a, b in some], pa.binary())
 
     return arrays_of(
         kind=pa.array([kind] * len(some), pa.int32()), bucket=pa.array([i for i in range(buckets) if edges[i] < edges[i + 1]], pa.int32()),
@@ -123,6 +128,8 @@ def _count(rows: pa.Table, kind: int, bucket: int) -> pa.Table:
     total = np.bincount(which, weights=counts, minlength=len(every)).astype(np.int64)
     value = 2 * total[which]
     value[owner] += 1
+    if kind:
+        value[total[which] < LEAST] = 0
     blocks, out = rows["block"].to_pylist(), [_pack(x) for x in np.split(value, ends[:-1])]
     if kind:
         return _answers(kind, bucket, blocks, out)
@@ -164,8 +171,8 @@ class Grams:
     Answers of kind 2 n are counts of grams of n + 1 tokens, those of kind 2 n - 1 are about contexts of n tokens.
     """
 
-    def __init__(self, tokens: Tokens, answers: list[dict], buckets: int, scale: float = 0.0):
-        self.tokens, self.buckets, self.scale = tokens, buckets, scale
+    def __init__(self, tokens: Tokens, train: np.ndarray, answers: list[dict], buckets: int, scale: float = 0.0):
+        self.tokens, self.train, self.buckets, self.scale = tokens, train, buckets, scale
         self.answers: dict[int, list[dict]] = {}
         for x in sorted(answers, key=lambda x: (x["kind"], x["bucket"])):
             self.answers.setdefault(x["kind"], []).append(x)
@@ -191,9 +198,9 @@ class Grams:
     def counted(self) -> None:
         """Corpus counts of the grams last asked for."""
         n, found, at = len(self.count), self.found[-1], self.at[-1]
-        value = np.empty(len(found), np.int64)
+        value = np.empty(0, np.int64)
         if len(found):
-            value[_split(found, self.buckets)[0]] = np.concatenate([_unpack(x["counts"], np.int64) for x in self.answers[2 * n]])
+            value = np.concatenate([_unpack(x["counts"], np.int64) for x in self.answers[2 * n]])
         count = np.zeros(len(self.tokens.hash), np.int64)
         count[at] = (value >> 1)[self.which[-1]]
         self.count.append(count)
@@ -202,29 +209,43 @@ class Grams:
         if n == 0:
             self.prob = (count + 0.5) / self.scale
 
+    def followed(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places of tokens after a gram of n tokens in their document, and the number of that gram."""
+        kind = np.full(len(self.tokens.hash), -1, np.int64)
+        kind[self.at[n - 1]] = self.which[n - 1]
+        at = np.flatnonzero((kind[:-1] >= 0) & ~self.tokens.first[1:]) + 1
+        return at, kind[at - 1]
+
     def contexts(self, n: int) -> np.ndarray:
-        """The distinct grams of n tokens that may be contexts."""
-        return self.found[n - 1][self.total[n - 1] >= LEAST]
+        """Numbers of the distinct grams of n tokens that matter here as contexts and may have entries.
+
+        An entry follows its context in this block, or all its ``LEAST`` or more occurrences are elsewhere, and with them as many
+        of the context.
+        """
+        at, context = self.followed(n)
+        follows, listed = np.zeros((2, len(self.found[n - 1])), bool)
+        follows[context] = True
+        listed[context[self.count[n][at] >= LEAST]] = True
+        own = np.bincount(self.which[n - 1][self.train[self.at[n - 1]]], minlength=len(follows))
+        total = self.total[n - 1]
+        return np.flatnonzero(follows & (total >= LEAST) & (listed | (total - own >= LEAST)))
 
     def entries(self, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Context, count, count of the context and probability after the shorter context of owned grams of n + 1 tokens."""
+        """Context (rising), count, count of the context and probability after the shorter context of owned grams of n + 1 tokens."""
         at = np.empty(len(self.found[n]), np.int64)
         at[self.which[n]] = self.at[n]  # any one place of each
         at = at[self.owned[n]]
+        at = at[np.argsort(self.key[n - 1][at - 1], kind="stable")]
         return self.key[n - 1][at - 1], self.count[n][at], self.count[n - 1][at - 1], self.prob[at]
 
     def smooth(self, n: int) -> None:
         """Probabilities after contexts of n tokens, from those after contexts one token shorter."""
-        known = self.contexts(n)
+        asked = self.contexts(n)
         size, listed = np.zeros((2, len(self.found[n - 1])), np.int64)
-        if len(known):
-            order = np.flatnonzero(self.total[n - 1] >= LEAST)[_split(known, self.buckets)[0]]
+        if len(asked):
             for into, name in ((size, "counts"), (listed, "listed")):
-                into[order] = np.concatenate([_unpack(x[name], np.int64) for x in self.answers[2 * n - 1]])
-        kind = np.full(len(self.prob), -1, np.int64)
-        kind[self.at[n - 1]] = self.which[n - 1]
-        at = np.flatnonzero((kind[:-1] >= 0) & ~self.tokens.first[1:]) + 1
-        context = kind[at - 1]
+                into[asked] = np.concatenate([_unpack(x[name], np.int64) for x in self.answers[2 * n - 1]])
+        at, context = self.followed(n)
         at, context = at[size[context] > 0], context[size[context] > 0]
         size, listed, times, count = size[context], listed[context], self.total[n - 1][context], self.count[n][at]
         share = (times - listed + size) / (times + size)
@@ -301,33 +322,73 @@ def _tidy(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(name, before)
 
 
+@contextlib.contextmanager
+def _by_block(spark: SparkSession) -> Iterator[Callable[[DataFrame, int], DataFrame]]:
+    """Writes tables bucketed by ``block``, so that joins on it move neither texts nor answers; they go at the end of the scope."""
+    names = []
+    with scratch(spark) as folder:
+
+        def keep(rows: DataFrame, pieces: int) -> DataFrame:
+            names.append(f"curate_{uuid.uuid4().hex}")
+            rows.write.bucketBy(pieces, "block").saveAsTable(names[-1], path=f"{folder}/{names[-1]}")
+            return spark.table(names[-1])
+
+        try:
+            yield keep
+        finally:
+            for name in names:
+                spark.sql(f"DROP TABLE IF EXISTS {name}")
+
+
 def fit_and_score(docs: DataFrame, learns: Callable[[np.ndarray], np.ndarray] = one_in_five) -> DataFrame:
     """``doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score`` of every row.
 
     ``learns`` tells from an array of ids which documents train. Scores are log10 probabilities of the whole text
     with its end; the base score is that of single tokens.
     """
-    texts = B.pack(docs)
-    buckets = B.bucket_count(texts)
+    spark = docs.sparkSession
+    with _by_block(spark) as keep:  # only the result stays
+        return materialize(_scored(docs, learns, keep), fresh_path(spark, "scores"))
+
+
+def _scored(docs: DataFrame, learns: Callable[[np.ndarray], np.ndarray], keep: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    spark = docs.sparkSession
+    with _tidy(spark), scratch(spark):
+        packed = B.pack(docs).select("block", "ids", "offsets", "n_bytes", "body")
+        buckets = B.bucket_count(packed)
+        total = packed.agg(F.sum("n_bytes")).first()[0] or 0
+        pieces = max(-(-total // TASK_BYTES), spark.sparkContext.defaultParallelism)
+        texts = keep(packed.repartition(pieces, "block"), pieces)
+
+    def by_block(rows: DataFrame) -> DataFrame:
+        """One row per block with its answers."""
+        own = F.collect_list(F.struct("kind", "bucket", "counts", "listed"))
+        return keep(rows.repartition(pieces, "block").groupBy("block").agg(own.alias("answers")), pieces)
 
     def ask_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = _hashed()
         for block, _ in B.each(batches):
-            grams = Grams(Tokens(block, *tools), [], buckets)
+            tokens = Tokens(block, *tools)
+            grams = Grams(tokens, learns(block.ids)[tokens.doc], [], buckets)
             grams.ask()
-            yield _gram_rows(grams, block, learns)
+            yield _gram_rows(grams, block)
 
-    with _tidy(docs.sparkSession):
+    with _tidy(spark), scratch(spark):
         counted = table(texts.mapInArrow(ask_tokens, _ASK).groupBy("kind", "bucket").applyInArrow(_meet, _ANSWER))
-    summed = counted.filter("block IS NULL").agg(F.sum("distinct"), F.sum("tokens")).first()
+        summed = counted.filter("block IS NULL").agg(F.sum("distinct"), F.sum("tokens")).first()
+        answers = [by_block(counted.filter("block IS NOT NULL"))]
     distinct, total = summed[0] or 0, summed[1] or 0
     scale = total + 0.5 * (distinct + 1)
-    answers = counted.filter("block IS NOT NULL")
 
     def told() -> DataFrame:
-        """The blocks with all answers so far."""
-        own = answers.groupBy("block").agg(F.collect_list(F.struct("kind", "bucket", "counts", "listed")).alias("answers"))
-        return texts.select("block", "ids", "offsets", "n_bytes", "body").join(own, "block")
+        """The blocks with all answers so far, a column for each pass."""
+        rows = texts
+        for k, one in enumerate(answers):
+            rows = rows.join(one.withColumnRenamed("answers", f"answers_{k}"), "block", "left")
+        return rows
+
+    def told_of(row: dict) -> list[dict]:
+        return [x for name, some in row.items() if name.startswith("answers_") for x in some or ()]
 
     def ask_more(n: int) -> Callable:
         """Counts of grams of n + 1 tokens, and judgements of contexts of n - 1 tokens, from the answers before."""
@@ -335,32 +396,34 @@ def fit_and_score(docs: DataFrame, learns: Callable[[np.ndarray], np.ndarray] =
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tools = _hashed()
             for block, row in B.each(batches):
-                grams = Grams(Tokens(block, *tools), row["answers"], buckets, scale)
+                tokens = Tokens(block, *tools)
+                grams = Grams(tokens, learns(block.ids)[tokens.doc], told_of(row), buckets, scale)
                 for k in range(n):
                     grams.ask()
                     grams.counted()
                     if 1 <= k < n - 1:
                         grams.smooth(k)
                 if n > 1:
-                    yield _rows(2 * n - 3, block.block, buckets, grams.contexts(n - 1))
+                    yield _rows(2 * n - 3, block.block, buckets, grams.found[n - 2][grams.contexts(n - 1)])
                     key, count, times, other = grams.entries(n - 1)
                     yield _rows(2 * n - 3, block.block, buckets, key, count, times, other)
                 if n <= DEPTH:
                     grams.ask()
-                    yield _gram_rows(grams, block, learns)
+                    yield _gram_rows(grams, block)
 
         return run
 
     for n in range(1, DEPTH + 2):
         asked = told().mapInArrow(ask_more(n), _ASK)
-        with _tidy(docs.sparkSession):
-            answers = answers.unionByName(table(asked.groupBy("kind", "bucket").applyInArrow(_meet, _ANSWER)))
+        with _tidy(spark):
+            answers.append(by_block(asked.groupBy("kind", "bucket").applyInArrow(_meet, _ANSWER)))
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tools = _hashed()
         for block, row in B.each(batches):
             tokens = Tokens(block, *tools)
-            grams, n = Grams(tokens, row["answers"], buckets, scale), len(tokens.count)
+            learned = learns(block.ids)
+            grams, n = Grams(tokens, learned[tokens.doc], told_of(row), buckets, scale), len(tokens.count)
             for k in range(DEPTH + 1):
                 grams.ask()
                 grams.counted()
@@ -369,7 +432,7 @@ def fit_and_score(docs: DataFrame, learns: Callable[[np.ndarray], np.ndarray] =
                 else:
                     base = np.bincount(tokens.doc, weights=np.log10(grams.prob), minlength=n)
             yield arrays_of(
-                doc_id=block.ids, held_out=~learns(block.ids), n_tokens=tokens.count,
+                doc_id=block.ids, held_out=~learned, n_tokens=tokens.count,
                 n_known=np.bincount(tokens.doc[grams.count[0] > 0], minlength=n), train_tokens=np.full(n, total),
                 base_score=base, score=np.bincount(tokens.doc, weights=np.log10(grams.prob), minlength=n),
             )
@@ -378,8 +441,7 @@ def fit_and_score(docs: DataFrame, learns: Callable[[np.ndarray], np.ndarray] =
     return told().mapInArrow(score, out).withColumn("doc_id", id_out())
 
 
-def _gram_rows(grams: Grams, block: B.Block, learns: Callable) -> pa.RecordBatch:
+def _gram_rows(grams: Grams, block: B.Block) -> pa.RecordBatch:
     """The grams last asked for, with their counts in the training documents of the block."""
-    train = learns(block.ids)[grams.tokens.doc[grams.at[-1]]]
-    counts = np.bincount(grams.which[-1][train], minlength=len(grams.found[-1]))
+    counts = np.bincount(grams.which[-1][grams.train[grams.at[-1]]], minlength=len(grams.found[-1]))
     return _rows(2 * (len(grams.found) - 1), block.block, buckets=grams.buckets, keys=grams.found[-1], counts=counts)

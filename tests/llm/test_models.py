@@ -201,6 +201,28 @@ def test_suffix_tree_scores(documents, monkeypatch):
     assert suffix_tree.fit_and_score(documents(ODD).limit(0)).collect() == []
 
 
+def test_suffix_tree_moves_no_texts(spark, documents, monkeypatch):
+    plans, write, before = [], suffix_tree.materialize, spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    monkeypatch.setattr(suffix_tree, "materialize", lambda rows, path: plans.append(rows._jdf.queryExecution().executedPlan().toString()) or write(rows, path))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    tables = {t.name for t in spark.catalog.listTables()}
+    try:
+        assert suffix_tree.fit_and_score(documents([(i, "one two three four") for i in range(20)])).count() == 20
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    # Blocks meet their answers where both lie.
+    assert plans[0].count("SortMergeJoin") == suffix_tree.DEPTH + 2 and "Exchange" not in plans[0]
+    assert {t.name for t in spark.catalog.listTables()} == tables
+
+
+def test_suffix_tree_sends_nothing_for_rare_grams():
+    keys = np.array([5, 2**40, 2**63], np.uint64)
+    row = {"bucket": 0, "keys": suffix_tree._pack(keys, True)}
+    rows = pa.Table.from_pylist([row | {"block": i, "counts": suffix_tree._pack(np.array([i, 1, 0]))} for i in range(2)])
+    values = [suffix_tree._unpack(x, np.int64).tolist() for x in suffix_tree._count(rows, 2, 0)["counts"].to_pylist()]
+    assert values == [[0, 5, 0], [0, 4, 0]]  # only the second occurs twice
+
+
 def tree_scores(texts, held):
     """log10 probability of every text by definition, from all grams that occur twice in those that train."""
     count, known = {}, [[*t.lower().split(), None] for t in texts]
