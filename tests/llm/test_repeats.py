@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import tracemalloc
 from collections import defaultdict
 
 import numpy as np
@@ -219,6 +220,19 @@ def test_empty_table(documents, apply):
     assert apply(documents(ODD).limit(0)).collect() == []
 
 
+def test_links_within_a_large_set_take_little_memory():
+    rnd = np.random.default_rng(1)
+    n, base = jaccard.SET_ROWS, rnd.integers(0, 2**63, 60, dtype=np.uint64)
+    own = [base[rnd.random(60) < 0.97] for _ in range(n)]
+    sizes = np.array([len(x) for x in own])
+    tracemalloc.start()
+    x, y = jaccard.links_within(sizes, np.concatenate(own), np.repeat(np.arange(n), sizes), np.array([0, n]), np.arange(n), 80)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(x) == n - 1 and len(np.unique(np.r_[x, y])) == n  # nearly all pairs link: a tree
+    assert peak < 60e6  # the counts of all pairs take 17 MB; numbers of each pair do not lie beside them
+
+
 def test_links_within_sets_match_brute_force(monkeypatch):
     monkeypatch.setattr(jaccard, "SMALL", 5)
     monkeypatch.setattr(jaccard, "WIDE", 16)
