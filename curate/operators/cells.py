@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curate.functions.vectors import doubles, dot
-from curate.operators.search import METRICS
+from curate.operators.search import BROADCAST_BYTES, METRICS, PAIRS, _pair_distances, knn_join
 from curate.session import materialize, spread
 
 #: Rows that centers and codes are learned from, and the largest number of cells that is chosen by itself.
@@ -34,6 +34,8 @@ LIST_ROWS, QUERY_ROWS, LISTS_PER_TASK = 2048, 256, 32
 DISTANCES = 1 << 22
 #: Cells whose sums are added up together.
 CELLS_PER_SUM = 1024
+#: Measured pairs that are gathered before only the best of each query are kept.
+GATHERED = 1 << 18
 
 
 @dataclass(frozen=True)
@@ -308,6 +310,136 @@ def probed_pairs(queries: DataFrame, key: str, vector: str, model: Cells, sizes:
     return looked.agg(F.coalesce(F.sum("n"), F.lit(0))).scalar()
 
 
+class Unruled:
+    """The best ``k`` rows of the cells met so far for each query, which compares itself only with cells that may hold one of them.
+
+    A row is no farther from its own center than from the center nearest to a query. A query that is farther from the first than
+    from the second by more than ``limit`` allows has no row of that cell within ``limit``. Limits are distances that ``k`` rows
+    are known to lie within (infinite if unknown) and shrink to the ``k``-th best. Matrices are in single precision;
+    whatever lies within their rounding of the limit is measured directly.
+    """
+
+    def __init__(self, centers: np.ndarray, ids: np.ndarray, queries: np.ndarray, cell: np.ndarray, limit: np.ndarray, k: int, exclude_self: bool):
+        self.centers, self.ids, self.queries, self.cell, self.k, self.exclude_self = centers, ids, queries, cell, k, exclude_self
+        self.limit = limit * (1 + 1e-9)  # sums in another order
+        self.norm = (centers * centers).sum(axis=1)
+        self.own = self.norm[cell] - 2.0 * (queries * centers[cell]).sum(axis=1)
+        self.length = np.sqrt((queries * queries).sum(axis=1))
+        self.longest = self.length.max(initial=0.0) + np.sqrt(self.norm.max())
+        self.found = [np.empty(0, np.int64)], [ids[:0]], [np.empty(0)]
+        self.gathered = self.compared = 0
+
+    def meet(self, cell: np.ndarray, ids: np.ndarray, block: np.ndarray) -> None:
+        """Rows in the order of their cells."""
+        runs = _runs(cell, LIST_ROWS)
+        step = max(1, DISTANCES // max(len(self.ids), 1))
+        for a in range(0, len(runs), step):
+            part = runs[a : a + step]
+            heads = cell[[b for b, _ in part]]
+            farther = self.norm[heads] - 2.0 * (self.queries @ self.centers[heads].T) - self.own[:, None]
+            for i, (b, e) in enumerate(part):
+                self._meet(farther[:, i], heads[i], ids[b:e], block[b:e])
+
+    def _meet(self, farther: np.ndarray, head: int, ids: np.ndarray, block: np.ndarray) -> None:
+        square = (block * block).sum(axis=1)
+        scale = (self.longest + np.sqrt(square.max())) ** 2
+        apart = np.sqrt(((self.centers - self.centers[head]) ** 2).sum(axis=1))
+        with np.errstate(invalid="ignore"):
+            some = np.flatnonzero(~(farther > 2.0 * apart[self.cell] * self.limit + 16.0 * (block.shape[1] + 4) * np.finfo(float).eps * scale))
+        self.compared += len(some) * len(ids)
+        kind = np.float32 if scale < 1e30 else np.float64  # squares fit single precision; false for NaN
+        error = 4.0 * (block.shape[1] + 4) * np.finfo(kind).eps * scale + 1e-36
+        side, square = block.astype(kind).T, square.astype(kind)
+        for a in range(0, len(some), QUERY_ROWS):
+            q = some[a : a + QUERY_ROWS]
+            with np.errstate(over="ignore", invalid="ignore"):
+                rough = (-2.0 * self.queries[q]).astype(kind) @ side
+                rough += square
+                hit = ~(rough > (self.limit[q] ** 2 - self.length[q] ** 2 + error).astype(kind)[:, None])
+            at, r = np.divmod(np.flatnonzero(hit), len(ids))
+            for b in range(0, len(at), PAIRS):
+                self._measure(q[at[b : b + PAIRS]], r[b : b + PAIRS], ids, block)
+
+    def _measure(self, q: np.ndarray, r: np.ndarray, ids: np.ndarray, block: np.ndarray) -> None:
+        exact = _pair_distances(self.queries[q], block[r], "l2")
+        kept = ~(exact > self.limit[q])
+        if self.exclude_self:
+            kept &= self.ids[q] != ids[r]
+        for all_of, more in zip(self.found, (q[kept], ids[r[kept]], exact[kept])):
+            all_of.append(more)
+        self.gathered += np.count_nonzero(kept)
+        if self.gathered > GATHERED:
+            self.best()
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Query numbers, row ids and distances of the best rows met; no others are kept."""
+        q, near, exact = (np.concatenate(x) for x in self.found)
+        order = np.lexsort((near, exact, q))
+        q, near, exact = q[order], near[order], exact[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        last = (place == self.k - 1) & ~np.isnan(exact)
+        self.limit[q[last]] = np.fmin(self.limit[q[last]], exact[last])
+        kept = place < self.k
+        q, near, exact = q[kept], near[kept], exact[kept]
+        self.found, self.gathered = ([q], [near], [exact]), 0
+        return q, near, exact
+
+
+def knn_join_exact(
+    queries: DataFrame, rows: DataFrame, near: DataFrame, model: Cells, k: int, key: str, vector: str,
+    exclude_self: bool = False, sizes: DataFrame | None = None, broadcast_bytes: int = BROADCAST_BYTES,
+) -> DataFrame:
+    """The ``k`` nearest rows for every query row, as ``search.knn_join`` finds them: query_id, row_id, distance, rank.
+
+    ``near`` is what ``knn_join_cells`` found for at least ``k``: its distances are the limits beyond which nothing is looked for.
+    Rows are laid out by cell and streamed past the queries; a query meets only cells that the centers cannot rule out, and each task
+    passes on its best ``k`` per query. With ``sizes`` (``list_sizes``), a cell with many rows is spread over tasks. Queries beyond
+    ``broadcast_bytes`` are compared with all rows, as is everything for a metric other than ``l2``.
+    """
+    kind = rows.schema[key].dataType.simpleString()
+    asked = prepared(queries, key, vector, "l2")
+    size = asked.agg(F.count("*").alias("n"), F.coalesce(F.max(F.size("v")), F.lit(0)).alias("dim")).first()
+    if model.metric != "l2" or size["n"] * (size["dim"] + 3) * 8 > broadcast_bytes:
+        return knn_join(queries, rows, k, key, vector, model.metric, exclude_self)
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = matrix(batch["v"])
+            if len(x):
+                flat = pa.FixedSizeBinaryArray.from_buffers(pa.binary(8 * x.shape[1]), len(x), [None, pa.py_buffer(x.tobytes())])
+                yield pa.RecordBatch.from_arrays([pa.array(model.nearest(x).astype(np.int32)), batch["id"], flat.cast(pa.binary())], ["cell", "id", "v"])
+
+    def assigned(vectors: DataFrame) -> DataFrame:
+        return vectors.mapInArrow(assign, f"cell int, id {kind}, v binary")
+
+    def unpacked(column: pa.Array | pa.ChunkedArray) -> np.ndarray:
+        return np.frombuffer(b"".join(column.to_pylist())).reshape(len(column), -1) if len(column) else np.empty((0, 0))
+
+    limits = near.filter(F.col("rank") <= k).groupBy("query_id").agg(F.max("distance").alias("limit"), F.count("*").alias("n"))
+    limits = limits.filter(F.col("n") == k).select(F.col("query_id").alias("id"), "limit")
+    table = assigned(asked).join(limits, "id", "left").select("id", "cell", "v", F.coalesce("limit", F.lit(math.inf)).alias("limit")).toArrow()
+    sent = rows.sparkSession.sparkContext.broadcast((table["id"].to_numpy(), unpacked(table["v"]), table["cell"].to_numpy(), table["limit"].to_numpy()))
+
+    def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, vectors, cell, limit = sent.value
+        if not len(ids):
+            return
+        met = Unruled(model.centers, ids, vectors, cell, limit, k, exclude_self)
+        for batch in batches:
+            if len(batch):
+                met.meet(batch["cell"].to_numpy(), batch["id"].to_numpy(zero_copy_only=False), unpacked(batch["v"]))
+        q, row, distance = met.best()
+        yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(row), pa.array(distance)], ["query_id", "row_id", "distance"])
+
+    laid = assigned(prepared(rows, key, vector, "l2"))
+    if sizes is not None:
+        laid = laid.join(sizes.select("cell", "parts"), "cell", "left").withColumn("part", F.pmod(F.xxhash64("id"), F.coalesce("parts", F.lit(1))))
+    laid = laid.repartition("cell", *(["part"] if sizes is not None else [])).sortWithinPartitions("cell").select("cell", "id", "v")
+    candidates = laid.mapInArrow(search, f"query_id {kind}, row_id {kind}, distance double")
+    best = Window.partitionBy("query_id").orderBy("distance", "row_id")
+    return candidates.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
+
+
 def save_cells(model: Cells, spark, path: str) -> None:
     """Write centers and code books as a small table, so that lists can be searched by a later job."""
     parts, _, width = model.books.shape

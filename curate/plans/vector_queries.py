@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from curate.functions.vectors import doubles
-from curate.operators import cells, late, search
+from curate.operators import cells, late
 from curate.plans.registry import query
 from curate.plans.table_queries import rounded
 from curate.session import dealt, materialize
@@ -47,8 +47,8 @@ def knn_join_cells_recall(t):
     # Recall of the 5 nearest against the exact join, and compared pairs against all pairs.
     rows, asked, lists, model = cells_setting(t)
     sizes = cells.list_sizes(lists)
-    near = cells.knn_join_cells(asked, rows, lists, model, 5, "id", "e", probes=4, exclude_self=True, sizes=sizes)
-    true = search.knn_join(asked, rows, 5, "id", "e", exclude_self=True).select("query_id", "row_id")
+    near = materialize(cells.knn_join_cells(asked, rows, lists, model, 5, "id", "e", probes=4, exclude_self=True, sizes=sizes))
+    true = cells.knn_join_exact(asked, rows, near, model, 5, "id", "e", exclude_self=True, sizes=sizes).select("query_id", "row_id")
     counts = rows.agg(F.count_if(F.col("id") % 100 == 0).alias("queries"), F.count("*").alias("rows"))
     found = true.join(near, ["query_id", "row_id"], "left_semi").agg(F.count("*")).scalar()
     pairs = cells.probed_pairs(asked, "id", "e", model, sizes, 6, probes=4)

@@ -70,6 +70,58 @@ def test_a_cell_with_many_equal_rows_is_split(spark, monkeypatch):
     assert all(r.distance == 0 for r in got if r.query_id < 300)
 
 
+def exact_and_all_pairs(queries, rows, model, near, k=5, **more):
+    found = cells.knn_join_exact(queries, rows, near, model, k, "id", "e", **more).collect()
+    true = search.knn_join(queries, rows, k, "id", "e", exclude_self=more.get("exclude_self", False)).collect()
+    return sorted(map(tuple, found)), sorted(map(tuple, true))
+
+
+def test_neighbours_within_known_limits_are_those_of_all_pairs(spark, clustered, monkeypatch):
+    vectors, rows, model = clustered
+    for name, few in (("LIST_ROWS", 16), ("LISTS_PER_TASK", 1), ("QUERY_ROWS", 8), ("GATHERED", 50), ("PAIRS", 7)):
+        monkeypatch.setattr(cells, name, few)
+    rows = rows.unionByName(table(spark, np.repeat(vectors[:1], 120, axis=0), 5000)).unionByName(table(spark, 3 * vectors[:40], 6000))
+    asked, lists = rows.filter("id % 10 = 0"), cells.index_cells(rows, "id", "e", model)
+    sizes = cells.list_sizes(lists)
+    near = cells.knn_join_cells(asked, rows, lists, model, 5, "id", "e", probes=1, rerank=1, exclude_self=True, sizes=sizes)
+    assert max(r["parts"] for r in sizes.collect()) > 1
+    found, true = exact_and_all_pairs(asked, rows, model, near, exclude_self=True, sizes=sizes)
+    assert found == true and len(true) == 5 * asked.count()
+    # Without a limit for some queries or any, among few rows, and where the queries are too many to be sent.
+    for known in (near.filter("query_id % 3 = 0 AND rank < 4 OR query_id % 3 = 1"), near.limit(0)):
+        found, true = exact_and_all_pairs(asked, rows, model, known, exclude_self=True)
+        assert found == true
+    found, true = exact_and_all_pairs(asked, rows.filter("id < 3"), model, near.limit(0))
+    assert found == true and len(true) == 3 * asked.count()
+    found, true = exact_and_all_pairs(asked, rows, model, near, exclude_self=True, broadcast_bytes=0)
+    assert found == true
+    none = rows.limit(0)
+    assert exact_and_all_pairs(none, rows, model, near) == exact_and_all_pairs(asked, none, model, near) == ([], [])
+
+
+def test_queries_meet_few_rows_of_other_cells(clustered):
+    vectors, _, model = clustered
+    cell, d = model.nearest(vectors), np.sqrt(((vectors[:, None] - vectors[None]) ** 2).sum(axis=2))
+    limit = np.sort(d, axis=1)[:, 5]
+    met = cells.Unruled(model.centers, np.arange(len(vectors)), vectors, cell, limit, 5, True)
+    order = np.argsort(cell, kind="stable")
+    met.meet(cell[order], order, vectors[order])
+    q, row, _ = met.best()
+    assert [row[q == i].tolist() for i in range(0, 1000, 50)] == [true_nearest(vectors, i, 5) for i in range(0, 1000, 50)]
+    assert met.compared < 0.2 * len(vectors) ** 2
+
+
+def test_recall_is_measured_without_all_pairs(spark, tables, monkeypatch):
+    from curate.plans.registry import QUERIES
+
+    def all_pairs(*args, **more):
+        raise AssertionError("all pairs are compared")
+
+    monkeypatch.setattr(search, "knn_join", all_pairs)
+    monkeypatch.setattr(cells, "knn_join", all_pairs, raising=False)
+    assert all(QUERIES["knn_join_cells_recall"](spark, tables).select("recall_reached", "pairs_bounded").first())
+
+
 def test_saved_model_and_odd_vectors(spark, clustered, tmp_path):
     vectors, rows, model = clustered
     cells.save_cells(model, spark, str(tmp_path / "m"))
