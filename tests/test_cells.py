@@ -112,14 +112,15 @@ def test_queries_meet_few_rows_of_other_cells(clustered):
 
 
 def test_recall_is_measured_without_all_pairs(spark, tables, monkeypatch):
-    from curate.plans.registry import QUERIES
+    from curate.plans.registry import Tables
+    from curate.plans.vector_queries import knn_join_cells_recall
 
     def all_pairs(*args, **more):
         raise AssertionError("all pairs are compared")
 
     monkeypatch.setattr(search, "knn_join", all_pairs)
     monkeypatch.setattr(cells, "knn_join", all_pairs, raising=False)
-    assert all(QUERIES["knn_join_cells_recall"](spark, tables).select("recall_reached", "pairs_bounded").first())
+    assert all(knn_join_cells_recall(Tables(spark, tables)).select("recall_reached", "pairs_bounded").first())
 
 
 def test_saved_model_and_odd_vectors(spark, clustered, tmp_path):
