@@ -596,3 +596,24 @@ def test_wide_buckets_look_at_each_pair_once(spark, monkeypatch):
     got = similar.knn_join_approx(frame, frame, 3, "id", "v", exclude_self=True, bits=2, tables=4).collect()
     mine = {(r.query_id, r["rank"]): r.row_id for r in got}
     assert mine == {(q, n + 1): r for q in range(120) for n, r in enumerate(np.argsort(far[q])[:3]) if far[q, r] < np.inf}
+
+
+@pytest.mark.parametrize("block_rows, by_bucket", [(5000, False), (7, False), (2, True)])
+def test_rows_of_a_group_are_sent_once_and_meet_as_by_bucket(spark, monkeypatch, block_rows, by_bucket):
+    # Groups of many sizes, one of them null: packed, cut into blocks, or (more than 8 blocks) bucket by bucket.
+    monkeypatch.setattr(similar, "PAIRS", 40, raising=False)
+    sent, plain = [], similar._meet_in_buckets
+    monkeypatch.setattr(similar, "_meet_in_buckets", lambda *a: (sent.append(a), plain(*a))[1])
+    rng = np.random.default_rng(10)
+    vectors = rng.normal(size=(150, 6))
+    of = [None if i % 10 == 9 else "one" if i % 3 == 0 else f"g{i % 23}" for i in range(150)]
+    frame = spark.createDataFrame([(i, v.tolist(), g) for i, (v, g) in enumerate(zip(vectors, of))] + [(150, [0.0] * 6, "one"), (151, None, "one")], "id long, v array<double>, of string").repartition(3)
+    unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+    signs = ((unit @ np.random.default_rng(42).standard_normal((6, 24))) > 0).reshape(150, 8, 3)
+    shares = (signs[:, None] == signs[None]).all(axis=3).any(axis=2) & np.array([[a == b for b in of] for a in of])
+    asked = frame.filter("id % 2 = 0")
+    far = np.where(shares & ~np.eye(150, dtype=bool), 1 - unit @ unit.T, np.inf)
+    got = similar.knn_join_approx(asked, frame, 3, "id", "v", exclude_self=True, bits=3, tables=8, block_rows=block_rows, group="of").collect()
+    mine = {(r.query_id, r["rank"]): r.row_id for r in got}
+    assert mine == {(q, n + 1): r for q in range(0, 150, 2) for n, r in enumerate(np.argsort(far[q])[:3]) if far[q, r] < np.inf}
+    assert len(sent) == by_bucket  # vectors go once per table only where a group has more than 8 blocks
