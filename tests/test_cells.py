@@ -225,3 +225,29 @@ def test_clustered_vectors_of_one_piece_go_to_all_cores(spark, tmp_path):
     assert made.count() == 2000
     sizes = made.groupBy(F.spark_partition_id()).count().collect()
     assert len(sizes) == spark.sparkContext.defaultParallelism and max(r["count"] for r in sizes) < 2 * 2000 / len(sizes)
+
+
+@pytest.mark.parametrize("few, scale", [(32, 1.0), (2, 1e18)])
+def test_no_table_of_late_interaction_holds_pairs(spark, monkeypatch, few, scale):
+    # Documents far wider than apart: bounds rule out next to nothing. Copies of a document tie.
+    monkeypatch.setattr(late, "FEW", few, raising=False)
+    rng = np.random.default_rng(12)
+    docs = [(d, (scale * rng.normal(size=8)).tolist()) for d in range(60) for _ in range(rng.integers(1, 7))]
+    docs += [(d + n, v) for n in (200, 100) for d, v in docs]
+    asked = [(q, rng.normal(size=8).tolist()) for q in range(40) for _ in range(rng.integers(1, 5))]
+    vectors, queries = spark.createDataFrame(docs, "doc long, e array<double>").repartition(3), spark.createDataFrame(asked, "q long, e array<double>")
+    written, plain = [], late.materialize
+
+    def counted(rows, *more):
+        out = plain(rows, *more)
+        written.append(out.count())
+        return out
+
+    monkeypatch.setattr(late, "materialize", counted)
+    got = late.maxsim_join(queries, vectors, 5, "q", "doc", "e", np.zeros((1, 8))).collect()
+    want = true_best(docs, asked, 5)
+    for q, best in want.items():
+        mine = sorted((r for r in got if r["query"] == q), key=lambda r: r["rank"])
+        assert [r.document for r in mine] == [d for d, _ in best]
+        assert np.allclose([r.score for r in mine], [s for _, s in best])
+    assert max(written) <= 180 < 40 * 180 / 10
